@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import conversations, splitting
+from memloom.llm import conversations, neighbours, splitting
 from memloom.tables import load
 
 
@@ -31,11 +31,21 @@ def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(load(spark, folder, "turns"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(load(spark, folder, "memory_vectors")).select("vector_id", "neighbour_id")
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(load(spark, folder, "memory_vectors"), every=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
 }
 
 _ROLES = " ".join(
@@ -50,7 +60,7 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT 'episodes.content', id FROM episodes WHERE length(content) > 4000""",
     "p3_found": f"""
         WITH r AS (SELECT episode_id, sequence, text, CASE {_ROLES} END AS role,
-                          coalesce(regexp_matches(text, '[^\\s\\p{Z}]'), false) AS said
+                          coalesce(regexp_matches(text, '[^\\s\\p{{Z}}]'), false) AS said
                    FROM turns WHERE episode_id IS NOT NULL AND sequence IS NOT NULL),
              s AS (SELECT episode_id, sequence, count(DISTINCT coalesce('t' || text, 'n')) > 1 AS conflict
                    FROM r GROUP BY ALL),
