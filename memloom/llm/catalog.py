@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import conversations, neighbours, splitting
+from memloom.llm import conversations, near_duplicates, neighbours, splitting
 from memloom.tables import load
 
 
@@ -39,6 +39,16 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(load(spark, folder, "memory_vectors"), every=50)
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, pairs = near_duplicates.near_duplicates(load(spark, folder, "episodes", ["id", "content", "summary"]))
+    return near_duplicates.all_pairs(members, pairs).selectExpr("field", "id_a as episode_id_a", "id_b as episode_id_b")
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    members, pairs = near_duplicates.near_duplicates(load(spark, folder, "episodes", ["id", "content", "summary"]), threshold=0.8, width=5)
+    return near_duplicates.groups(members, pairs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -46,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_conversations": p3_conversations,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p7_found": p7_found,
+    "p7_groups": p7_groups,
 }
 
 _ROLES = " ".join(
