@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import conversations, near_duplicates, neighbours, splitting
+from memloom.llm import conversations, leakage, near_duplicates, neighbours, splitting
 from memloom.tables import load
 
 
@@ -49,6 +49,14 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(members, pairs)
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(load(spark, folder, "documents", ["doc_id", "text"]), load(spark, folder, "eval_items", ["item_id", "text"]))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.without_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items", ["item_id", "text"])).select("doc_id", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -58,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_neighbours": p5_neighbours,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
+    "p8_found": p8_found,
+    "p8_clean": p8_clean,
 }
 
 _ROLES = " ".join(
