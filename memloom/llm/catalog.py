@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import conversations, leakage, near_duplicates, neighbours, splitting
+from memloom.llm import conversations, leakage, names, near_duplicates, neighbours, splitting
 from memloom.tables import load
 
 
@@ -39,6 +39,14 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(load(spark, folder, "memory_vectors"), every=50)
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.pairs(names.linked(load(spark, folder, "entity_hints")))
+
+
+def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return names.linked(load(spark, folder, "entity_hints"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     members, pairs = near_duplicates.near_duplicates(load(spark, folder, "episodes", ["id", "content", "summary"]))
     return near_duplicates.all_pairs(members, pairs).selectExpr("field", "id_a as episode_id_a", "id_b as episode_id_b")
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_conversations": p3_conversations,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p6_found": p6_found,
+    "p6_entities": p6_entities,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_found": p8_found,
