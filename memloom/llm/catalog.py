@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import conversations, leakage, names, near_duplicates, neighbours, splitting
+from memloom.llm import conversations, leakage, names, near_duplicates, neighbours, personal, splitting
 from memloom.tables import load
 
 
@@ -23,6 +24,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(turns, "turns.text").unionByName(splitting.oversized(episodes, "episodes.content"))
 
 
+_TEXTS = (("turns", "id", "text", "turns.text"), ("episodes", "id", "content", "episodes.content"), ("fact_hints", "hint_id", "source_quote", "fact_hints.source_quote"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = [personal.find(load(spark, folder, table, [key, text]), key, text, field) for table, key, text, field in _TEXTS]
+    return reduce(DataFrame.unionByName, found).select("field", "record_id", "pii_type", "start_char")
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    masked = [personal.mask(load(spark, folder, table, [key, text]), key, text, field) for table, key, text, field in _TEXTS]
+    return reduce(DataFrame.unionByName, masked)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.broken(load(spark, folder, "turns"))
 
@@ -68,6 +82,8 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_masked": p2_masked,
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
     "p5_found": p5_found,

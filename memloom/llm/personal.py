@@ -47,23 +47,28 @@ _AFTER2 = re.compile(rf" ({_W}) ({_W})(?![\w@])")
 _BEFORE_COMMA = re.compile(rf"(?<![\w@.+-])({_PART}{{0,2}}{_W}), $")
 _BEFORE = re.compile(rf"(?<![\w@.+-])({_W}) $")
 _MIDDLE = re.compile(r" [^\W\d_]\.(?! ?[^\W\d_]\w)| [^\W\d_]\.(?=\s+(?:[a-z]|[A-Z][a-z]+\b))")
-_INITIAL = re.compile(rf"(?<![\w.@])[^\W\d_a-zà-ÿ]\.(?: ?[^\W\d_a-zà-ÿ]\.)? ({_PART}{{0,2}}{_W})(?![\w@])")
-_INITIAL_LAST = re.compile(rf"(?<![\w@.+-])({_W}), [^\W\d_a-zà-ÿ]\.")
-_CUED = re.compile(
-    rf"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Frau|Herr|Mme|Mlle|Sra?|Dhr|Mevr|Mevrouw|Signed by|Contact:|[Cc]all|ask|Appelle|Llama a|Ligue para|Bitte|Bel|au nom de|a nombre de|em nome de|op naam van|in the name of|You can reach|I think|the number of)\.? )({_W},? (?:[^\W\d_]\. )?{_PART}{{0,2}}{_W})(?![\w@])"
-)
-_SAID = re.compile(rf"(?<![\w@.+-])({_W},? (?:[^\W\d_]\. )?{_PART}{{0,2}}{_W})(?= (?:wrote:|said the|moved to|wohnt jetzt|approved this|님|씨))")
-_HANGUL = re.compile(rf"(?<![가-힣])((?:{'|'.join(KOREAN_FAMILY)}|남궁|황보|제갈|선우) ?[가-힣]{{2}})(?=\s?(?:씨|님))|(?<![가-힣])((?:{'|'.join(KOREAN_FAMILY)})[가-힣]{{2}})(?![가-힣])")
-_KOREAN_LATIN = "|".join(sorted({s for v in KOREAN_FAMILY.values() for s in v.split()}, key=len, reverse=True))
-_LATIN_KOREAN = re.compile(rf"(?<![\w@.+-])((?i:{_KOREAN_LATIN}),? [A-Z][a-z]{{3,9}}(?:-[A-Za-z][a-z]+)?|[A-Z][a-z]{{3,9}}(?:-[a-z]+)? (?i:{_KOREAN_LATIN}))(?![\w@])")
-_AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|At)\s?[\])}]\s?| (?:at|AT) )"
+_INITIAL = re.compile(r"(?<![\w.@])[^\W\d_a-zà-ÿ]\.")
+_FROM_INITIAL = re.compile(rf"[^\W\d_a-zà-ÿ]\.(?: ?[^\W\d_a-zà-ÿ]\.)? ({_PART}{{0,2}}{_W})(?![\w@])")
+_PAIR = re.compile(rf"\.? ?({_W},? (?:[^\W\d_]\. )?{_PART}{{0,2}}{_W})(?![\w@])")
+_PAIR_BEFORE = re.compile(rf"(?<![\w@.+-])({_W},? (?:[^\W\d_]\. )?{_PART}{{0,2}}{_W})$")
+_FAMILIES = "|".join(KOREAN_FAMILY)
+_HANGUL_TITLED = re.compile(rf"(?<![가-힣])((?:{_FAMILIES}|남궁|황보|제갈|선우) ?[가-힣]{{2}})$")
+_HANGUL_ALONE = re.compile(rf"(?<![가-힣])(?<![가-힣] )(?:{_FAMILIES})[가-힣]{{2}}(?=[,.:;)]*\s*(?:[^\s가-힣]|$))")
+_KOREAN_LATIN = sorted({s for v in KOREAN_FAMILY.values() for s in v.split() if len(s) > 2})
+_LATIN_AFTER = re.compile(r",? [A-Z][a-z]{3,9}(?:-[A-Za-z][a-z]+)?(?![\w@])")
+_LATIN_BEFORE = re.compile(r"(?<![\w@.+-])[A-Z][a-z]{3,9}(?:-[a-z]+)? $")
+_AT_SIGN = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|At)\s?[\])}]\s?)"
+_AT_WORD = r" (?:at|AT) "
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT|Dot)\s?[\])}]\s?| (?:dot|DOT) )"
-_EMAIL = re.compile(rf"(?<![\w.+-])[\w%+-]+(?:{_DOT}[\w+%-]+)*{_AT}[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)*{_DOT}[^\W\d_]{{2,}}(?![\w@])")
+_LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
+_DOMAIN = rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[^\W\d_]{{2,}}(?![\w@+%])"
+# Spelled with a bare 'at', a domain must not itself stand before the true separator.
+_EMAIL = re.compile(rf"(?<![\w.+-])[\w%+-]+(?:{_DOT}[\w+%-]+)*(?:{_AT_SIGN}{_DOMAIN}|{_AT_WORD}{_DOMAIN}(?!{_AT_SIGN}|{_AT_WORD}|-))")
 _RUN = re.compile(r"(?<![\w.,/=#@-])(?:\+ ?)?\(?\d(?:\d|[ .\-/()]{1,2}(?=[\d(])){5,26}+(?![\w])(?:,? ?(?:ext\.?|x\.?|Ext\.?|poste|Durchwahl) ?\d{1,5})?")
 _CODE = re.compile(r"(?<![\w-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|[A-Z]{1,2}\d{6,8}[A-Z]?)(?![\w-])")
 _TOWN = r"(?:[A-ZÀ-Ý][\wà-ÿ'’-]+(?: [A-ZÀ-Ý][\wà-ÿ'’-]+)?)"
 _US = re.compile(
-    r"(?<![\w.,/=#-])\d{1,5}[A-Za-z]?,? (?:(?:[NSEW]{1,2}\.?|North|South|East|West) )?(?:[A-Z][\w'’-]+\.? ){1,3}(?:Street|St|Lane|Ln|Road|Rd|Avenue|Ave|Blvd|Boulevard|Drive|Dr|Court|Ct|Place|Pl|Terrace|Crescent|Cres|Mews|Way|Square|Sq|Close|Parkway|Pkwy|Row|Hill|Gardens|Circle|Highway)\b\.?"
+    r"(?<![\w.,/=#-])\d{1,5}[A-Za-z]?,? (?:(?:[NSEW]{1,2}\.?|North|South|East|West) )?(?:[A-Z][\w'’-]+\.? ){1,3}(?:Street|St|Lane|Ln|Road|Rd|Avenue|Ave|Blvd|Boulevard|Drive|Dr|Court|Ct|Place|Pl|Terrace|Crescent|Cres|Mews|Way|Square|Sq|Close|Parkway|Pkwy|Row|Hill|Gardens|Circle|Highway)\b(?:(?<=St)\.|(?<=Ave)\.|(?<=Blvd)\.|(?<=Rd)\.|(?<=Dr)\.|(?<=Ln)\.|(?<=Pl)\.|(?<=Ct)\.)?"
     rf"(?:,? (?:Apt|Suite|Unit|Flat|#)\.? ?\w+)?(?:(?:,\s?| ?\r?\n){_TOWN}(?: \d{{4,5}})?)?", re.ASCII)
 _STREET_NO = re.compile(r"(?<![\w.,/=#-])[A-Z][\w'’-]+ (?:Street|Lane|Road|Avenue|Drive|Court|Place|Terrace|Mews|Way) \d{1,4}[a-z]?(?![\w.])")
 _DE = re.compile(rf"(?<![\w./=#-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|kamp|gasse|platz|allee|ring|damm|ufer|steig|stieg|pfad|chaussee|graben)|(?:Am|An der|Im|Zum|Zur|Auf der) [A-ZÄÖÜ][\wäöüß-]+) \d{{1,4}} ?[a-z]?(?![\w])(?:,? \d{{4,5}} {_TOWN})?")
@@ -74,10 +79,42 @@ _KO = re.compile(r"(?<![가-힣])[가-힣]{1,5}(?:특별시|광역시|시|도|
 _POST = re.compile(r"\b\d{4,5}(?:-\d{3})?\b(?: ?[A-Z]{2}\b)?")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
-_finder = ahocorasick.Automaton()
-for _name in _GIVEN:
-    _finder.add_word(_name, len(_name))
-_finder.make_automaton()
+#: What announces or follows a person; what a street is called; what an address is written with.
+_CUE_WORDS = "mr. mrs. ms. dr. prof. frau herr mme mlle sr. sra. dhr. mevr. mevrouw|signed by|contact:|call|ask|appelle|llama a|ligue para|bitte|bel|au nom de|a nombre de|em nome de|op naam van|in the name of|you can reach|i think|the number of|name:|thanks,"
+_FOLLOWING = [" wrote:", " said the", " moved to", " wohnt jetzt", " approved this", " asked for", " lives at", " 님", "님", " 씨", "씨"]
+_STREET_WORDS = {
+    "us": " street, st, lane, ln, road, rd, avenue, ave, blvd, boulevard, drive, dr, court, ct, place, pl, terrace, crescent, cres, mews, way, square, close, parkway, row, hill, gardens, circle, highway",
+    "de": "straße,strasse,str.,weg ,kamp ,gasse ,platz ,allee ,ring ,damm ,ufer ,steig ,stieg ,pfad ,chaussee ,graben ,am , an der ,im ,zum ,zur ,auf der ",
+    "nl": "straat,laan ,kade ,gracht ,singel ,dijk ,steeg ,dreef ,plein ,pad ,hof ,markt ",
+    "ib": "calle ,c/,avenida ,avda,av.,paseo ,plaza ,camino ,ronda ,travesía ,callejón ,rua ,r. ,travessa ,praça ,alameda ,largo ,estrada ,beco ",
+    "fr": " rue , avenue , impasse , chemin , boulevard , place , allée , quai , cours , route , passage , square , sentier , ruelle ",
+}
+
+
+def _build() -> ahocorasick.Automaton:
+    words: dict[str, list[tuple[str, int]]] = {}
+    for name in _GIVEN:
+        words.setdefault(name, []).append(("given", len(name)))
+    for name in _KOREAN_LATIN:
+        words.setdefault(name, []).append(("korean", len(name)))
+    for mark in ("@", " dot ", "[dot]", "(dot)", "(at)", "[at]", "{at}"):
+        words.setdefault(mark, []).append(("email", len(mark)))
+    for part in _CUE_WORDS.split("|"):
+        for cue in part.split() if part.startswith("mr.") else [part]:
+            words.setdefault(cue, []).append(("cue", len(cue)))
+    for phrase in _FOLLOWING:
+        words.setdefault(phrase, []).append(("after", len(phrase)))
+    for form, listed in _STREET_WORDS.items():
+        for word in listed.split(","):
+            words.setdefault(word, []).append((form, len(word)))
+    out = ahocorasick.Automaton()
+    for word, kinds in words.items():
+        out.add_word(word, tuple(kinds))
+    out.make_automaton()
+    return out
+
+
+_finder = _build()
 
 
 def _case(word: str) -> str:
@@ -156,29 +193,53 @@ def _address_features(text: str, a: int, b: int, form: str) -> list[str]:
     return ["a", f"a:form={form}", f"a:post={bool(_POST.search(span[3:]))}", f"a:form={form}:l1={_mask(l1)}", f"a:r1={_mask(_word_right(text, b))}", f"a:line={chr(10) in span}", f"a:form={form}:comma={',' in span}"]
 
 
+def _window(text: str, at: int, left: int, right: int) -> tuple[int, int]:
+    """Bounds around a place, widened to blanks so that no word is cut."""
+    a, b = max(0, at - left), min(len(text), at + right)
+    while a > 0 and not text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and not text[b].isspace():
+        b += 1
+    return a, b
+
+
 def proposals(text: str) -> list[tuple[int, int, str, list[str]]]:
-    """Candidate segments (start, end, type, features); bounded in length by their forms."""
+    """Candidate segments (start, end, type, features); bounded in length by their forms.
+
+    One pass of a keyword automaton finds the places where a detail may be, and patterns are only matched around them.
+    """
     out: dict[tuple[int, int, str], list[str]] = {}
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    hits: dict[str, list[tuple[int, int]]] = {}
+    for end, kinds in _finder.iter(low):
+        for kind, size in kinds:
+            hits.setdefault(kind, []).append((end - size + 1, end + 1))
     taken: list[tuple[int, int]] = []
-    if "@" in low or "at]" in low or "at)" in low or "dot" in low or "at}" in low:
-        for m in _EMAIL.finditer(text):
+    done = 0
+    for a, _ in hits.get("email", ()):
+        if a < done:
+            continue
+        first, last = _window(text, a, 90, 130)
+        for m in _EMAIL.finditer(text, max(first, done), last):
+            if not m.start() <= a < m.end():
+                continue
             taken.append(m.span())
+            done = m.end()
             out[*m.span(), "email"] = ["e", f"e:plain={'@' in m[0]}", f"e:spaces={' ' in m[0]}", f"e:brackets={'[' in m[0] or '(' in m[0]}", f"e:l1={_words_left(text, m.start())[0]}", f"e:slash={text[max(0, m.start() - 2):m.start()] == '//'}", f"e:next={text[m.end():m.end() + 1] == ':'}"]
 
+    def inside(at: int) -> bool:
+        return any(x <= at < y for x, y in taken)
+
     def name(a: int, b: int, form: str) -> None:
         if (a, b, "name") not in out:
             out[a, b, "name"] = _name_features(text, a, b, form)
 
-    for end, size in _finder.iter(low):
-        a, b = end - size + 1, end + 1
-        if (a and (low[a - 1].isalnum() or low[a - 1] in "@._+")) or (b < len(low) and (low[b].isalnum() or low[b] in "@_+")):
+    for a, b in hits.get("given", ()):
+        if (a and (low[a - 1].isalnum() or low[a - 1] in "@._+")) or (b < len(low) and (low[b].isalnum() or low[b] in "@_+")) or inside(a):
             continue
-        if any(x <= a < y for x, y in taken):
-            continue
-        if text[b : b + 1] == "-" and (m := re.compile(rf"-{_W}").match(text, b)):
+        if text[b : b + 1] == "-" and (m := _HYPHENED.match(text, b)):
             b = m.end()
         if m := _AFTER.match(text, b):
             name(a, m.end(), "g+" + ("i" if "." in m[1] else "p" if m[1] else "") + ("-" if "-" in m[2] else ""))
@@ -190,46 +251,65 @@ def proposals(text: str) -> list[tuple[int, int, str, list[str]]]:
         if m := _MIDDLE.match(text, b):
             tail = m.end()
         before = text[max(0, a - 48) : a]
-        if m := _BEFORE_COMMA.search(before):
+        if before.endswith(", ") and (m := _BEFORE_COMMA.search(before)):
             at = a - len(before) + m.start(1)
             name(at, b, "w,g")
             if tail != b:
                 name(at, tail, "w,gi")
-        if m := _BEFORE.search(before):
+        elif before.endswith(" ") and (m := _BEFORE.search(before)):
             name(a - len(before) + m.start(1), b, "wg")
-    if "." in text:
-        for m in _INITIAL.finditer(text):
-            name(m.start(), m.end(), "iw" + ("-" if "-" in m[1] else ""))
-        for m in _INITIAL_LAST.finditer(text):
-            name(m.start(), m.end(), "w,i")
-    for m in _CUED.finditer(text):
-        name(m.start(1), m.end(1), "c," if "," in m[1] else "c")
-    for m in _SAID.finditer(text):
-        name(m.start(1), m.end(1), "s," if "," in m[1] else "s")
+    for m in _INITIAL.finditer(text):
+        if n := _FROM_INITIAL.match(text, m.start()):
+            name(n.start(), n.end(), "iw" + ("-" if "-" in n[1] else ""))
+        before = text[max(0, m.start() - 48) : m.start()]
+        if before.endswith(", ") and (n := _BEFORE_COMMA.search(before)):
+            name(m.start() - len(before) + n.start(1), m.end(), "w,i")
+    for a, b in hits.get("cue", ()):
+        if (not a or not low[a - 1].isalnum()) and (m := _PAIR.match(text, b)) and m.start(1) > b and not inside(m.start(1)):
+            name(m.start(1), m.end(1), "c," if "," in m[1] else "c")
+    for a, _ in hits.get("after", ()):
+        before = text[max(0, a - 64) : a]
+        if m := _PAIR_BEFORE.search(before):
+            name(a - len(before) + m.start(1), a, "s," if "," in m[1] else "s")
+        if low[a : a + 2].strip()[:1] in ("님", "씨") and (m := _HANGUL_TITLED.search(before)):
+            name(a - len(before) + m.start(1), a, "k+")
+    for a, b in hits.get("korean", ()):
+        if (a and (low[a - 1].isalnum() or low[a - 1] in "@._+-")) or (b < len(low) and low[b].isalnum()) or inside(a) or not text[a].isupper():
+            continue
+        if m := _LATIN_AFTER.match(text, b):
+            name(a, m.end(), "kl")
+        before = text[max(0, a - 24) : a]
+        if m := _LATIN_BEFORE.search(before):
+            name(a - len(before) + m.start(), b, "kl")
     if not text.isascii():
-        for m in _HANGUL.finditer(text):
-            if m[1]:
-                name(m.start(1), m.end(1), "k+")
-            else:
-                name(m.start(2), m.end(2), "k")
-        for m in _KO.finditer(text):
-            out[*m.span(), "address"] = _address_features(text, *m.span(), "ko")
-    for m in _LATIN_KOREAN.finditer(text):
-        name(m.start(), m.end(), "kl")
+        for m in _HANGUL_ALONE.finditer(text):
+            name(m.start(), m.end(), "k")
+        for m in _KO_NUMBER.finditer(text):
+            for n in _KO.finditer(text, max(0, m.start() - 30), m.end() + 14):
+                out[*n.span(), "address"] = _address_features(text, *n.span(), "ko")
     for m in _RUN.finditer(text):
-        if any(x <= m.start() < y for x, y in taken):
+        if inside(m.start()):
             continue
         out[*m.span(), "phone"] = _number_features(text, *m.span(), "p")
         out[*m.span(), "id_number"] = _number_features(text, *m.span(), "i")
     for m in _CODE.finditer(text):
         out[*m.span(), "id_number"] = _number_features(text, *m.span(), "i")
-    for form, pattern in _STREETS:
-        for m in pattern.finditer(text):
-            out[*m.span(), "address"] = _address_features(text, *m.span(), form)
+    for form, patterns in _STREETS:
+        for a, b in hits.get(form, ()):
+            if form in ("us", "de") and b < len(low) and low[b].isalpha() and low[b - 1] != " ":
+                continue
+            first, last = _window(text, a, 50, 90)
+            for pattern in patterns:
+                for m in pattern.finditer(text, first, last):
+                    if not m.start() <= a < m.end():
+                        continue
+                    out[*m.span(), "address"] = _address_features(text, *m.span(), "no" if pattern is _STREET_NO else form)
     return [(a, b, t, f) for (a, b, t), f in sorted(out.items(), key=lambda x: x[0])]
 
 
-_STREETS = [("us", _US), ("no", _STREET_NO), ("de", _DE), ("nl", _NL), ("ib", _IBERIAN), ("fr", _FR)]
+_STREETS = [("us", (_US, _STREET_NO)), ("de", (_DE,)), ("nl", (_NL,)), ("ib", (_IBERIAN,)), ("fr", (_FR,))]
+_HYPHENED = re.compile(rf"-{_W}")
+_KO_NUMBER = re.compile(r"(?<=[로길]) ?\d")
 _KNOWN = {*NICKNAMES, *(s for v in NICKNAMES.values() for s in v.split()), "soeren", "juergen"}
 #: Segments further apart than this do not influence each other.
 NEAR = 3

@@ -32,7 +32,7 @@ Her passport reads {id} and her phone is {phone}.|SSN {id}, do not paste it anyw
 reply-to={email};cc={email}|Please forward the export to <{email}>.|Ship the spare laptop to {address}.|Ship the spare laptop to {address}|Schreib an {email}, Frau {name} antwortet sofort.|Bitte {name} unter {phone} anrufen.|Das Paket geht an {address}.
 {name} wohnt jetzt in der {address}.|Ausweisnummer: {id}.|Envoie le compte rendu à {email}.|Appelle {name} au {phone}.|Le colis part au {address}.|Numéro de pièce : {id}, au nom de {name}.|Manda el resumen a {email}.|Llama a {name} al {phone}.
 El paquete va a {address}.|Documento {id} a nombre de {name}.|Envie o resumo para {email}.|Ligue para {name} no {phone}.|O pacote vai para {address}.|Documento {id} em nome de {name}.|Het pakket gaat naar {address}.|Stuur de samenvatting naar {email}.|Bel {name} op {phone}.|Nummer {id} staat op naam van {name}.
-결과는 {email} 주소로 보내 주세요.|등록 번호는 {id} 입니다.|소포는 {address} 주소로 갑니다.|{name} 님에게 {phone} 번호로 연락해 주세요.|{name} 씨가 확인했습니다.|My number: {phone}|{name} asked for the notes.|The notes of {name} are ready.|We met {name} in {address}.|{name}|{email}|{phone}|Name: {name}; e-mail: {email}; phone: {phone}|please ring {phone} after lunch|Thanks, {name}
+결과는 {email} 주소로 보내 주세요.|등록 번호는 {id} 입니다.|소포는 {address} 주소로 갑니다.|{name} 님에게 {phone} 번호로 연락해 주세요.|{name} 씨가 확인했습니다.|My number: {phone}|{name} asked for the notes.|The parcel went to {address}, not to the office.|Invoices go to {address}, attention {name}.|The notes of {name} are ready.|We met {name} in {address}.|{name}|{email}|{phone}|Name: {name}; e-mail: {email}; phone: {phone}|please ring {phone} after lunch|Thanks, {name}
 """.strip().replace("\n", "|").split("|")
 NEGATIVE = """
 {org} sent the invoice.|{family} Road Works renewed the licence until {date}.|{street} Road Works closed the account on {date}.|Mercury Lane is the code name of release 12.|Main Street is only the name of the demo theme.|{street} Street {n} is a chart title.|The {street} theme is named after no street.
