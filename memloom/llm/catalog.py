@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import conversations, leakage, names, near_duplicates, neighbours, personal, splitting
+from memloom.llm import conversations, languages, leakage, mixing, names, near_duplicates, neighbours, personal, splitting
 from memloom.tables import load
 
 
@@ -79,6 +79,26 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.without_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items", ["item_id", "text"])).select("doc_id", "source")
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(load(spark, folder, "documents", ["doc_id", "source", "text"]), load(spark, folder, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(load(spark, folder, "documents", ["doc_id", "source", "text"]), load(spark, folder, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.mislabelled(load(spark, folder, "documents", ["doc_id", "text", "lang"]), load(spark, folder, "lang_samples"))
+
+
+def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.segments(load(spark, folder, "documents", ["doc_id", "text"]), load(spark, folder, "lang_samples"))
+
+
+def p10_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.spans(load(spark, folder, "documents", ["doc_id", "text"]), load(spark, folder, "lang_samples"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -94,6 +114,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_groups": p7_groups,
     "p8_found": p8_found,
     "p8_clean": p8_clean,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_languages": p10_languages,
+    "p10_passages": p10_passages,
 }
 
 _ROLES = " ".join(
