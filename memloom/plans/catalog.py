@@ -5,46 +5,361 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memloom.operators import hierarchy as trees
+from memloom.functions import text as X
+from memloom.operators import gaps, graph, hierarchy, ingest, ranking
+from memloom.plans import reads
+from memloom.plans.model import MODEL_SQL, VISIBLE_SQL, Model
 from memloom.tables import load
 
+TERMS = ["schema", "queue", "cache"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
-def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return trees.hierarchy(load(spark, folder, "entities", ["id", "parent_id"]))
-
-
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _nodes(spark, folder).selectExpr("id as entity_id", "node_state", "root_id", "depth")
 
+def _dates_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
-def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    return trees.ancestor_pairs(_nodes(spark, folder))
 
+def _read(name: str, run: Callable[[Model], DataFrame], sql: str | None = None) -> None:
+    """Registers a query over the logical tables; ``sql`` follows their definitions."""
+    QUERIES[name] = lambda spark, folder: _dates_as_text(run(Model(spark, folder)))
+    if sql:
+        ORACLES[name] = MODEL_SQL + sql
 
-def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return trees.paths(_nodes(spark, folder))
 
+# --- hierarchy -------------------------------------------------------------------------------------------------------
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.hierarchy(load(spark, folder, "entities", ["id", "parent_id"]))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p4_found": p4_found,
-    "p4_descendants": p4_descendants,
-    "p4_paths": p4_paths,
-}
 
+QUERIES["p4_found"] = lambda spark, folder: _nodes(spark, folder).selectExpr("id as entity_id", "node_state", "root_id", "depth")
+QUERIES["p4_descendants"] = lambda spark, folder: hierarchy.ancestor_pairs(_nodes(spark, folder))
+QUERIES["p4_paths"] = lambda spark, folder: hierarchy.paths(_nodes(spark, folder))
 _REACH = """
     WITH RECURSIVE n AS (SELECT id, min(parent_id) AS parent_id FROM entities GROUP BY id),
          p AS (SELECT n.id, n.parent_id FROM n JOIN n k ON n.parent_id = k.id),
          reach AS (SELECT id, parent_id AS up FROM p
-                   UNION SELECT r.id, p.parent_id FROM reach r JOIN p ON r.up = p.id)"""
-
-ORACLES: dict[str, str] = {
-    "p4_found": _REACH + """,
+                   UNION SELECT r.id, p.parent_id FROM reach r JOIN p ON r.up = p.id),
          f AS (SELECT n.id, count(r.up) AS ups, max(CASE WHEN p.id IS NULL THEN r.up END) AS root,
-                      bool_or(r.up = n.id) AS ring, bool_or(p.id IS NULL) AS ends
-               FROM n LEFT JOIN reach r ON r.id = n.id LEFT JOIN p ON p.id = r.up GROUP BY n.id)
+                      coalesce(bool_or(r.up = n.id), false) AS ring, bool_or(p.id IS NULL) AS ends
+               FROM n LEFT JOIN reach r ON r.id = n.id LEFT JOIN p ON p.id = r.up GROUP BY n.id)"""
+ORACLES["p4_found"] = _REACH + """
         SELECT id AS entity_id,
                CASE WHEN ring THEN 'cycle' WHEN ends THEN 'tree' ELSE 'below_cycle' END AS node_state,
                CASE WHEN ring OR NOT ends THEN -1 WHEN ups = 0 THEN id ELSE root END AS root_id,
-               CAST(CASE WHEN ring THEN -1 WHEN ends THEN ups ELSE -2 END AS INTEGER) AS depth FROM f""",
-}
+               CAST(CASE WHEN ring THEN -1 WHEN ends THEN ups ELSE -2 END AS INTEGER) AS depth FROM f"""
+ORACLES["p4_descendants"] = _REACH + """,
+         d AS (SELECT id, ups FROM f WHERE ends AND NOT ring)
+        SELECT r.up AS ancestor_id, r.id, CAST(d.ups - u.ups AS INTEGER) AS distance
+        FROM reach r JOIN d ON r.id = d.id JOIN d u ON r.up = u.id"""
+ORACLES["p4_paths"] = _REACH + """,
+         d AS (SELECT id, ups FROM f WHERE ends AND NOT ring)
+        SELECT d.id, concat_ws('/', (SELECT string_agg(CAST(r.up AS VARCHAR), '/' ORDER BY u.ups) FROM reach r JOIN d u ON r.up = u.id WHERE r.id = d.id),
+                         CAST(d.id AS VARCHAR)) AS path FROM d"""
+
+# --- timelines -------------------------------------------------------------------------------------------------------
+_read("timeline_page", reads.timeline_page, """
+    SELECT id, episode_id, sequence, said_at, (SELECT count(*) FROM turn WHERE workspace_id = 1) AS total,
+           (SELECT count(*) FROM turn WHERE workspace_id = 1) > 50 AS has_more
+    FROM turn WHERE workspace_id = 1 ORDER BY said_at DESC, id DESC LIMIT 50""")
+_read("date_buckets", reads.date_buckets, "SELECT workspace_id, CAST(day AS VARCHAR) AS day, count(*) AS turns FROM turn GROUP BY ALL")
+_CLOSURE = """,
+    known AS (SELECT e.id, p.id AS parent_id FROM entity e JOIN entity p ON e.parent_id = p.id),
+    up AS (SELECT id, parent_id AS anc FROM known UNION SELECT u.id, k.parent_id FROM up u JOIN known k ON u.anc = k.id),
+    endless AS (SELECT DISTINCT id FROM up WHERE anc IN (SELECT id FROM up WHERE id = anc)),
+    depths AS (SELECT e.id, count(u.anc) AS n FROM entity e LEFT JOIN up u ON u.id = e.id GROUP BY e.id),
+    closure AS (SELECT u.anc AS ancestor_id, u.id AS descendant_id, CAST(a.n - b.n AS INTEGER) AS distance
+                FROM up u JOIN depths a ON a.id = u.id JOIN depths b ON b.id = u.anc
+                WHERE u.id NOT IN (SELECT id FROM endless)
+                UNION ALL SELECT id, id, 0 FROM entity)
+"""
+_read("subject_closure", reads.subject_closure, _CLOSURE + "SELECT * FROM closure")
+_read("subject_date_buckets", reads.subject_date_buckets, _CLOSURE + """
+    SELECT c.ancestor_id, CAST(l.day AS VARCHAR) AS day, count(DISTINCT l.turn_id) AS turns FROM link l JOIN closure c ON l.subject_id = c.descendant_id GROUP BY ALL""")
+_read("subject_feed", reads.subject_feed, _CLOSURE + """
+    SELECT ancestor_id, turn_id, CAST(f.day AS VARCHAR) AS day, row_number() OVER (PARTITION BY ancestor_id ORDER BY f.day DESC, turn_id DESC) AS place
+    FROM (SELECT DISTINCT c.ancestor_id, l.turn_id, l.day FROM link l JOIN closure c ON l.subject_id = c.descendant_id) f QUALIFY place <= 5""")
+_read("on_this_day", reads.on_this_day, """
+    SELECT id, workspace_id, CAST(turn.day AS VARCHAR) AS day, substr(text, 1, 200) AS excerpt FROM turn
+    WHERE month(turn.day) = 5 AND day(turn.day) = 13 AND turn.day <> DATE '2026-05-13'""")
+_read("last_episodes", reads.last_episodes, f"""
+    SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, id DESC) AS place, id,
+           substr(coalesce(nullif(human_summary, ''), summary), 1, 150) AS summary
+    FROM episode WHERE {VISIBLE_SQL} QUALIFY place <= 3""")
+_read("diaries_by_date", reads.diaries_by_date, f"""
+    , span AS (SELECT episode_id, min(said_at) AS first_at, count(*) AS n FROM turn WHERE episode_id IS NOT NULL GROUP BY 1)
+    SELECT e.id, e.workspace_id, CAST(CAST(coalesce(first_at, e.created_at) AS DATE) AS VARCHAR) AS day, coalesce(n, 0) AS turns
+    FROM episode e LEFT JOIN span ON e.id = span.episode_id WHERE {VISIBLE_SQL} AND length(trim(summary)) > 0""")
+# --- subjects, entities, facts ---------------------------------------------------------------------------------------
+_DEGREE = ", degree AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM relation UNION ALL SELECT target FROM relation) GROUP BY 1)\n"
+_read("subject_tree", reads.subject_tree, """
+    , n AS (SELECT subject_id, count(DISTINCT turn_id) AS turns FROM link GROUP BY 1)
+    SELECT e.id, p.subject_id AS parent_id, e.name, n.turns, p.subject_id IS NULL AS is_root
+    FROM entity e JOIN n ON e.id = n.subject_id LEFT JOIN n p ON e.parent_id = p.subject_id""")
+_read("subjects_by_turns", reads.subjects_by_turns, """
+    SELECT e.id, e.name, p.name AS parent_name, (SELECT count(DISTINCT turn_id) FROM link WHERE subject_id = e.id) AS turns
+    FROM entity e LEFT JOIN entity p ON e.parent_id = p.id""")
+_read("entity_index", reads.entity_index, _DEGREE + """
+    SELECT f.workspace_id, f.subject, count(*) AS facts, max(valid_from) AS latest, coalesce(any_value(d.degree), 0) AS degree,
+           CAST(sum(count(*)) OVER (PARTITION BY f.workspace_id) AS BIGINT) AS workspace_facts
+    FROM fact f LEFT JOIN degree d ON d.name = f.subject GROUP BY f.workspace_id, f.subject""")
+_read("top_entities", reads.top_entities, _DEGREE + """
+    SELECT subject, count(*) AS facts, coalesce(any_value(degree), 0) AS degree FROM fact LEFT JOIN degree ON name = subject
+    GROUP BY subject ORDER BY facts DESC, degree DESC, subject LIMIT 10""")
+_read("entity_page", reads.entity_page, """
+    SELECT subject, count(*) AS facts, count(DISTINCT episode_id) AS episodes,
+           (SELECT count(*) FROM relation WHERE source = subject) AS outgoing, (SELECT count(*) FROM relation WHERE target = subject) AS incoming
+    FROM fact GROUP BY subject""")
+_read("entity_degree", reads.degree, _DEGREE + "SELECT * FROM degree")
+_read("fact_dedup", reads.fact_dedup, """
+    SELECT hint_id, episode_id, min(hint_id) OVER w AS fact_id, CASE WHEN hint_id = min(hint_id) OVER w THEN 'source' ELSE 'reinforcing' END AS role
+    FROM fact WINDOW w AS (PARTITION BY workspace_id, subject, predicate, object_value)""")
+_read("fact_history", reads.fact_history, """
+    SELECT workspace_id, subject, predicate, object_value, hint_id, count(*) OVER (PARTITION BY workspace_id, subject, predicate) AS versions
+    FROM fact QUALIFY row_number() OVER (PARTITION BY workspace_id, subject, predicate ORDER BY valid_from DESC NULLS LAST, hint_id DESC) = 1""")
+_read("top3_facts", reads.top3_facts, """
+    SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY valid_from DESC NULLS LAST, hint_id) AS place, hint_id, predicate, object_value
+    FROM fact QUALIFY place <= 3""")
+_read("topic_stats", reads.topic_stats, "SELECT predicate, count(*) AS facts, count(DISTINCT subject) AS subjects FROM fact GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+_OPEN = ", ".join(repr(x) for x in reads.OPEN_PREDICATES)
+_OPEN_ITEMS = f"""
+    , last AS (SELECT episode_id, max(said_at) AS worked_at FROM turn WHERE episode_id IS NOT NULL GROUP BY 1),
+    open AS (SELECT hint_id, workspace_id, subject, predicate, substr(object_value, 1, 120) AS object_value, worked_at,
+           row_number() OVER (PARTITION BY workspace_id ORDER BY worked_at DESC NULLS LAST, hint_id) AS place
+    FROM fact LEFT JOIN last USING (episode_id) WHERE predicate IN ({_OPEN}))"""
+_read("open_items", reads.open_items, _OPEN_ITEMS + "SELECT * FROM open")
+_read("reinforced_facts", reads.reinforced_facts, """
+    SELECT workspace_id, subject, predicate, object_value, count(*) AS links, min(hint_id) AS fact_id FROM fact GROUP BY 1, 2, 3, 4 ORDER BY 5 DESC, 6 LIMIT 5""")
+# --- graph -----------------------------------------------------------------------------------------------------------
+_read("collapsed_edges", reads.collapsed_edges, "SELECT source, target, relation_type, count(*) AS weight FROM relation GROUP BY ALL")
+_HUBS = _DEGREE + ", hub AS (SELECT * FROM degree ORDER BY degree DESC, name LIMIT 25)\n"
+_read("hub_nodes", reads.hub_nodes, _HUBS + "SELECT * FROM hub")
+_read("hub_edges", reads.hub_edges, _HUBS + """
+    SELECT source, target, relation_type, count(*) AS weight FROM relation
+    WHERE source IN (SELECT name FROM hub) AND target IN (SELECT name FROM hub) GROUP BY ALL""")
+_read("edge_summary", reads.edge_summary, _DEGREE + """
+    SELECT n.workspace_id, count(*) AS names, CAST(sum(CASE WHEN d.name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS isolated,
+           (SELECT count(*) FROM relation r WHERE r.workspace_id = n.workspace_id) AS edges
+    FROM (SELECT DISTINCT workspace_id, subject FROM fact) n LEFT JOIN degree d ON d.name = n.subject GROUP BY n.workspace_id""")
+_BOTH = """, both_ways AS (SELECT source AS anchor, target AS other, relation_type, 'out' AS direction FROM relation
+    UNION ALL SELECT target, source, relation_type, 'in' FROM relation)\n"""
+_read("relations_both_ways", reads.relations_both_ways, _BOTH + "SELECT * FROM both_ways")
+_read("neighbors_1hop", reads.neighbors_1hop, _BOTH + """
+    SELECT anchor, other, relation_type, direction, count(*) AS edges, (SELECT count(*) FROM fact WHERE subject = other) AS facts FROM both_ways GROUP BY ALL""")
+
+
+def _anchors(m: Model) -> DataFrame:
+    return reads.hub_nodes(m, 5).select("name")
+
+
+_ANCHORS = _HUBS + ", anchor AS (SELECT name FROM degree ORDER BY degree DESC, name LIMIT 5)\n"
+_read("bfs_hops", lambda m: graph.hops(m.relations, _anchors(m), 2), _ANCHORS + _BOTH + """
+    , reached AS (SELECT name, 0 AS depth FROM anchor UNION SELECT b.other, r.depth + 1 FROM reached r JOIN both_ways b ON b.anchor = r.name WHERE r.depth < 2)
+    SELECT name, min(depth) AS depth FROM reached GROUP BY name""")
+_read("path_walk", lambda m: graph.walks(m.relations, _anchors(m), 2), _ANCHORS + """
+    , step AS (SELECT DISTINCT source, target FROM relation),
+    walk AS (SELECT [name] AS names, 0 AS depth FROM anchor
+             UNION ALL SELECT list_append(names, target), depth + 1 FROM walk JOIN step ON source = names[-1] WHERE depth < 2 AND NOT list_contains(names, target))
+    SELECT array_to_string(names, '>') AS path, depth FROM walk""")
+_read("communities", lambda m: graph.communities(m.relations))
+# --- workspaces and briefs -------------------------------------------------------------------------------------------
+_read("workspaces_rich", reads.workspaces_rich, """
+    , top AS (SELECT workspace_id, string_agg(subject, ', ' ORDER BY n DESC, subject) AS top
+              FROM (SELECT workspace_id, subject, count(*) AS n FROM fact GROUP BY 1, 2
+                    QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY count(*) DESC, subject) <= 3) GROUP BY 1),
+    ep AS (SELECT workspace_id, count(*) AS n, max(created_at) AS latest FROM episode GROUP BY 1)
+    SELECT w.id, w.name, status = 'active' AS is_active, coalesce(ep.n, 0) AS episodes, ep.latest, top.top
+    FROM workspaces w LEFT JOIN ep ON w.id = ep.workspace_id LEFT JOIN top ON w.id = top.workspace_id""")
+_read("dashboard", reads.dashboard, f"""
+    SELECT (SELECT count(*) FROM episode WHERE {VISIBLE_SQL}) AS episodes, (SELECT count(*) FROM turn) AS turns, (SELECT count(*) FROM fact) AS facts,
+           (SELECT count(*) FROM entity WHERE entity_type <> 'episode_topic') AS entities, (SELECT count(*) FROM relation) AS relations,
+           (SELECT count(*) FROM summary) AS summaries, (SELECT CAST(min(day) AS VARCHAR) FROM turn) AS first_day, (SELECT CAST(max(day) AS VARCHAR) FROM turn) AS last_day""")
+_SIGNALS = """
+    , sig AS (SELECT workspace_id, sum(CASE WHEN day = DATE '2026-05-13' THEN 1 ELSE 0 END) AS t, sum(CASE WHEN day >= DATE '2026-05-07' THEN 1 ELSE 0 END) AS w,
+                     date_diff('day', max(day), DATE '2026-05-13') AS q FROM turn WHERE day <= DATE '2026-05-13' GROUP BY 1),
+    signals AS (SELECT w.id AS workspace_id, CAST(coalesce(t, 0) AS BIGINT) AS turns_today, CAST(coalesce(sig.w, 0) AS BIGINT) AS turns_week, CAST(q AS INTEGER) AS quiet_days,
+           CASE WHEN q IS NULL THEN 'DORMANT' WHEN t >= 20 THEN 'HOT' WHEN q <= 2 THEN 'ACTIVE' WHEN q <= 7 THEN 'QUIET' ELSE 'DORMANT' END AS tag
+    FROM workspaces w LEFT JOIN sig ON w.id = sig.workspace_id)
+"""
+_read("activity_signals", reads.activity_signals, _SIGNALS + "SELECT * FROM signals")
+_read("recent_threads", reads.recent_threads, """
+    SELECT workspace_id, subject_id, CAST(sum(CASE WHEN day >= DATE '2026-04-30' THEN turn_count ELSE 0 END) AS BIGINT) AS recent, CAST(sum(turn_count) AS BIGINT) AS total,
+           row_number() OVER (PARTITION BY workspace_id ORDER BY sum(CASE WHEN day >= DATE '2026-04-30' THEN turn_count ELSE 0 END) DESC, sum(turn_count) DESC, subject_id) AS place
+    FROM daily WHERE day <= DATE '2026-05-13' GROUP BY 1, 2 QUALIFY recent > 0 OR place <= 3""")
+_PENDING = ", pend AS (SELECT * FROM daily WHERE (workspace_id, subject_id, day) NOT IN (SELECT (workspace_id, subject_id, day) FROM summary))\n"
+_CANDIDATES = _OPEN_ITEMS + _SIGNALS + _PENDING + """
+    , cand AS (SELECT workspace_id, 'predicate' AS kind, concat_ws(' ', subject, predicate) AS what, 100 AS score, hint_id AS ref FROM open
+    UNION ALL SELECT workspace_id, 'dormant', 'dormant', 60, workspace_id FROM signals WHERE tag = 'DORMANT'
+    UNION ALL SELECT workspace_id, 'summary_missing', 'summaries', 30, workspace_id FROM pend GROUP BY workspace_id HAVING count(*) >= 5)
+"""
+_read("reco_candidates", reads.reco_candidates, _CANDIDATES + "SELECT * FROM cand")
+_read("reco_top3", reads.reco_top3, _CANDIDATES + """
+    SELECT workspace_id, kind, what, score, ref FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY score DESC, kind, ref) AS nth FROM cand)
+    ORDER BY nth > 2, score DESC, kind, ref, workspace_id LIMIT 3""")
+_read("pending_reflects", reads.pending_reflects, _PENDING + "SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM pend")
+_read("summaries_range", reads.summaries_range, """
+    SELECT workspace_id, subject_id, name, CAST(summary.day AS VARCHAR) AS day, turn_count FROM summary JOIN entity ON entity.id = subject_id WHERE summary.day BETWEEN DATE '2026-01-01' AND DATE '2026-03-31'""".replace("workspace_id, subject_id", "summary.workspace_id, subject_id"))
+_read("data_quality", reads.data_quality, """
+    SELECT w.id AS workspace_id, count(s.subject_id) AS summaries FROM workspaces w
+    LEFT JOIN summary s ON s.workspace_id = w.id AND s.day BETWEEN DATE '2026-04-30' AND DATE '2026-05-13' GROUP BY w.id""")
+_read("upload_status", reads.upload_status, """
+    , n AS (SELECT episode_id, count(*) AS c FROM turn WHERE episode_id IS NOT NULL GROUP BY 1)
+    SELECT workspace_id, CAST(coalesce(sum(c), 0) AS BIGINT) AS turns, count(DISTINCT session_id) AS sessions, min(created_at) AS first_at, max(created_at) AS last_at
+    FROM episode LEFT JOIN n ON id = episode_id GROUP BY workspace_id""")
+_read("unclassified", reads.unclassified, """
+    SELECT episode_id, count(*) AS turns FROM turn WHERE episode_id IS NOT NULL AND episode_id NOT IN (SELECT episode_id FROM link) GROUP BY 1""")
+_read("link_histogram", reads.link_histogram, "SELECT turns, count(*) AS subjects FROM (SELECT subject_id, count(DISTINCT turn_id) AS turns FROM link GROUP BY 1) GROUP BY 1")
+_read("multi_subject_episodes", reads.multi_subject_episodes, """
+    SELECT episode_id, count(*) AS n, string_agg(CAST(subject_id AS VARCHAR), ',' ORDER BY subject_id) AS subjects
+    FROM (SELECT DISTINCT episode_id, subject_id FROM link) GROUP BY 1 HAVING count(*) >= 3""")
+_read("cardinalities", reads.cardinalities, "\nUNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {source}"
+    for name, source in (("workspaces", "workspaces"), ("episodes", "episode"), ("turns", "turn"), ("entities", "entity"), ("facts", "fact"), ("relations", "relation"), ("links", "link"))))
+_read("community_count", reads.community_count, "SELECT workspace_id, count(DISTINCT community_id) AS communities, count(*) AS entities FROM entity GROUP BY 1")
+_read("keyword_union", reads.keyword_union, f"""
+    SELECT DISTINCT workspace_id, unnest(CAST(json_extract(metadata, '$.keywords') AS VARCHAR[])) AS keyword FROM episode WHERE json_valid(metadata) AND {VISIBLE_SQL}""")
+_read("largest_episode", reads.largest_episode, """
+    SELECT session_id, episode_id, turns FROM (SELECT episode_id, count(*) AS turns FROM turn WHERE episode_id IS NOT NULL GROUP BY 1) n JOIN episode e ON e.id = n.episode_id
+    QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turns DESC, episode_id) = 1""")
+# --- ingest ----------------------------------------------------------------------------------------------------------
+_read("turn_dedupe", lambda m: ingest.dedupe_turns(m.turns).select("id", "episode_id", "sequence"), """
+    SELECT id, episode_id, sequence FROM turn QUALIFY row_number() OVER (PARTITION BY episode_id, role, text ORDER BY sequence NULLS FIRST, id) = 1""")
+_read("dropped_duplicates", lambda m: ingest.dropped_duplicates(m.turns), """
+    SELECT episode_id, count(*) AS kept, CAST(sum(n - 1) AS BIGINT) AS dropped FROM (SELECT episode_id, role, text, count(*) AS n FROM turn GROUP BY ALL) GROUP BY 1""")
+_read("content_dedupe", lambda m: ingest.content_dedupe(m.episodes).select("id", "workspace_id", F.sha2("content", 256).alias("hash")), """
+    SELECT id, workspace_id, sha256(content) AS hash FROM episode QUALIFY row_number() OVER (PARTITION BY workspace_id, sha256(content) ORDER BY created_at, id) = 1""")
+_read("ledger_decision", lambda m: ingest.ledger(m.episodes), """
+    SELECT id, workspace_id, session_id, CASE WHEN row_number() OVER (PARTITION BY workspace_id, content_hash ORDER BY created_at, id) > 1 THEN 'duplicate'
+           WHEN row_number() OVER (PARTITION BY workspace_id, session_id ORDER BY created_at, id) > 1 THEN 'append_v2' ELSE 'new' END AS decision FROM episode""")
+_read("upsert_latest", lambda m: ingest.upsert_latest(
+    m.summaries, m.daily.filter(F.dayofmonth("day") >= 15).withColumn("turn_count", F.col("turn_count") + 1), ["workspace_id", "subject_id", "day"]), """
+    SELECT workspace_id, subject_id, CAST(daily.day AS VARCHAR) AS day, turn_count + CAST(day(daily.day) >= 15 AS INTEGER) AS turn_count FROM daily WHERE day(daily.day) % 2 = 0 OR day(daily.day) >= 15""")
+_read("insert_absent", lambda m: ingest.insert_absent(m.summaries.select("subject_id", "day"), m.daily.select("subject_id", "day"), ["subject_id", "day"])[0], """
+    SELECT DISTINCT subject_id, CAST(daily.day AS VARCHAR) AS day FROM daily WHERE (subject_id, daily.day) NOT IN (SELECT (subject_id, day) FROM summary)""")
+_read("merged_keywords", lambda m: m.entities.select("id", F.array_join(ingest.merged_keywords(F.col("aliases"), F.array("name_normalized")), "|").alias("names")), """
+    SELECT id, array_to_string(list_distinct_ordered, '|') AS names FROM (SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered
+    FROM (SELECT id, list_concat(coalesce(aliases, []), [name_normalized]) AS l FROM entity))""")
+_read("resolve_entities", lambda m: ingest.resolve_entities(
+    load(m.spark, m.folder, "entity_hints", ["workspace_id", "name"]).filter("name is not null"), m.entities,
+    m.entities.select("workspace_id", F.col("id").alias("entity_id"), F.explode("aliases").alias("alias"))), """
+    , exact AS (SELECT workspace_id, name_normalized AS key, min(id) AS by_name FROM entity GROUP BY ALL),
+    alias AS (SELECT workspace_id, lower(a) AS key, min(id) AS by_alias FROM (SELECT workspace_id, id, unnest(aliases) AS a FROM entity) GROUP BY ALL)
+    SELECT h.workspace_id, h.name, coalesce(by_name, by_alias) AS entity_id, CASE WHEN by_name IS NOT NULL THEN 'name' WHEN by_alias IS NOT NULL THEN 'alias' ELSE 'new' END AS how
+    FROM (SELECT DISTINCT workspace_id, name FROM entity_hints WHERE name IS NOT NULL) h
+    LEFT JOIN exact ON h.workspace_id = exact.workspace_id AND lower(trim(h.name)) = exact.key LEFT JOIN alias ON h.workspace_id = alias.workspace_id AND lower(trim(h.name)) = alias.key""")
+_read("chunking", lambda m: ingest.chunks(m.turns.filter("episode_id is not null")), """
+    SELECT episode_id, chunk, count(*) AS turns, min(sequence) AS first_sequence, max(sequence) AS last_sequence
+    FROM (SELECT *, (row_number() OVER (PARTITION BY episode_id ORDER BY sequence, id) - 1) // 30 AS chunk FROM turn WHERE episode_id IS NOT NULL) GROUP BY 1, 2""")
+_PAIRS = """
+    , islands AS (SELECT *, sum(CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY sequence, id ROWS UNBOUNDED PRECEDING) AS pair
+                FROM turn WHERE episode_id IS NOT NULL),
+    pairs AS (SELECT episode_id, CAST(pair AS BIGINT) AS pair, min(sequence) AS first_sequence,
+           CAST(sum(CASE WHEN lower(trim(role)) IN ('assistant', 'ai', 'model') THEN 1 WHEN role IS NULL THEN NULL ELSE 0 END) AS BIGINT) AS answers, CAST(sum(length(text)) AS BIGINT) AS chars
+    FROM islands WHERE pair > 0 GROUP BY episode_id, pair)"""
+_read("pair_islands", lambda m: ingest.message_pairs(m.turns.filter("episode_id is not null")), _PAIRS + "SELECT * FROM pairs")
+_read("lookback", lambda m: ingest.lookback(ingest.message_pairs(m.turns.filter("episode_id is not null"))), _PAIRS + """
+    SELECT *, coalesce(string_agg(CAST(first_sequence AS VARCHAR), '|') OVER (PARTITION BY episode_id ORDER BY pair ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS context FROM pairs""")
+_read("stratified_sample", lambda m: ingest.stratified_sample(m.episodes.select("id", "workspace_id"), "workspace_id", "id", 2), """
+    SELECT id, workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY md5(CAST(id AS VARCHAR)), id) AS nth FROM episode QUALIFY nth <= 2""")
+_read("sample_head_middle_tail", lambda m: ingest.head_middle_tail(m.turns.filter("episode_id is not null")).select("id", "episode_id", "part"), """
+    SELECT id, episode_id, CASE WHEN nth <= 3 THEN 'head' WHEN nth > size - 3 THEN 'tail' WHEN nth > floor((size - 3) / 2.0) AND nth <= floor((size - 3) / 2.0) + 3 THEN 'middle' END AS part
+    FROM (SELECT id, episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY sequence, id) AS nth, count(*) OVER (PARTITION BY episode_id) AS size FROM turn WHERE episode_id IS NOT NULL)
+    WHERE part IS NOT NULL""")
+# --- text ------------------------------------------------------------------------------------------------------------
+_read("token_estimate", lambda m: m.turns.select("id", X.token_estimate(F.col("text")).alias("tokens")), """
+    SELECT id, CAST(length(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g')) // 4
+                 + (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g'))) // 2 AS BIGINT) AS tokens FROM turn""")
+_read("quality_gate", lambda m: m.episodes.select("id", X.low_quality_summary(F.col("summary")).alias("low_quality")), """
+    SELECT id, length(s) < 50 OR regexp_full_match(s, '[0-9]+') OR regexp_full_match(s, 'jsonl-agent-[0-9a-f]+') AS low_quality
+    FROM (SELECT id, regexp_replace(coalesce(summary, ''), '^\\s+|\\s+$', '', 'g') AS s FROM episode)""")
+_read("signal_boost", lambda m: m.turns.filter("text is not null").select("id", X.signal_boost(F.col("text")).alias("boost")), r"""
+    SELECT id, CAST(regexp_matches(text, '(?i)\b(decided|decision|agreed|let''s)\b') AS INTEGER) + CAST(regexp_matches(text, '(?i)\b(important|never|always|must|remember)\b') AS INTEGER)
+               + CAST(regexp_matches(text, '(?i)\b(error|bug|failed|broken|stopped)\b') AS INTEGER) AS boost FROM turn WHERE text IS NOT NULL""")
+_read("fragment_types", lambda m: m.facts.select("hint_id", X.fragment_type(F.coalesce("source_quote", F.lit(""))).alias("kind"), X.relation_type(F.col("predicate")).alias("relation_type"),
+                                               X.fragment_content(F.col("source_quote"), F.col("subject"), F.col("predicate"), F.col("object_value")).alias("content")), "SELECT hint_id, CASE " + " ".join(
+    f"WHEN regexp_matches(coalesce(source_quote, ''), '{p}') THEN '{k}'" for k, p in X.FRAGMENT_RULES) + f""" ELSE 'fact' END AS kind,
+    CASE WHEN predicate IN ({", ".join(repr(x) for x in X.RELATION_TYPES)}) THEN predicate ELSE 'related_to' END AS relation_type,
+    CASE WHEN length(b) > 500 THEN substr(b, 1, 497) || '...' ELSE b END AS content
+    FROM (SELECT *, CASE WHEN length(trim(source_quote)) >= 10 THEN source_quote ELSE concat_ws(' ', subject, predicate, object_value) END AS b FROM fact)""")
+_read("snippets", lambda m: m.episodes.filter(F.locate("schema", F.lower("content")) > 0).select("id", X.snippet(F.col("content"), "schema").alias("snippet")), """
+    SELECT id, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(content, s, 400) || CASE WHEN length(content) > s + 399 THEN '...' ELSE '' END AS snippet
+    FROM (SELECT id, content, greatest(strpos(lower(content), 'schema') - 100, 1) AS s FROM episode WHERE strpos(lower(content), 'schema') > 0)""")
+_SCORE = " + ".join(f"(length(lower(B)) - length(replace(lower(B), '{t}', ''))) // {len(t)}" for t in TERMS)
+_read("term_scores", lambda m: ranking.text_search(m.episodes, ["content", "summary"], "id", TERMS, 50), f"""
+    SELECT id, CASE WHEN s > c OR (s = c AND s > 0) THEN 'summary' ELSE 'content' END AS field, greatest(c, s) AS score
+    FROM (SELECT id, CAST({_SCORE.replace("B", "coalesce(content, '')")} AS BIGINT) AS c, CAST({_SCORE.replace("B", "coalesce(summary, '')")} AS BIGINT) AS s FROM episode)
+    WHERE greatest(c, s) > 0 ORDER BY score DESC, id LIMIT 50""")
+_PARAGRAPH = " + ".join(f"((length(lower(body)) - length(replace(lower(body), '{t}', ''))) // {len(t)}) * {max(1.0, len(t) / 3)!r}" for t in TERMS)
+_read("excerpt_scores", lambda m: ranking.excerpt_paragraphs(m.episodes.filter("content is not null"), "id", "content", TERMS).select("id", "paragraph", F.round("score", 6).alias("score")), f"""
+    SELECT id, paragraph, round({_PARAGRAPH}, 6) AS score FROM (SELECT id, CAST(i - 1 AS INTEGER) AS paragraph, parts[i] AS body
+    FROM (SELECT id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT id, regexp_split_to_array(content, '\\n\\s*\\n') AS parts FROM episode WHERE content IS NOT NULL)))
+    WHERE {_PARAGRAPH} > 0""")
+_read("excerpts", lambda m: ranking.excerpts(m.episodes.filter("content is not null"), "id", "content", TERMS))
+_read("sanitize", lambda m: m.turns.filter("text is not null").select("id", X.sanitized(F.col("text")).alias("s")).select("id", "s.cleaned", F.size("s.removed").cast("long").alias("removed")))
+_read("decay_rescore", lambda m: m.facts.filter("valid_from is not null").select(
+    "hint_id", F.round(X.decay(F.datediff(F.lit(reads.TODAY), F.to_date("valid_from")).cast("double"), X.fragment_type(F.coalesce("source_quote", F.lit("")))), 9).alias("weight")), "SELECT hint_id, round(power(0.5, greatest(date_diff('day', CAST(valid_from AS DATE), DATE '2026-05-13'), 0) / CASE kind " + " ".join(
+    f"WHEN '{k}' THEN {v!r}" for k, v in X.HALF_LIFE_DAYS.items()) + " ELSE 60.0 END), 9) AS weight FROM (SELECT hint_id, valid_from, CASE " + " ".join(
+    f"WHEN regexp_matches(coalesce(source_quote, ''), '{p}') THEN '{k}'" for k, p in X.FRAGMENT_RULES) + " ELSE 'fact' END AS kind FROM fact WHERE valid_from IS NOT NULL)")
+_read("minmax_scaled", lambda m: ranking.minmax(m.facts.groupBy("workspace_id", "subject").agg(F.count(F.lit(1)).cast("double").alias("facts")), "facts", "workspace_id", "subject").select(
+    "workspace_id", "subject", F.round("scaled", 9).alias("scaled")), """
+    , c AS (SELECT workspace_id, subject, CAST(count(*) AS DOUBLE) AS facts FROM fact GROUP BY 1, 2)
+    SELECT workspace_id, subject, round(CASE WHEN max(facts) OVER w - min(facts) OVER w < 1e-9 THEN 1.0 - (row_number() OVER (PARTITION BY workspace_id ORDER BY facts DESC, subject) - 1) / CAST(count(*) OVER w AS DOUBLE)
+           ELSE (facts - min(facts) OVER w) / (max(facts) OVER w - min(facts) OVER w) END, 9) AS scaled FROM c WINDOW w AS (PARTITION BY workspace_id)""")
+
+
+# --- vectors and fusion ----------------------------------------------------------------------------------------------
+def _query_vector(spark: SparkSession, folder: str) -> list[float]:
+    """The vector with the smallest id: one row that stands for a query's embedding."""
+    return load(spark, folder, "embeddings").orderBy("vec_id").first().embedding
+
+
+_SIMILAR = """(WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1)
+    SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))
+           * list_dot_product(CAST(q.v AS DOUBLE[]), CAST(q.v AS DOUBLE[]))), 6) AS similarity FROM embeddings, q)"""
+QUERIES["cosine_topk"] = lambda spark, folder: ranking.nearest_to(load(spark, folder, "embeddings"), _query_vector(spark, folder), "embedding", "vec_id", 20)
+ORACLES["cosine_topk"] = f"SELECT * FROM {_SIMILAR} ORDER BY similarity DESC, id LIMIT 20"
+
+
+def _rrf(spark: SparkSession, folder: str) -> DataFrame:
+    """Fusion of three ranked lists over episodes: terms in content, terms in summary, turns linked."""
+    from pyspark.sql import Window
+
+    m = Model(spark, folder)
+    place = lambda df: df.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("id", "place")
+    by_text = place(ranking.text_search(m.episodes, ["content"], "id", TERMS, 90))
+    by_summary = place(ranking.text_search(m.episodes, ["summary"], "id", TERMS, 90))
+    linked = m.links.groupBy(F.col("episode_id").alias("id")).agg(F.count(F.lit(1)).alias("score")).orderBy(F.desc("score"), "id").limit(90)
+    lists = {"text": by_text, "vector": by_summary, "graph": place(linked)}
+    return ranking.fused(lists).select("id", F.round("rrf_score", 9).alias("rrf_score"))
+
+
+QUERIES["rrf_fusion"] = _rrf
+ORACLES["rrf_fusion"] = MODEL_SQL + f"""
+    , a AS (SELECT id, CAST({_SCORE.replace("B", "coalesce(content, '')")} AS BIGINT) AS score FROM episode),
+    b AS (SELECT id, CAST({_SCORE.replace("B", "coalesce(summary, '')")} AS BIGINT) AS score FROM episode),
+    c AS (SELECT episode_id AS id, count(*) AS score FROM link GROUP BY 1),
+    ranked AS (SELECT id, 0.5 AS w, row_number() OVER (ORDER BY score DESC, id) AS place FROM a WHERE score > 0
+        UNION ALL SELECT id, 1.0, row_number() OVER (ORDER BY score DESC, id) FROM b WHERE score > 0
+        UNION ALL SELECT id, 1.0, row_number() OVER (ORDER BY score DESC, id) FROM c)
+    SELECT id, round(sum(CAST(w AS DOUBLE) / (60 + place)), 9) AS rrf_score FROM ranked WHERE place <= 90 GROUP BY id"""
+
+
+def _mmr(spark: SparkSession, folder: str) -> DataFrame:
+    """Diverse selections among the vectors, one for each label's pool of the most relevant."""
+    from pyspark.sql import Window
+
+    query = F.array(*[F.lit(float(x)) for x in _query_vector(spark, folder)])
+    scored = load(spark, folder, "embeddings").select(
+        F.col("label").alias("pool"), F.col("vec_id").alias("id"), ranking.cosine(F.col("embedding"), query).alias("relevance"), F.col("embedding").alias("vector"), (F.col("vec_id") % 7).cast("int").alias("community")
+    )
+    best = Window.partitionBy("pool").orderBy(F.desc("relevance"), "id")
+    pools = scored.withColumn("n", F.row_number().over(best)).filter("n <= 100").drop("n")
+    return ranking.diverse(pools, "pool")
+
+
+QUERIES["mmr_select"] = _mmr
+# --- gaps ------------------------------------------------------------------------------------------------------------
+_read("gap_candidates", lambda m: gaps.candidates(m))
+_read("gap_coverage", lambda m: gaps.coverage(m))
