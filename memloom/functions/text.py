@@ -114,7 +114,7 @@ def path_stem(path: Column) -> Column:
 
 def chain(spec: Column) -> Column:
     """'A>B>C' as an array of trimmed names, blanks dropped."""
-    return F.filter(F.transform(F.split(spec, ">"), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(spec, ">"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def signal_boost(text: Column) -> Column:
