@@ -87,13 +87,14 @@ class Tree:
 
     def best_bins(self, unit: np.ndarray, visits: int | None = None) -> np.ndarray:
         """Leaf numbers in the order in which best-bin-first search visits them, for each query."""
-        far = -(unit @ self.centres.T)
+        own = -(unit @ self.centres.T)
+        far = own.copy()
         for node in range(1, len(self.parent)):
             if self.parent[node] > 0:
                 np.maximum(far[:, node], far[:, self.parent[node]], out=far[:, node])
-        keys = far[:, self.leaves]
         visits = len(self.leaves) if visits is None else min(visits, len(self.leaves))
-        order = np.argsort(keys, axis=1, kind="stable")[:, :visits]
+        # Leaves whose way was opened by the same far node then come in the order of their own distance.
+        order = np.lexsort((own[:, self.leaves], far[:, self.leaves]), axis=1)[:, :visits]
         return self.leaf[self.leaves][order]
 
 
