@@ -68,6 +68,16 @@ class Tree:
         self.centres, self.parent, self.leaf = np.asarray(centres, dtype=np.float32), np.asarray(parent), np.asarray(leaf)
         self.children = [np.flatnonzero(self.parent == i) for i in range(len(parent))]
         self.leaves = np.flatnonzero(self.leaf >= 0)
+        ways = []
+        for node in self.leaves:
+            way = []
+            while node > 0:
+                way.append(node)
+                node = self.parent[node]
+            ways.append(way[::-1])
+        depth = max(1, *map(len, ways))
+        # Nodes from the root's child to the leaf; -1, behind the last centre, fills up.
+        self.ways = np.array([way + [-1] * (depth - len(way)) for way in ways])
 
     def assign(self, unit: np.ndarray) -> np.ndarray:
         """Leaf number of each row, going down to the nearest child."""
@@ -87,14 +97,18 @@ class Tree:
 
     def best_bins(self, unit: np.ndarray, visits: int | None = None) -> np.ndarray:
         """Leaf numbers in the order in which best-bin-first search visits them, for each query."""
-        own = -(unit @ self.centres.T)
-        far = own.copy()
-        for node in range(1, len(self.parent)):
-            if self.parent[node] > 0:
-                np.maximum(far[:, node], far[:, self.parent[node]], out=far[:, node])
         visits = len(self.leaves) if visits is None else min(visits, len(self.leaves))
-        # Leaves whose way was opened by the same far node then come in the order of their own distance.
-        order = np.lexsort((own[:, self.leaves], far[:, self.leaves]), axis=1)[:, :visits]
+        order = np.empty((len(unit), visits), dtype=np.int64)
+        for a in range(0, len(unit), 256):
+            far = np.hstack([-(unit[a : a + 256] @ self.centres.T), np.full((len(unit[a : a + 256]), 1), -np.inf, np.float32)])
+            keys = far[:, self.ways]  # query, leaf, step of its way
+            ranks = []
+            for _ in range(self.ways.shape[1]):
+                # The farthest node on the way opens last; below it the order is again that of the farthest.
+                ranks.append(keys.max(axis=2))
+                opened = keys.argmax(axis=2)
+                keys[np.arange(self.ways.shape[1])[None, None, :] <= opened[:, :, None]] = -np.inf
+            order[a : a + 256] = np.lexsort(ranks[::-1], axis=1)[:, :visits]
         return self.leaf[self.leaves][order]
 
 
