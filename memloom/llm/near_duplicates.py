@@ -78,30 +78,62 @@ def planes(shingles: np.ndarray, groups: int) -> tuple[np.ndarray, int, np.ndarr
     return np.packbits(unary, axis=1).view(np.uint64).ravel(), int(np.maximum(counts - PLANES, 0).sum()), counts
 
 
-def sets_of(df: DataFrame, id_col: str, text_col: str, field: str, least_words: int, width: int) -> DataFrame:
-    """(field, id, n, sig, shingles): the sets of all records with enough words; sig is equal for equal sets."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).filter(
+def _texts(df: DataFrame, id_col: str, text_col: str, field: str, least_words: int) -> DataFrame:
+    """(field, id, least, body) of the records that may have enough words."""
+    return df.select(F.lit(field).alias("field"), F.col(id_col).cast("long").alias("id"), F.lit(least_words).alias("least"), F.col(text_col).cast("string").alias("body")).filter(
         F.col("id").isNotNull() & (F.length("body") >= 2 * least_words - 1)
     )
 
+
+def _each_set(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[str, int, np.ndarray]]:
+    hashes = _Hashes()
+    for batch in batches:
+        for field, i, least, text in zip(*(batch.column(k) for k in range(4)), strict=True):
+            words, s = shingle_set(text.as_py(), width, hashes)
+            if words >= least.as_py() and len(s):
+                yield field.as_py(), i.as_py(), s
+
+
+def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], size: int = 4_000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+
+def points_of(texts: DataFrame, width: int) -> DataFrame:
+    """(field, id, n, sig, own, folded, over, over_half, box): the points of all records; sig is equal for equal sets.
+
+    Only points leave the task: the sets, many times larger, are made again for the few records to be verified.
+    """
+    names = ["field", "id", "n", "sig", "own", "folded", "over", "over_half", "box"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            ids, sizes, sigs, sets = [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, s = shingle_set(text.as_py(), width, hashes)
-                if words >= least_words and len(s):
-                    raw = s.tobytes()
-                    ids.append(i)
-                    sizes.append(len(s))
-                    sigs.append(xxhash.xxh3_128_digest(raw))
-                    sets.append(raw)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([field] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())],
-                ["field", "id", "n", "sig", "shingles"],
-            )
-
-    return rows.mapInArrow(run, "field string, id long, n int, sig binary, shingles binary")
+        def rows() -> Iterator[tuple]:
+            for field, i, s in _each_set(batches, width):
+                groups = groups_for(len(s))
+                own, over, counts = planes(s, groups)
+                folded, over_half, _ = planes(s, max(groups // 2, LEAST_GROUPS))
+                box = counts.reshape(-1, LEAST_GROUPS).sum(axis=0).astype(np.int32)
+                yield field, i, len(s), xxhash.xxh3_128_digest(s.tobytes()), own.tobytes(), folded.tobytes(), over, over_half, box.tobytes()
+
+        yield from _batched(rows(), names, kinds)
+
+    return texts.mapInArrow(run, "field string, id long, n int, sig binary, own binary, folded binary, over int, over_half int, box binary")
+
+
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """(field, id, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(((f, i, s.tobytes()) for f, i, s in _each_set(batches, width)), ["field", "id", "shingles"], [pa.string(), pa.int64(), pa.binary()], 500)
+
+    return texts.mapInArrow(run, "field string, id long, shingles binary")
 
 
 def _leaf_rows(reps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -130,33 +162,25 @@ def _leaf_rows(reps: DataFrame, scratch: Scratch) -> DataFrame:
         reps.withColumn("groups", F.expr(_GROUPS_SQL)).withColumn("bin", fine)
         .join(F.broadcast(table), ["field", "groups", "bin"])
         .withColumn("leaf", F.col("leaf0") + F.pmod(F.xxhash64("id"), F.col("parts")))
-        .select("leaf", "field", "groups", "id", "n", "shingles")
+        .select("leaf", "field", "groups", "id", "n", "own", "folded", "over", "over_half", "box")
     )
 
     def pack(points: pa.Table) -> pa.Table:
-        n = points.column("n").to_numpy()
-        order = np.argsort(n, kind="stable")
-        groups = points.column("groups")[0].as_py()
-        half = max(groups // 2, LEAST_GROUPS)
-        own, folded, over, over_half, box = [], [], [], [], np.zeros(LEAST_GROUPS, np.int64)
-        raw = points.column("shingles").to_pylist()
-        for i in order:
-            s = np.frombuffer(raw[i], np.uint64)
-            a, t, counts = planes(s, groups)
-            own.append(a)
-            over.append(t)
-            b, t, _ = planes(s, half)
-            folded.append(b)
-            over_half.append(t)
-            np.maximum(box, counts.reshape(-1, LEAST_GROUPS).sum(axis=0), out=box)
-        pick = lambda c: points.column(c).to_numpy()[order]
+        _, first = np.unique(points.column("id").to_numpy(), return_index=True)  # redelivered rows fall into one leaf
+        n = points.column("n").to_numpy()[first]
+        order = first[np.argsort(n, kind="stable")]
+        box = np.frombuffer(b"".join(points.column("box").to_pylist()), np.int32).reshape(-1, LEAST_GROUPS).max(axis=0)
+        pick = lambda c: points.column(c).to_numpy()[order].astype(np.int64).tobytes()
         one = lambda x: pa.array([x])
+
+        def joined(c: str) -> bytes:
+            raw = points.column(c).to_pylist()
+            return b"".join(raw[i] for i in order)
+
         return pa.table({
-            "leaf": one(points.column("leaf")[0].as_py()), "field": one(points.column("field")[0].as_py()), "groups": pa.array([groups], pa.int32()),
-            "least": pa.array([int(n.min())], pa.int32()), "most": pa.array([int(n.max())], pa.int32()), "box": one(box.tobytes()),
-            "ids": one(pick("id").astype(np.int64).tobytes()), "ns": one(pick("n").astype(np.int64).tobytes()),
-            "own": one(np.vstack(own).tobytes()), "folded": one(np.vstack(folded).tobytes()),
-            "over": one(np.asarray(over, np.int64).tobytes()), "over_half": one(np.asarray(over_half, np.int64).tobytes()),
+            "leaf": one(points.column("leaf")[0].as_py()), "field": one(points.column("field")[0].as_py()), "groups": pa.array([points.column("groups")[0].as_py()], pa.int32()),
+            "least": pa.array([int(n.min())], pa.int32()), "most": pa.array([int(n.max())], pa.int32()), "box": one(box.astype(np.int64).tobytes()),
+            "ids": one(pick("id")), "ns": one(pick("n")), "own": one(joined("own")), "folded": one(joined("folded")), "over": one(pick("over")), "over_half": one(pick("over_half")),
         })
 
     kind = "leaf long, field string, groups int, least int, most int, box binary, ids binary, ns binary, own binary, folded binary, over binary, over_half binary"
@@ -234,15 +258,24 @@ def _candidates(leaves: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
     return both.mapInArrow(run, "field string, id_a long, id_b long")
 
 
-def similar_classes(sets: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(members (field, id, rep), pairs of representatives (field, rep_a, rep_b, similarity)) of stored ``sets``."""
-    classes = sets.groupBy("field", "sig").agg(F.min("id").alias("rep"))
-    members = scratch.write(sets.select("field", "id", "sig").distinct().join(classes, ["field", "sig"]).select("field", "id", "rep"), "members")
-    reps = sets.join(members.filter("id = rep").select("field", "id"), ["field", "id"], "left_semi").dropDuplicates(["field", "id"])
+#: Up to so many candidate records (16 bytes each) are sent to every task to pick their texts; beyond, they are joined.
+SENT_IDS = 500_000
+
+
+def similar_classes(texts: DataFrame, threshold: float, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(members (field, id, rep), pairs of representatives (field, rep_a, rep_b, similarity)) of ``texts``."""
+    points = scratch.write(points_of(texts, width), "points")
+    classes = points.groupBy("field", "sig").agg(F.min("id").alias("rep"))
+    members = scratch.write(points.select("field", "id", "sig").distinct().join(classes, ["field", "sig"]).select("field", "id", "rep"), "members")
+    reps = points.join(members.filter("id = rep").select("field", "id"), ["field", "id"], "left_semi").drop("sig")
     leaves = _leaf_rows(reps, scratch)
     pairs = _leaf_pairs(leaves, threshold, scratch)
     found = scratch.write(_candidates(leaves, pairs, threshold), "candidates")
-    side = lambda s: sets.select("field", F.col("id").alias(f"id_{s}"), F.col("shingles").alias(f"set_{s}")).dropDuplicates(["field", f"id_{s}"])
+    needed = scratch.write(found.select("field", F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "needed")
+    few = needed.count() <= SENT_IDS
+    chosen = texts.join(F.broadcast(needed) if few else needed, ["field", "id"], "left_semi")
+    sets = scratch.write(sets_of(chosen.select("field", "id", "least", "body"), width).dropDuplicates(["field", "id"]), "sets")
+    side = lambda s: sets.select("field", F.col("id").alias(f"id_{s}"), F.col("shingles").alias(f"set_{s}"))
     both = found.join(side("a"), ["field", "id_a"]).join(side("b"), ["field", "id_b"]).select("field", "id_a", "id_b", "set_a", "set_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,16 +293,11 @@ def similar_classes(sets: DataFrame, threshold: float, scratch: Scratch) -> tupl
     return members, both.mapInArrow(verify, "field string, rep_a long, rep_b long, similarity double")
 
 
-def episode_sets(episodes: DataFrame, scratch: Scratch, width: int = 3, content_words: int = 40, summary_words: int = 25) -> DataFrame:
-    content = sets_of(episodes, "id", "content", "content", content_words, width)
-    summary = sets_of(episodes, "id", "summary", "summary", summary_words, width)
-    return scratch.write(content.unionByName(summary), "sets")
-
-
-def near_duplicates(episodes: DataFrame, threshold: float = 0.7, width: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(episodes: DataFrame, threshold: float = 0.7, width: int = 3, content_words: int = 40, summary_words: int = 25) -> tuple[DataFrame, DataFrame]:
     """Members and representative pairs of the episodes' contents and summaries; see ``similar_classes``."""
     scratch = Scratch(episodes.sparkSession, "near-duplicates")
-    return similar_classes(episode_sets(episodes, scratch, width), threshold, scratch)
+    texts = _texts(episodes, "id", "content", "content", content_words).unionByName(_texts(episodes, "id", "summary", "summary", summary_words))
+    return similar_classes(texts, threshold, width, scratch)
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
