@@ -43,6 +43,7 @@ _LOG = re.compile(
 )
 _END = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+|(?<=[다요][.])\s*")
 _WORD = re.compile(r"[^\W\d_]+")
+_UNSEEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]|</?[A-Za-z][^<>]{0,80}>")
 _LINE_NUMBER = re.compile(r"^\s*\d{1,6}\t")
 
 
@@ -225,7 +226,7 @@ def classify(net: ByteNet, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(class number, confidence) of each piece; longer pieces are read in overlapping windows, all of them."""
     rows, owner = [], []
     for i, piece in enumerate(pieces):
-        raw = piece.encode("utf-8", "replace")
+        raw = _UNSEEN.sub("", piece).encode("utf-8", "replace")
         for a in range(0, max(1, len(raw) - (WINDOW - STRIDE)), STRIDE):
             rows.append(raw[a : a + WINDOW])
             owner.append(i)
