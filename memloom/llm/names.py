@@ -360,7 +360,9 @@ def linked(hints: DataFrame) -> DataFrame:
             rows = [(w, d, k) for w, k in zip(batch["workspace_id"], batch["key"], strict=True) for d in deletes(k)]
             yield pd.DataFrame(rows, columns=["workspace_id", "part", "key"])
 
-    parts = keys.select("workspace_id", "key").distinct().mapInPandas(index, "workspace_id long, part string, key string")
+    # The parts are many times the keys, so the work is spread before it: a number given keeps it from being merged again.
+    spread = 4 * hints.sparkSession.sparkContext.defaultParallelism
+    parts = keys.select("workspace_id", "key").distinct().repartition(spread, "workspace_id", "key").mapInPandas(index, "workspace_id long, part string, key string")
     near = (
         parts.join(parts.select("workspace_id", "part", F.col("key").alias("key_b")), ["workspace_id", "part"])
         .filter("key <= key_b").select("workspace_id", "key", "key_b").distinct()
