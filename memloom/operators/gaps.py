@@ -6,10 +6,11 @@ quotes, how many names and words they have and how strong their wording is; the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import text as X
+from memloom.operators.ordered import running
 
 LEAST_CHARS = 40
 LEAST_PAIR_CHARS = 60
@@ -20,11 +21,8 @@ SUBSTANTIVE_TOKENS = 5
 
 def exchanges(turns: DataFrame) -> DataFrame:
     """(episode_id, pair, text, words): a user turn and the answers after it; too short ones are left out."""
-    order = Window.partitionBy("episode_id").orderBy("sequence", "id")
     role = F.lower(F.trim("role"))
-    counted = turns.filter("text is not null and episode_id is not null").withColumn(
-        "pair", F.sum(role.isin("user", "human").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    counted = running(turns.filter("text is not null and episode_id is not null"), "episode_id", ["sequence", "id"], {"pair": role.isin("user", "human")})
     spoken = counted.filter((F.col("pair") > 0) & (F.length("text") >= LEAST_CHARS))
     joined = spoken.groupBy("episode_id", "workspace_id", "pair").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sequence", "id", "text"))), lambda x: x["text"]), "\n").alias("text")

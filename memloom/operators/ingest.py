@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import text as X
+from memloom.operators.ordered import running
 
 
 def dedupe_turns(turns: DataFrame) -> DataFrame:
@@ -31,10 +32,11 @@ def content_dedupe(episodes: DataFrame) -> DataFrame:
 
 def ledger(episodes: DataFrame) -> DataFrame:
     """Ingest decisions: a repeated hash is a duplicate, a known session an appended version, anything else new."""
-    hashes = Window.partitionBy("workspace_id", "content_hash").orderBy("created_at", "id")
-    sessions = Window.partitionBy("workspace_id", "session_id").orderBy("created_at", "id")
-    return episodes.withColumn("h", F.row_number().over(hashes)).withColumn("s", F.row_number().over(sessions)).select(
-        "id", "workspace_id", "session_id", F.when(F.col("h") > 1, "duplicate").when(F.col("s") > 1, "append_v2").otherwise("new").alias("decision")
+    # Only the first row of a key differs from the others, so minima are enough and no window holds a hot session.
+    first = lambda key, name: episodes.groupBy("workspace_id", key).agg(F.min(F.struct("created_at", "id")).alias("f")).select(F.col("f.id").alias("id"), F.lit(True).alias(name))
+    marked = episodes.join(first("content_hash", "first_hash"), "id", "left").join(first("session_id", "first_session"), "id", "left")
+    return marked.select(
+        "id", "workspace_id", "session_id", F.when(F.col("first_hash").isNull(), "duplicate").when(F.col("first_session").isNull(), "append_v2").otherwise("new").alias("decision")
     )
 
 
@@ -92,25 +94,27 @@ def clean_turns(turns: DataFrame) -> DataFrame:
 
 def chunks(turns: DataFrame, size: int = 30) -> DataFrame:
     """Chunks of so many turns of each episode, with their first and last sequence."""
-    order = Window.partitionBy("episode_id").orderBy("sequence", "id")
-    numbered = turns.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    numbered = running(turns, "episode_id", ["sequence", "id"], {"nth": F.lit(1)}).withColumn("chunk", F.floor((F.col("nth") - 1) / size).cast("long"))
     return numbered.groupBy("episode_id", "chunk").agg(F.count(F.lit(1)).alias("turns"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"))
 
 
 def message_pairs(turns: DataFrame) -> DataFrame:
     """A user turn with the assistant turns that follow it: gaps and islands over a running count of user turns."""
-    order = Window.partitionBy("episode_id").orderBy("sequence", "id")
     role = F.lower(F.trim("role"))
-    island = F.sum(role.isin("user", "human").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return turns.withColumn("pair", island).filter("pair > 0").groupBy("episode_id", "pair").agg(
+    return running(turns, "episode_id", ["sequence", "id"], {"pair": role.isin("user", "human")}).filter("pair > 0").groupBy("episode_id", "pair").agg(
         F.min("sequence").alias("first_sequence"), F.sum(role.isin("assistant", "ai", "model").cast("long")).alias("answers"), F.sum(F.length("text")).alias("chars")
     )
 
 
 def lookback(pairs: DataFrame, rows: int = 2) -> DataFrame:
     """Each pair with the sequences of the previous ones, joined by '|'."""
-    before = Window.partitionBy("episode_id").orderBy("pair").rowsBetween(-rows, -1)
-    return pairs.withColumn("context", F.array_join(F.transform(F.collect_list("first_sequence").over(before), lambda x: x.cast("string")), "|"))
+    # Pairs are numbered without gaps, so the previous ones are found by their numbers.
+    out = pairs
+    for back in range(rows, 0, -1):
+        earlier = pairs.select(F.col("episode_id").alias("_e"), (F.col("pair") + back).alias("_p"), F.col("first_sequence").cast("string").alias(f"_before{back}"))
+        out = out.join(earlier, (F.col("episode_id") == F.col("_e")) & (F.col("pair") == F.col("_p")), "left").drop("_e", "_p")
+    before = [f"_before{back}" for back in range(rows, 0, -1)]
+    return out.withColumn("context", F.concat_ws("|", *before)).drop(*before)
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int = 1) -> DataFrame:
@@ -121,9 +125,8 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int = 1) -> Data
 
 def head_middle_tail(turns: DataFrame, n: int = 3) -> DataFrame:
     """The first, middle and last n turns of each episode; a turn counts once, in the first part that it is in."""
-    order = Window.partitionBy("episode_id").orderBy("sequence", "id")
-    whole = Window.partitionBy("episode_id")
-    placed = turns.withColumn("nth", F.row_number().over(order)).withColumn("size", F.count(F.lit(1)).over(whole))
+    sizes = turns.groupBy(F.col("episode_id").alias("_e")).agg(F.count(F.lit(1)).alias("size"))
+    placed = running(turns, "episode_id", ["sequence", "id"], {"nth": F.lit(1)}).join(sizes, F.col("episode_id").eqNullSafe(F.col("_e"))).drop("_e")
     middle = F.floor((F.col("size") - n) / 2)
     part = F.when(F.col("nth") <= n, "head").when(F.col("nth") > F.col("size") - n, "tail").when((F.col("nth") > middle) & (F.col("nth") <= middle + n), "middle")
     return placed.withColumn("part", part).filter(F.col("part").isNotNull())

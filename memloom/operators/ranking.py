@@ -17,12 +17,12 @@ WEIGHTS = {"graph": 1.0, "vector": 1.0, "text": 0.5}
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Dot product of two arrays in double precision."""
+    """Dot product of two arrays in double precision; null if a number is null."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def nearest_to(df: DataFrame, query: Sequence[float], vector_col: str, id_col: str, k: int) -> DataFrame:

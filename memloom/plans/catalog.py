@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import text as X
-from memloom.operators import gaps, graph, hierarchy, ingest, ranking
+from memloom.operators import classify, gaps, graph, hierarchy, ingest, ranking, search
 from memloom.plans import reads
 from memloom.plans.model import MODEL_SQL, VISIBLE_SQL, Model
 from memloom.tables import load
@@ -126,8 +126,7 @@ _read("topic_stats", reads.topic_stats, "SELECT predicate, count(*) AS facts, co
 _OPEN = ", ".join(repr(x) for x in reads.OPEN_PREDICATES)
 _OPEN_ITEMS = f"""
     , last AS (SELECT episode_id, max(said_at) AS worked_at FROM turn WHERE episode_id IS NOT NULL GROUP BY 1),
-    open AS (SELECT hint_id, workspace_id, subject, predicate, substr(object_value, 1, 120) AS object_value, worked_at,
-           row_number() OVER (PARTITION BY workspace_id ORDER BY worked_at DESC NULLS LAST, hint_id) AS place
+    open AS (SELECT hint_id, workspace_id, subject, predicate, substr(object_value, 1, 120) AS object_value, worked_at
     FROM fact LEFT JOIN last USING (episode_id) WHERE predicate IN ({_OPEN}))"""
 _read("open_items", reads.open_items, _OPEN_ITEMS + "SELECT * FROM open")
 _read("reinforced_facts", reads.reinforced_facts, """
@@ -363,3 +362,75 @@ QUERIES["mmr_select"] = _mmr
 # --- gaps ------------------------------------------------------------------------------------------------------------
 _read("gap_candidates", lambda m: gaps.candidates(m))
 _read("gap_coverage", lambda m: gaps.coverage(m))
+
+# --- further reads ---------------------------------------------------------------------------------------------------
+_read("ledger_page", reads.ledger_page, """
+    SELECT id, workspace_id, CASE WHEN row_number() OVER (PARTITION BY workspace_id, content_hash ORDER BY created_at, id) > 1 THEN 'duplicate'
+           WHEN row_number() OVER (PARTITION BY workspace_id, session_id ORDER BY created_at, id) > 1 THEN 'append_v2' ELSE 'new' END AS decision, created_at
+    FROM episode ORDER BY created_at DESC, id DESC LIMIT 50""")
+_read("session_briefing", reads.session_briefing, _PENDING + """
+    SELECT workspace_id, 'recent_facts' AS part, count(*) AS n FROM fact WHERE CAST(valid_from AS DATE) >= DATE '2026-05-07' GROUP BY 1
+    UNION ALL SELECT workspace_id, CASE WHEN day = DATE '2026-05-13' THEN 'today' ELSE 'yesterday' END, count(*) FROM turn WHERE day IN (DATE '2026-05-13', DATE '2026-05-12') GROUP BY 1, 2
+    UNION ALL SELECT workspace_id, 'pending', count(*) FROM pend GROUP BY 1
+    UNION ALL SELECT workspace_id, 'subjects', count(DISTINCT subject_id) FROM daily WHERE day BETWEEN DATE '2026-05-07' AND DATE '2026-05-13' GROUP BY 1""")
+_read("subject_inventory", reads.subject_inventory, "SELECT DISTINCT e.session_id, l.subject_id FROM link l JOIN episode e ON e.id = l.episode_id")
+_read("latest_values", reads.latest_values, """
+    SELECT subject, predicate, object_value, hint_id FROM fact QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY valid_from DESC NULLS LAST, hint_id DESC) = 1""")
+_read("deadline_facts", reads.deadline_facts, """
+    SELECT hint_id, CASE WHEN regexp_matches(b, '(?i)today') THEN 20 WHEN regexp_matches(b, '(?i)tomorrow') THEN 15 WHEN regexp_matches(b, '(?i)this week') THEN 10 ELSE 0 END AS bonus
+    FROM (SELECT hint_id, concat_ws(' ', object_value, source_quote) AS b FROM fact) WHERE regexp_matches(b, '(today|tomorrow|this week|deadline|Tuesday|sprint)')""")
+_read("entity_name_flags", reads.entity_name_flags, r"""
+    SELECT id, contains(name, '>') OR contains(name, '+') OR regexp_matches(name, '\d{4}-\d{2}-\d{2}') AS is_label,
+           split_part(regexp_replace(lower(name), '[_.-]', ' ', 'g'), ' ', 1) AS family, count(*) OVER (PARTITION BY lower(name)) AS same_name FROM entity WHERE name IS NOT NULL""".replace("\\\\", "\\"))
+_read("workspace_pages", reads.workspace_pages, """
+    SELECT id, status, (SELECT max(created_at) FROM episode e WHERE e.workspace_id = w.id) AS latest FROM workspaces w ORDER BY status = 'active' DESC, latest DESC NULLS LAST, id LIMIT 20""")
+# --- search ----------------------------------------------------------------------------------------------------------
+_FACT_TEXT = "concat_ws(' ', subject, predicate, object_value, source_quote)"
+_FACT_SCORE = "CAST(" + _SCORE.replace("B", _FACT_TEXT) + " AS BIGINT)"
+_HYBRID = _ANCHORS + _BOTH + f"""
+    , reached AS (SELECT name, 0 AS depth FROM anchor UNION SELECT b.other, r.depth + 1 FROM reached r JOIN both_ways b ON b.anchor = r.name WHERE r.depth < 2),
+    near AS (SELECT hint_id AS id, min(depth) AS depth FROM fact JOIN reached ON name = subject GROUP BY 1),
+    worded AS (SELECT hint_id AS id, {_FACT_SCORE} AS score FROM fact),
+    ranked AS (SELECT id, 1.0 AS w, row_number() OVER (ORDER BY depth, id) AS place FROM near QUALIFY place <= 100
+               UNION ALL SELECT id, 0.5, row_number() OVER (ORDER BY score DESC, id) AS place FROM worded WHERE score > 0 QUALIFY place <= 300),
+    hybrid AS (SELECT r.id, any_value(f.subject) AS subject, any_value(f.predicate) AS predicate, any_value(f.object_value) AS object_value, round(sum(CAST(w AS DOUBLE) / (60 + place)), 9) AS rrf_score
+               FROM ranked r JOIN fact f ON f.hint_id = r.id GROUP BY r.id ORDER BY rrf_score DESC, r.id LIMIT 20)
+"""
+_read("hybrid_search", lambda m: search.hybrid_search(m, _anchors(m), TERMS), _HYBRID + "SELECT * FROM hybrid")
+_read("search_evidence", lambda m: search.evidence(m, search.hybrid_search(m, _anchors(m), TERMS)), _HYBRID + """
+    SELECT h.id, f.episode_id, (SELECT count(DISTINCT g.episode_id) FROM fact g WHERE g.workspace_id = f.workspace_id AND g.subject = f.subject AND g.predicate = f.predicate AND g.object_value = f.object_value) AS episodes,
+           (SELECT count(DISTINCT g.object_value) - 1 FROM fact g WHERE g.workspace_id = f.workspace_id AND g.subject = f.subject AND g.predicate = f.predicate) AS other_values,
+           (SELECT count(DISTINCT target) FROM relation WHERE source = f.subject) AS related
+    FROM hybrid h JOIN fact f ON f.hint_id = h.id""")
+_read("search_rescored", lambda m: search.rescored(m, search.hybrid_search(m, _anchors(m), TERMS), reads.TODAY))
+_read("topic_map", lambda m: search.topic_map(m, TERMS), f"""
+    , pool AS (SELECT *, {_FACT_SCORE} AS score FROM fact WHERE {_FACT_SCORE} > 0 ORDER BY score DESC, hint_id LIMIT 50)
+    SELECT subject, count(*) AS facts, max(score) AS best, string_agg(DISTINCT predicate, ',' ORDER BY predicate) AS predicates, min(valid_from) AS first_at, max(valid_from) AS last_at
+    FROM pool GROUP BY subject ORDER BY best DESC, facts DESC, subject LIMIT 15""")
+_ANY = " OR ".join(f"contains(lower(coalesce({c}, '')), '{t}')" for t in TERMS for c in ("subject", "predicate", "object_value", "source_quote"))
+_read("fallback_search", lambda m: search.fallback_search(m, TERMS), f"SELECT hint_id, subject, predicate FROM fact WHERE {_ANY} ORDER BY hint_id LIMIT 50")
+
+
+def _stored_query(m: Model) -> list[float]:
+    """A stored fact's vector, standing for a query's embedding: the usable one with the smallest id."""
+    return m.table("memory_vectors", "vector_id").filter("source_type = 'fact' and size(vector) = 64 and not exists(vector, x -> x is null or isnan(x)) and exists(vector, x -> x <> 0)").orderBy("vector_id").first().vector
+
+
+_read("passage_search", lambda m: search.passages(m, _stored_query(m), "fact"))
+_read("hybrid_with_vectors", lambda m: search.hybrid_search(m, _anchors(m), TERMS, _stored_query(m)))
+# --- transcripts and classification ----------------------------------------------------------------------------------
+_read("transcript_turns", lambda m: classify.transcript_turns(m.episodes.filter("content is not null"), "id", "content"))
+_read("transcripts_built", lambda m: classify.transcript(m.turns.filter("episode_id is not null")).select("episode_id", F.sha2("content", 256).alias("content_hash")), """
+    SELECT episode_id, sha256(string_agg('[' || lower(trim(role)) || '] ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY sequence, id) FILTER (role IS NOT NULL)) AS content_hash
+    FROM turn WHERE episode_id IS NOT NULL GROUP BY 1""")
+_TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{c}'" for c, p in classify.TOPIC_RULES) + " ELSE 'Other' END"
+_CHAINS = f""", chains AS (SELECT episode_id, {_TOPIC} AS chain FROM (SELECT episode_id, text FROM turn WHERE episode_id IS NOT NULL AND lower(trim(role)) IN ('user', 'human') AND length(trim(text)) > 0
+    QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY sequence, id) = 1))\n"""
+_read("classified_episodes", lambda m: classify.classified(m.turns), _CHAINS + "SELECT * FROM chains")
+_read("chain_links", lambda m: classify.chain_links(classify.classified(m.turns)), _CHAINS + """
+    SELECT episode_id, parts[i] AS subject, CASE WHEN i > 1 THEN parts[i - 1] END AS parent, CAST(i - 1 AS INTEGER) AS depth
+    FROM (SELECT episode_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT episode_id, string_split(chain, '>') AS parts FROM chains))""")
+_read("running_budget", lambda m: classify.running_budget(m.turns.filter("episode_id is not null"), 400, 4000).select("id", "episode_id", "used"), """
+    SELECT id, episode_id, CAST(sum(coalesce(length(substr(text, 1, 400)), 0)) OVER (PARTITION BY episode_id ORDER BY sequence, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used
+    FROM turn WHERE episode_id IS NOT NULL QUALIFY used <= 4000""")
+_read("without_scaffolding", lambda m: m.turns.filter("text is not null").select("id", F.length(classify.without_scaffolding(F.col("text"))).alias("chars")))

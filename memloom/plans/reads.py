@@ -102,8 +102,8 @@ def entity_index(m: Model) -> DataFrame:
     """Names with their facts and links, grouped by predicate-bearing type, types with most facts first."""
     counts = m.facts.groupBy("workspace_id", "subject").agg(F.count(F.lit(1)).alias("facts"), F.max("valid_from").alias("latest"))
     return counts.join(degree(m).withColumnRenamed("name", "subject"), "subject", "left").select(
-        "workspace_id", "subject", "facts", "latest", F.coalesce("degree", F.lit(0)).alias("degree"), F.sum("facts").over(Window.partitionBy("workspace_id")).alias("workspace_facts")
-    )
+        "workspace_id", "subject", "facts", "latest", F.coalesce("degree", F.lit(0)).alias("degree")
+    ).join(m.facts.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("workspace_facts")), "workspace_id")
 
 
 def top_entities(m: Model, limit: int = 10) -> DataFrame:
@@ -127,19 +127,20 @@ def entity_page(m: Model, name: str | None = None) -> DataFrame:
 # --- facts -----------------------------------------------------------------------------------------------------------
 def fact_dedup(m: Model) -> DataFrame:
     """The same triple once: its first hint is the source, the others reinforce it."""
-    whose = Window.partitionBy("workspace_id", "subject", "predicate", "object_value")
-    return m.facts.select(
-        "hint_id", "episode_id", F.min("hint_id").over(whose).alias("fact_id"),
-        F.when(F.col("hint_id") == F.min("hint_id").over(whose), "source").otherwise("reinforcing").alias("role"),
-    )
+    triple = ["workspace_id", "subject", "predicate", "object_value"]
+    first = m.facts.groupBy(*[F.col(c).alias(f"_{c}") for c in triple]).agg(F.min("hint_id").alias("fact_id"))
+    same = F.lit(True)
+    for c in triple:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return m.facts.join(first, same).select("hint_id", "episode_id", "fact_id", F.when(F.col("hint_id") == F.col("fact_id"), "source").otherwise("reinforcing").alias("role"))
 
 
 def fact_history(m: Model) -> DataFrame:
     """How many other values a subject has for the same predicate, and the latest of them."""
-    newest = Window.partitionBy("workspace_id", "subject", "predicate").orderBy(F.desc_nulls_last("valid_from"), F.desc("hint_id"))
-    whole = Window.partitionBy("workspace_id", "subject", "predicate")
-    return m.facts.withColumn("place", F.row_number().over(newest)).withColumn("versions", F.count(F.lit(1)).over(whole)).filter("place = 1").select(
-        "workspace_id", "subject", "predicate", "object_value", "hint_id", "versions"
+    # In a struct's order null comes first, so the largest one is the latest.
+    latest = F.max(F.struct("valid_from", "hint_id", "object_value"))
+    return m.facts.groupBy("workspace_id", "subject", "predicate").agg(latest.alias("l"), F.count(F.lit(1)).alias("versions")).select(
+        "workspace_id", "subject", "predicate", "l.object_value", "l.hint_id", "versions"
     )
 
 
@@ -153,11 +154,10 @@ def topic_stats(m: Model, limit: int = 10) -> DataFrame:
 
 
 def open_items(m: Model) -> DataFrame:
-    """Facts with an open predicate in the order of the last turn of their episode, undated last."""
+    """Facts with an open predicate, with the time of the last turn of their episode."""
     last = m.turns.filter("episode_id is not null").groupBy("episode_id").agg(F.max("said_at").alias("worked_at"))
     return m.facts.filter(F.col("predicate").isin(OPEN_PREDICATES)).join(last, "episode_id", "left").select(
-        "hint_id", "workspace_id", "subject", "predicate", F.substring("object_value", 1, 120).alias("object_value"), "worked_at",
-        F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.desc_nulls_last("worked_at"), "hint_id")).alias("place"),
+        "hint_id", "workspace_id", "subject", "predicate", F.substring("object_value", 1, 120).alias("object_value"), "worked_at"
     )
 
 
@@ -277,7 +277,8 @@ def reco_top3(m: Model, today: date = TODAY, cap: int = 2, limit: int = 3) -> Da
     """The best candidates: at most two of one workspace first, the others only to fill up."""
     order = [F.desc("score"), "kind", "ref"]
     ranked = reco_candidates(m, today).withColumn("nth", F.row_number().over(Window.partitionBy("workspace_id").orderBy(*order)))
-    return ranked.orderBy((F.col("nth") > cap).cast("int"), *order, "workspace_id").limit(limit).select("workspace_id", "kind", "what", "score", "ref")
+    # No more than ``limit`` rows of a workspace can be chosen, so the ranking keeps no more in any task.
+    return ranked.filter(F.col("nth") <= max(cap, limit)).orderBy((F.col("nth") > cap).cast("int"), *order, "workspace_id").limit(limit).select("workspace_id", "kind", "what", "score", "ref")
 
 
 def pending_reflects(m: Model) -> DataFrame:
@@ -344,3 +345,59 @@ def largest_episode(m: Model) -> DataFrame:
     size = m.turns.filter("episode_id is not null").groupBy("episode_id").agg(F.count(F.lit(1)).alias("turns"))
     joined = size.join(m.episodes.select(F.col("id").alias("episode_id"), "session_id"), "episode_id")
     return joined.groupBy("session_id").agg(F.max(F.struct("turns", (-F.col("episode_id")).alias("neg"))).alias("best")).select("session_id", (-F.col("best.neg")).alias("episode_id"), F.col("best.turns").alias("turns"))
+
+
+def ledger_page(m: Model, limit: int = 50) -> DataFrame:
+    """The latest ingest decisions."""
+    from memloom.operators.ingest import ledger
+
+    return ledger(m.episodes).join(m.episodes.select("id", "created_at"), "id").orderBy(F.desc("created_at"), F.desc("id")).limit(limit).select("id", "workspace_id", "decision", "created_at")
+
+
+def session_briefing(m: Model, today: date = TODAY) -> DataFrame:
+    """(workspace_id, part, what, n): recent facts, yesterday, today, pending summaries and subjects of the week, side by side."""
+    day = F.lit(today)
+    recent = m.facts.filter(F.to_date("valid_from") >= F.date_sub(day, 6)).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n")).select("workspace_id", F.lit("recent_facts").alias("part"), "n")
+    when = F.when(F.col("day") == day, "today").when(F.col("day") == F.date_sub(day, 1), "yesterday")
+    turns = m.turns.withColumn("part", when).filter("part is not null").groupBy("workspace_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    waiting = pending_reflects(m).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n")).select("workspace_id", F.lit("pending").alias("part"), "n")
+    week = m.daily.filter(F.col("day").between(F.date_sub(day, 6), day)).groupBy("workspace_id").agg(F.countDistinct("subject_id").alias("n")).select("workspace_id", F.lit("subjects").alias("part"), "n")
+    return recent.unionByName(turns).unionByName(waiting).unionByName(week)
+
+
+def subject_inventory(m: Model) -> DataFrame:
+    """Which subjects each session has touched."""
+    sessions = m.episodes.select(F.col("id").alias("episode_id"), "session_id")
+    return m.links.select("episode_id", "subject_id").distinct().join(sessions, "episode_id").select("session_id", "subject_id").distinct()
+
+
+def latest_values(m: Model) -> DataFrame:
+    """The latest value of each predicate of a subject, across workspaces."""
+    latest = F.max(F.struct("valid_from", "hint_id", "object_value")).alias("l")
+    return m.facts.groupBy("subject", "predicate").agg(latest).select("subject", "predicate", "l.object_value", "l.hint_id")
+
+
+def deadline_facts(m: Model) -> DataFrame:
+    """Facts whose value or quote names a deadline."""
+    both = F.concat_ws(" ", "object_value", "source_quote")
+    return m.facts.filter(both.rlike("(today|tomorrow|this week|deadline|Tuesday|sprint)")).select(
+        "hint_id", F.when(both.rlike("(?i)today"), 20).when(both.rlike("(?i)tomorrow"), 15).when(both.rlike("(?i)this week"), 10).otherwise(0).alias("bonus")
+    )
+
+
+def entity_name_flags(m: Model) -> DataFrame:
+    """Session-label names, name families and same-name pairs of entities."""
+    from memloom.operators.classify import session_label
+
+    low = F.lower("name")
+    family = F.substring_index(F.regexp_replace(low, "[_.-]", " "), " ", 1)
+    named = m.entities.filter("name is not null")
+    same = named.groupBy(low.alias("low")).agg(F.count(F.lit(1)).alias("same_name"))
+    return named.join(same, low == F.col("low")).select("id", session_label(F.col("name")).alias("is_label"), family.alias("family"), "same_name")
+
+
+def workspace_pages(m: Model, limit: int = 20) -> DataFrame:
+    """Workspaces, active ones first, then by their latest episode, those without any last."""
+    latest = m.episodes.groupBy("workspace_id").agg(F.max("created_at").alias("latest"))
+    joined = m.workspaces.join(latest, F.col("id") == F.col("workspace_id"), "left")
+    return joined.orderBy((F.col("status") == "active").desc(), F.desc_nulls_last("latest"), "id").limit(limit).select("id", "status", "latest")
