@@ -116,3 +116,15 @@ def verdicts(questions: DataFrame, answers: DataFrame) -> DataFrame:
     hits = F.size(F.filter("expect", lambda w: F.contains(F.lower(F.coalesce("answer", F.lit(""))), F.lower(w))))
     need = F.floor(F.size("expect") / 2) + 1
     return joined.select("q_id", hits.alias("hits"), F.when(hits >= need, "PASS").when(hits > 0, "WEAK").otherwise("FAIL").alias("verdict"))
+
+
+def daily_hits(m: Model, names: DataFrame, per_name: int = 5) -> DataFrame:
+    """(name, day, turn_count): the latest stored summaries of entities with the given names (name)."""
+    own = m.entities.select(F.col("id").alias("subject_id"), "name").join(names.select(F.lower("name").alias("asked")).distinct(), F.lower("name") == F.col("asked"))
+    newest = Window.partitionBy("name").orderBy(F.desc("day"), "subject_id")
+    return m.summaries.join(own, "subject_id").withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= per_name).select("name", "day", "turn_count", "place")
+
+
+def turn_ids(m: Model, wanted: DataFrame) -> DataFrame:
+    """(episode_id, sequence, turn_id) for the wanted (episode_id, sequence); those that don't exist are left out."""
+    return wanted.select("episode_id", "sequence").distinct().join(m.turns.select("episode_id", "sequence", F.col("id").alias("turn_id")), ["episode_id", "sequence"])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.functions import embed
 from memloom.functions import text as X
 from memloom.operators import classify, gaps, graph, hierarchy, ingest, ranking, search
 from memloom.plans import reads
@@ -434,3 +435,9 @@ _read("running_budget", lambda m: classify.running_budget(m.turns.filter("episod
     SELECT id, episode_id, CAST(sum(coalesce(length(substr(text, 1, 400)), 0)) OVER (PARTITION BY episode_id ORDER BY sequence, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used
     FROM turn WHERE episode_id IS NOT NULL QUALIFY used <= 4000""")
 _read("without_scaffolding", lambda m: m.turns.filter("text is not null").select("id", F.length(classify.without_scaffolding(F.col("text"))).alias("chars")))
+_read("daily_hits", lambda m: search.daily_hits(m, m.entities.select("name")), """
+    SELECT e.name, CAST(s.day AS VARCHAR) AS day, turn_count, row_number() OVER (PARTITION BY e.name ORDER BY s.day DESC, s.subject_id) AS place
+    FROM summary s JOIN entity e ON e.id = s.subject_id QUALIFY place <= 5""")
+_read("turn_ids", lambda m: search.turn_ids(m, m.turns.filter("episode_id is not null").select("episode_id", "sequence")), """
+    SELECT episode_id, sequence, id AS turn_id FROM turn WHERE episode_id IS NOT NULL""")
+_read("vectors_written", lambda m: embed.vectors_of({"fact": (m.facts, "hint_id", "source_quote"), "entity": (m.entities, "id", "name")}))
