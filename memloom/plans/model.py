@@ -48,8 +48,17 @@ class Model:
 
     @cached_property
     def turns(self) -> DataFrame:
+        return self._timed(self.table("turns", "id"))
+
+    def turns_of(self, workspace_id: int) -> DataFrame:
+        """Turns of one workspace: redelivered rows are equal, so the filter may come first and reaches the scan."""
+        own = load(self.spark, self.folder, "turns").filter(F.col("workspace_id") == workspace_id)
+        return self._timed(delivered_once(own, "id"))
+
+    @staticmethod
+    def _timed(turns: DataFrame) -> DataFrame:
         at = F.coalesce("ts", "created_at")
-        return self.table("turns", "id").withColumn("said_at", at).withColumn("day", F.to_date(at))
+        return turns.withColumn("said_at", at).withColumn("day", F.to_date(at))
 
     @cached_property
     def entities(self) -> DataFrame:

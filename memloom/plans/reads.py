@@ -21,7 +21,7 @@ OPEN_PREDICATES = ["blocked_by", "scheduled_for", "depends_on", "open_question",
 # --- timelines and histograms -------------------------------------------------------------------------------------
 def timeline_page(m: Model, workspace_id: int = 1, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of a workspace's turns, newest first, each row with the total."""
-    own = m.turns.filter(F.col("workspace_id") == workspace_id)
+    own = m.turns_of(workspace_id)
     page = own.orderBy(F.desc("said_at"), F.desc("id")).offset(offset).limit(limit).select("id", "episode_id", "sequence", "said_at")
     total = own.agg(F.count(F.lit(1)).alias("total"))
     return page.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)  # one row
