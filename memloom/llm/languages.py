@@ -36,10 +36,10 @@ LABELS = {
     "en": "en eng english anglais englisch inglés ingles", "ko": "ko kor korean kr 한국어 coreano", "de": "de deu ger german deutsch allemand", "fr": "fr fra fre french français francais französisch",
     "es": "es spa spanish español espanol castellano spanisch", "pt": "pt por portuguese português portugues portugiesisch", "nl": "nl nld dut dutch nederlands niederländisch",
 }
-_MARK = re.compile(r"^\s*(?:>\s*)*(?:(?:[-*+•]|\d{1,4}[.)])\s+)?(?:>\s*)*(?:(?:User|Assistant|System|Tool|Human|AI|Q|A):(?:\s+|$)|\[(?:user|assistant|system|tool)\]\s+)?")
+_MARK = re.compile(r"^\s*(?:>\s*)*(?:(?:[-*+•]|\d{1,4}[.)])\s+)?(?:>\s*)*(?:#{1,6}\s+)?(?:>\s*)*(?:(?:User|Assistant|System|Tool|Human|AI|Q|A):(?:\s+|$)|\[(?:user|assistant|system|tool)\]\s+)?")
 _DATE = re.compile(r"^\s*\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d\S*)?\s*")
 _LOG = re.compile(
-    r"^\s*(?:\[\w+\]\s*)?(?:\d{4}-\d\d-\d\dT\d\d|\$ |\{\"|at [\w/.]+:\d|\d+\t|(?:```|~~~)|#{1,6} |(?:https?|ssh)://|import |from \w+ import|def |class |return |SELECT |INSERT |[A-Z_]+=|<[^>]+>\s*$)|^[\s\W\d_]*$"
+    r"^\s*(?:\[\w+\]\s*)?(?:\d{4}-\d\d-\d\dT\d\d|\$ |\{\"|at [\w/.]+:\d|\d+\t|(?:```|~~~)|(?:https?|ssh)://|import |from \w+ import|def |class |return |SELECT |INSERT |[A-Z_]+=|<[^>]+>\s*$)|^[\s\W\d_]*$"
 )
 _END = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+|(?<=[다요][.])\s*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -84,6 +84,8 @@ def passages(text: str) -> Iterator[tuple[int, int, str]]:
                 run.append((at + len(bare) - len(rest), at + len(bare), rest.rstrip()))
             else:
                 yield from flush()
+            if "#" in mark:  # a heading ends with its line
+                yield from flush()
         at += len(line)
     yield from flush()
 

@@ -122,3 +122,13 @@ def test_mislabelled(spark):
     assert {tuple(r) for r in G.mislabelled(docs, samples).collect()} == {(3, "en"), (4, "en"), (5, "en"), (5, "de"), (9, "de")}
     assert G.spans(docs.filter("doc_id = 5"), samples).count() == 2
     assert G.segments(docs.limit(0), samples).count() == 0
+
+
+def test_passages_of_heading_lines(net):
+    text = "# Indigopath La línea de tiempo sustituye un tema huérfano porque el reloj iba adelantado. ¿Puedes guardar las dos versiones?\nEvery tangled check hides a tidy index\n\n- ## Heronindex\nbehind it.\n> ### Umberhub O leitor de mensagens substitui a ligação errada.\n# $ run --job\n####### not a heading"
+    got = list(G.passages(text))
+    assert [p for *_, p in got] == ["Indigopath La línea de tiempo sustituye un tema huérfano porque el reloj iba adelantado.", "¿Puedes guardar las dos versiones?", "Every tangled check hides a tidy index", "Heronindex", "behind it.", "Umberhub O leitor de mensagens substitui a ligação errada.", "####### not a heading"]
+    assert all(text[a:b] == p for a, b, p in got)
+    model, _ = net
+    kind, _ = G.classify(model, [got[0][2], got[5][2]])
+    assert [model.classes[k] for k in kind] == ["es", "pt"]
