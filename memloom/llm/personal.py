@@ -51,6 +51,10 @@ _INITIAL = re.compile(r"(?<![\w.@])[^\W\d_a-zà-ÿ]\.")
 _FROM_INITIAL = re.compile(rf"[^\W\d_a-zà-ÿ]\.(?: ?[^\W\d_a-zà-ÿ]\.)? ({_PART}{{0,2}}{_W})(?![\w@])")
 _PAIR = re.compile(rf"\.? ?({_W},? (?:[^\W\d_]\. )?{_PART}{{0,2}}{_W})(?![\w@])")
 _PAIR_BEFORE = re.compile(rf"(?<![\w@.+-])({_W},? (?:[^\W\d_]\. )?{_PART}{{0,2}}{_W})$")
+_CAP = r"[A-ZÀ-ÖØ-ÞĀ-Ž][^\W\d_]+(?:['’-][^\W\d_]+)*"
+_LINK = rf"(?: (?:[A-ZÀ-ÖØ-Þ]\. )?{_PART}{{0,2}}|, )"
+_CAPITALISED = re.compile(rf"(?<![\w@.+/&#='’-]){_CAP}(?:{_LINK}{_CAP})+(?![\w@])")
+_CAPITAL = re.compile(_CAP)
 _FAMILIES = "|".join(KOREAN_FAMILY)
 _HANGUL_TITLED = re.compile(rf"(?<![가-힣])((?:{_FAMILIES}|남궁|황보|제갈|선우) ?[가-힣]{{2}})$")
 _HANGUL_ALONE = re.compile(rf"(?<![가-힣])(?<![가-힣] )(?:{_FAMILIES})[가-힣]{{2}}(?=[,.:;)]*\s*(?:[^\s가-힣]|$))")
@@ -163,6 +167,14 @@ def _name_features(text: str, a: int, b: int, form: str) -> list[str]:
         out.append("n:camel")
     if text[b : b + 2] and text[b] in "-'’&@_/":
         out.append("n:glued")
+    if form[0] == "u" and long:
+        first, last = fold(long[-1 if "," in form else 0]), fold(long[0 if "," in form else -1])
+        start = l1 in "^.!?:*-#\"" or text[max(0, a - 1) : a] == "\n"
+        common = [w.lower() in COMMON for w in long]
+        out += [
+            f"u:start={start}:known={min(2, sum(known))}", f"u:common={common[0]}:{any(common[1:])}", f"u:start={start}:form={form}", f"u:given={first[-2:]}", f"u:family={last[-3:]}", f"u:family={last[-2:]}", f"u:r1={_mask(r1)}",
+            f"u:next={'^' if r1 == '$' else _case(r1) if text[b + 1 : b + 2].islower() else 'T' if text[b + 1 : b + 2].isupper() else '.'}", f"u:sizes={min(9, len(first))}:{min(9, len(last))}",
+        ]
     return out
 
 
@@ -287,6 +299,18 @@ def proposals(text: str) -> list[tuple[int, int, str, list[str]]]:
         for m in _KO_NUMBER.finditer(text):
             for n in _KO.finditer(text, max(0, m.start() - 30), m.end() + 14):
                 out[*n.span(), "address"] = _address_features(text, *n.span(), "ko")
+    for m in _CAPITALISED.finditer(text):
+        words = [n.span() for n in _CAPITAL.finditer(text, *m.span())]
+        for i, (a, _) in enumerate(words):
+            if inside(a):
+                continue
+            for j in range(i + 1, min(i + 4, len(words))):
+                between = text[words[j - 1][1] : words[j][0]]
+                if between == ", ":
+                    if j == i + 1:
+                        name(a, words[j][1], "u,")
+                    break
+                name(a, words[j][1], f"u{j - i + 1}" + ("i" if "." in between else "p" if between != " " else ""))
     for m in _RUN.finditer(text):
         if inside(m.start()):
             continue

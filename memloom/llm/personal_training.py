@@ -43,20 +43,67 @@ Invoice {d4}-2025/{d2} was paid twice.|Build 2025.05.{d3}.{d4} failed on node 10
 Rows {d3}-{d4} were merged.|SKU {d3} {d2} {d4} is sold out.|Track {d9} left the depot.|The score was {d3}.{d3}.{d4}.|Batch {d6}-{d7} finished.|Sensor reads {d3} {d2} {d3} now.|Room {n} in {street} Hall is booked.|Part no. {d2} {d2} {d2} {d2} {d2} is missing.|어제 {d4}쪽 가운데 {d3}쪽을 살펴봤지만 아무것도 찾지 못했습니다.|이 문장은 정리하는 것이 좋겠습니다.
 """.strip().replace("\n", "|").split("|")
 
+#: Given names outside the list, names without any cue, and capitalised words that are no name: what teaches that a name may be unlisted.
+UNLISTED = (
+    "marek ilona tomasz anika paulo jonas carmen denise owen yara piotr agnieszka katarzyna zuzana jakub ondrej vaclav milena dragan goran jelena mirko bojan istvan zoltan eszter gabor ilse gerhard heike uwe torsten birgit annika lars astrid sven "
+    "bjorn sigrid olaf mikkel freja aino eero pekka matthieu aurelie thibault camille lucie pascal odile gianni chiara matteo lorenzo paola rui joana tiago ines duarte pilar javier lucia diego rocio alvaro emeka chidi ngozi amara kofi ama kwame fatima "
+    "omar layla hassan amina ibrahim leila reza parisa arash deepak priya ravi anjali sanjay meera arjun kavita hiroshi yuki kenji naoko haruto wei mei ling jun xin minh linh thanh siti budi dewi mary james susan linda david karen brian kevin laura "
+    "emily grace hannah peter paul george martin simon lucy alice emma oliver harry jack noah mia ella ruth esther miriam aaron levi naomi"
+).split()
+SURNAMES = "Dvorak Novak Horvat Petrovic Nagy Szabo Schmidt Becker Krause Jansen Visser Bakker Dubois Moreau Lefevre Rossi Bianchi Ferreira Almeida Costa Garcia Moreno Navarro Okafor Mensah Diallo Haddad Rahman Sharma Patel Iyer Gupta Tanaka Sato Suzuki Nguyen Tran Chen Wang Smith Jones Brown Taylor Walker Clarke Murphy Kelly O'Brien Larsen Nilsson Virtanen".split()
+PLAIN = """
+The notes of {name} are ready.|{name} reviewed the draft.|We gave the keys to {name} yesterday.|I met {name} in the hall.|{name} and {name} met on {date}.|Yesterday {name} closed the ticket.|The report by {name} was late.|{name} is on leave.|Please forward it to {name}.|According to {name}, the figures hold.
+Die Unterlagen von {name} sind fertig.|Gestern hat {name} das Ticket geschlossen.|Les notes de {name} sont prêtes.|{name} a relu le brouillon.|Las notas de {name} están listas.|{name} revisó el borrador.|As notas de {name} estão prontas.|De notities van {name} zijn klaar.|It was {name} who noticed.|A parcel for {name} came.|We spoke with {name} about it.|The idea came from {name}.|Nobody told {name} so far.|{name} sent the slides and {name} signed them.|Did {name} agree?|Mit {name} ist das besprochen.|{name} kommt später.|Avec {name} tout va bien.|{name} est en retard.|Con {name} no hay duda.|{name} chegou cedo.|Met {name} is alles besproken.|Attendees: {name}, {name}
+""".strip().replace("\n", "|").split("|")
+UNNAMED = """
+{title} is ready.|The {title} of {date} is final.|# {title}|## {title}|Yesterday Kestrel{end} mirrored nested bullets.|Yesterday Umber{end} flushed duplicate hashes.|Gestern hat Vesper{end} den Stapel verkleinert.|Am Ende müssen wir bei Nettle{end} den Fall beschreiben.|Zum Glück ist Osprey{end} wieder da.|Order QX-{d3}-{d6} was split.|The {street} theme is named after no street.
+{title} and {title} differ.|See {title} for details.|We moved to {place} in spring.|The office in {place} is closed.|{place} is far away.|Das Paket geht an Otter{end}.|Open {app} and press Run.|{app} failed on node {n}.|{street} Road Works closed the account on {date}.|Then Harrow{end}, Kelp{end} and Alder{end} agreed.|In {month}, Sable{end} was down.|{small} {word} war lange bekannt.|{small} {word} verschiebt den Plan.|{small} {word} enthält drei Zeilen.|Dann sagte man, {small} {word} sei neu.|{small} {word} was never found.|Felizmente, Indigo{end} voltou a responder.|Heureusement, Dapple{end} répond.|Kelp{end}, Tarn{end}
+""".strip().replace("\n", "|").split("|")
+#: Words that are written with a capital at the start of a sentence and before a German noun.
+SMALL = "Der Die Das Den Dem Des Ein Eine Einen Kein Keine Jeder Jede Dieser Diese Mein Unser Ihr Im Am Zum Zur Vom Beim Nach Mit Bei Seit Ohne Dass Wenn Weil Denn Und Ich Wir Mir Uns Heute Gestern Morgen Dann Mehr Zwei The This Our Each Every".split()
+NOUNS = "release note weekly report main page open question next step key point project plan data model test case user guide system status error log access review change request team meeting budget draft vector index topic map river path market stall pottery class reading list search field memory archive night shift green house stone wall city council high school health service public library".split()
+PLACES = "New York|San Francisco|Los Angeles|Hong Kong|Buenos Aires|Rio Grande|Cape Town|United States|South Africa|North Sea|Black Forest|Mexico City|Santa Clara|Tel Aviv|Costa Rica|Great Britain|East London|Lake Garda|Mount Etna|Port Louis".split("|")
+APPS = "Visual Studio|Google Cloud|Apache Spark|Spark SQL|Machine Learning|Open Source|Python Notebook|Power Point|Red Hat|Data Frame|Deep Learning|Android Studio|Internet Explorer|Kernel Panic|Git Lab".split("|")
+
 
 class Maker:
-    def __init__(self, seed: int, fillers: list[str]):
+    def __init__(self, seed: int, fillers: list[str], unlisted: float = 0.0, given: list[str] = UNLISTED, surnames: list[str] = SURNAMES):
         self.r = random.Random(seed)
         self.fillers = fillers
+        self.unlisted, self.others, self.surnames = unlisted, given, surnames
 
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
+    def any_word(self) -> str:
+        """A name of any make: consonants and vowels in turn."""
+        r = self.r
+        out = "".join(r.choice("b c d f g h j k l m n p r s t v w z br ch dr gr kr sh st th tr".split()) + r.choice("a e i o u ae ee ia ou".split()) for _ in range(r.randint(1, 3)))
+        return (out + r.choice("n r s l t k m d nd ck tz ng sh".split() + [""] * 5)).capitalize()
+
+    def filler(self) -> str:
+        """A sentence without details, sometimes with its words or their case in disorder."""
+        r = self.r
+        text = r.choice(self.fillers)
+        if self.unlisted and r.random() < 0.12:
+            words = text.split(" ")
+            for _ in range(r.randint(1, 3)):
+                i, j = r.randrange(len(words)), r.randrange(len(words))
+                words[i], words[j] = words[j], words[i]
+                if r.random() < 0.15:
+                    words[i] = words[i].capitalize()
+            text = " ".join(words)
+        return text
+
     def family(self) -> str:
+        if self.unlisted and self.r.random() < self.unlisted:
+            return self.r.choice(self.surnames) if self.r.random() < 0.5 else self.any_word()
         return self.r.choice(STEMS) + self.r.choice(MIDDLES) + self.r.choice(ENDS)
 
     def given(self) -> str:
         r = self.r
+        if self.unlisted and r.random() < self.unlisted:
+            return r.choice(self.others).capitalize() if r.random() < 0.6 else self.any_word()
         name = r.choice([*NICKNAMES, *personal.ACCENTED]) if r.random() < 0.85 else r.choice(["marek", "ilona", "tomasz", "anika", "paulo", "jonas", "carmen", "denise", "owen", "yara"])
         return name.capitalize()
 
@@ -141,13 +188,19 @@ class Maker:
             "date": f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", "m": f"{r.randint(10, 12)}", "build": f"{d(3)}.0{d(2)}.{d(4)}", **{f"d{k}": d(k) for k in range(2, 10)},
         }
 
+    def further(self) -> dict[str, str]:
+        r = self.r
+        return {"place": r.choice(PLACES), "app": r.choice(APPS), "month": r.choice(["March", "April", "October"]), "small": r.choice(SMALL), "word": self.any_word() if r.random() < 0.5 else self.any_word() + self.any_word().lower(), "title": " ".join(r.choice(NOUNS).capitalize() for _ in range(r.randint(2, 3)))}
+
     def sample(self) -> tuple[str, set[tuple[int, int, str]]]:
         """A text of one to three lines and its true segments."""
         parts: list[tuple[str, str | None]] = []
         for _ in range(self.r.randint(1, 3)):
             kind = self.r.random()
-            if kind < 0.45:
-                template = self.r.choice(POSITIVE)
+            if self.unlisted and kind < 0.1:
+                parts.append((self.r.choice(UNNAMED).format(**self.fields(), **self.further()), None))
+            elif kind < 0.45:
+                template = self.r.choice(PLAIN if self.unlisted and kind < 0.28 else POSITIVE).replace("{date}", f"2025-03-{self.r.randint(10, 28)}")
                 for chunk in template.replace("{", "\0{").replace("}", "}\0").split("\0"):
                     if chunk.startswith("{"):
                         key = chunk[1:-1]
@@ -157,7 +210,7 @@ class Maker:
             elif kind < 0.8:
                 parts.append((self.r.choice(NEGATIVE).format(**self.fields()), None))
             else:
-                parts.append((self.r.choice(self.fillers), None))
+                parts.append((self.filler(), None))
             parts.append((self.r.choice([" ", " ", "\n", "\n\nUser: "]), None))
         text, true = "", set()
         for chunk, kind in parts:
@@ -215,8 +268,8 @@ def gradient(run: list, true: set[tuple[int, int, str]], w: dict[str, float]) ->
     return gold - total, grad
 
 
-def train(fillers: list[str], samples: int = 9000, rounds: int = 4, seed: int = 5, rate: float = 0.3, decay: float = 2e-4) -> dict[str, float]:
-    maker = Maker(seed, fillers)
+def train(fillers: list[str], samples: int = 30_000, rounds: int = 4, seed: int = 5, rate: float = 0.3, decay: float = 2e-4) -> dict[str, float]:
+    maker = Maker(seed, fillers, unlisted=0.4)
     data = []
     for _ in range(samples):
         text, true = maker.sample()

@@ -132,3 +132,19 @@ def test_passages_of_heading_lines(net):
     model, _ = net
     kind, _ = G.classify(model, [got[0][2], got[5][2]])
     assert [model.classes[k] for k in kind] == ["es", "pt"]
+
+
+def test_names_whose_given_name_is_not_listed():
+    import itertools
+
+    given = "Casimir Brunhilde Etienne Rosaria Anselmo Chiamaka Nasrin Harish Satoko Tuan Wayan Philippa Desmond Rachel Tobias Ingeborg".split()
+    family = "Zielinski Hofstetter Roussel Lombardi Pinheiro Olawale Sultani Banerjee Matsumoto Hoang Campbell Thornton Bergstrom Holmova".split()
+    assert not {*given, *family} & {x.capitalize() for x in [*P.NICKNAMES, *T.UNLISTED, *T.SURNAMES]}
+    spots = ["The notes of {} are ready", "{} lost the key.", "This was seen by {} at noon.", "My thanks go to {}.", "{} hat heute frei.", "We met {} there."]
+    texts = [(spot.format(f"{g} {f}"), spot.index("{"), f"{g} {f}") for (g, f), spot in itertools.product(zip(given, itertools.cycle(family)), spots)]
+    recall = sum((a, a + len(n), "name") in P.details(t) for t, a, n in texts) / len(texts)
+    print(f"recall of names with an unlisted given name: {recall:.3f} of {len(texts)}")
+    assert recall > 0.6
+    assert [t["The notes of ".__len__() :][: b - a] for t in ["The notes of Marek Holmova are ready"] for a, b, _ in P.details(t)] == ["Marek Holmova"]
+    for text in ["The Weekly Digest is out.", "Der Prüflauf verdoppelt das Ergebnis.", "Am Ende gilt das.", "See Release Notes for details.", "Mercury Lane is the code name."]:
+        assert P.details(text) == []
