@@ -6,7 +6,10 @@ quotes, how many names and words they have and how strong their wording is; the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import text as X
@@ -19,33 +22,94 @@ NOVEL_BELOW = 0.60
 SUBSTANTIVE_TOKENS = 5
 
 
+#: Tool lines and stock phrases that an answer is rid of, in this order.
+_TOOL_LINE = re.compile(r"^\[(?:Read|Search|Grep|Glob|Bash|Edit|Write|Agent|Tool sequence|CODE BLOCK|Output|Bash result)[^\]]*\].*$", re.M)
+_PHRASES = [
+    re.compile(r, re.I | re.M)
+    for r in (
+        r"^\s*(you['\u2019]re\s+(absolutely\s+)?(right|correct)[!.]?|(great|excellent|perfect|good)\s+(question|point|catch|idea)[!.]?|(perfect|great|excellent|absolutely|exactly|wonderful|amazing|brilliant)[!.]?)\s*$",
+        r"^\s*(i\s+see[.!]?|i\s+understand[.!]?|got\s+it[.!]?|makes\s+sense[.!]?|sure[,!.]?( i\s+can\s+help( with\s+that)?[.!]?)?|of\s+course[.!]?|sounds\s+good[.!]?|interesting[.!]?|noted[.!]?)\s*$",
+        r"^\s*(i['\u2019]ll\s+use\s+the\s+todowrite[^.\n]*[.]?|let\s+me\s+update\s+the\s+todo[^.\n]*[.]?|let\s+me\s+think\s+(about\s+this\s+)?step\s+by\s+step[.]?|let\s+me\s+(try\s+)?(a\s+different|another)\s+approach[.]?)\s*",
+        r"^\s*(now\s+)?(first[,]?\s+|next[,]?\s+|then[,]?\s+)?(i['\u2019]ll|i\s+will|i['\u2019]m\s+going\s+to|let\s+me|let['\u2019]s)\s+(now\s+)?(check|look|search|examine|analyze|start|begin|try|use|run|create|implement|fix|update|add|write|read|find|explore|investigate|understand|think|verify|"
+        r"test|help\s+you|walk\s+you|take\s+a\s+look|do\s+this|approach|get|see)\b[^.\n]*[.\n]?",
+        r"^\s*(looking\s+at\s+(this|the)[^,.\n]*[,.]?\s+|based\s+on\s+(this|the|what|my)[^,.\n]*[,.]?\s+|from\s+what\s+i\s+can\s+see[,.]?\s+)",
+    )
+]
+_BLANKS = re.compile(r"\n{3,}")
+
+
+def cleaned_answer(text: str) -> str:
+    """An answer without thinking blocks, tool lines and stock phrases."""
+    kept, thinking, blank = [], False, False
+    for line in text.split("\n"):
+        bare = line.strip()
+        if bare.startswith("[thinking]"):
+            thinking, blank = True, False
+        elif not thinking:
+            kept.append(line)
+        elif not bare:
+            blank = True
+        elif not blank or bare.startswith(("[", "#")):
+            blank = False
+        elif not re.match(r"\d+\.", bare):
+            thinking = False
+            kept.append(line)
+    text = _BLANKS.sub("\n\n", _TOOL_LINE.sub("", "\n".join(kept))).strip()
+    for phrase in _PHRASES:
+        text = phrase.sub("", text)
+    return _BLANKS.sub("\n\n", text).strip()
+
+
+def cleaned(text: Column) -> Column:
+    """``cleaned_answer`` of a column; it is a walk over lines with a state, which SQL can't express."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cleaned_answer(t) if isinstance(t, str) else None)
+
+    return run.asNondeterministic()(text)  # so that it runs once, not again in every filter and column
+
+
 def exchanges(turns: DataFrame) -> DataFrame:
-    """(episode_id, pair, text, words): a user turn and the answers after it; too short ones are left out."""
+    """(episode_id, workspace_id, pair, text, words, size): a user turn and the cleaned answers after it.
+
+    Blank turns are none. Left out are exchanges whose answers come to nothing once cleaned and those that are too short as a
+    whole; a user turn without answers stays.  ``size`` counts the distinct words, speaker labels included.
+    """
     role = F.lower(F.trim("role"))
-    counted = running(turns.filter("text is not null and episode_id is not null"), "episode_id", ["sequence", "id"], {"pair": role.isin("user", "human")})
-    spoken = counted.filter((F.col("pair") > 0) & (F.length("text") >= LEAST_CHARS))
-    joined = spoken.groupBy("episode_id", "workspace_id", "pair").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sequence", "id", "text"))), lambda x: x["text"]), "\n").alias("text")
+    user = F.coalesce(role.isin("user", "human"), F.lit(False))
+    spoken = turns.filter(F.col("text").rlike(r"\S") & F.col("episode_id").isNotNull()).select("id", "workspace_id", "episode_id", "sequence", "role", "text")
+    counted = running(spoken, "episode_id", ["sequence", "id"], {"pair": user}).withColumn("asked", user)
+    own = lambda asked: F.transform(F.sort_array(F.collect_list(F.when(F.col("asked") == asked, F.struct("sequence", "id", "text")))), lambda x: x["text"])
+    joined = counted.filter(F.col("pair") > 0).groupBy("episode_id", "workspace_id", "pair").agg(F.array_join(own(True), "\n").alias("question"), F.array_join(own(False), "\n\n").alias("raw"))
+    kept = joined.withColumn("answer", cleaned(F.col("raw"))).filter((F.length("raw") == 0) | (F.length("answer") >= LEAST_CHARS))
+    said = F.concat(F.lit("User: "), F.col("question"), F.when(F.length("answer") > 0, F.concat(F.lit("\n\nAssistant: "), F.col("answer"))).otherwise(""))
+    return (
+        kept.withColumn("said", said).filter(F.length("said") >= LEAST_PAIR_CHARS)
+        .withColumn("text", F.when(F.length("answer") > 0, F.concat_ws("\n", "question", "answer")).otherwise(F.col("question")))
+        .select("episode_id", "workspace_id", "pair", "text", X.keywords(F.col("text")).alias("words"), F.size(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("said"), r"\s+", " ")), " "))).alias("size"))
     )
-    return joined.filter(F.length("text") >= LEAST_PAIR_CHARS).withColumn("words", X.keywords(F.col("text")))
 
 
 def candidates(m) -> DataFrame:  # noqa: ANN001
     """(episode_id, pair, density, novelty, priority) of the exchanges that facts say too little about."""
     known = m.facts.filter("source_quote is not null").groupBy("episode_id").agg(F.array_distinct(F.flatten(F.collect_list(X.keywords(F.col("source_quote"))))).alias("known"))
     talk = m.facts.groupBy("workspace_id").agg(F.array_distinct(F.flatten(F.collect_set(X.keywords(F.concat_ws(" ", "subject", "object_value"))))).alias("topic"))
+    names = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("\\b[A-Z][a-z]{3,}\\b"), F.lit(0))))
+    # Texts stay behind before the joins, and each list of known words before the next join.
+    said = exchanges(m.turns).select(
+        "episode_id", "workspace_id", "pair", "size", F.size("words").alias("count"), F.array_distinct("words").alias("words"), names.alias("names"), X.signal_boost(F.col("text")).alias("boost")
+    )
     scored = (
-        exchanges(m.turns).join(known, "episode_id", "left").join(talk, "workspace_id")
-        .withColumn("density", X.density(F.col("words"), F.col("topic")))
-        .withColumn("novelty", 1.0 - F.coalesce(X.density(F.col("words"), F.col("known")), F.lit(0.0)))
-        .filter((F.col("density") > 0) & (F.size("words") >= LEAST_WORDS) & (1.0 - F.col("novelty") < NOVEL_BELOW))
+        said.join(known, "episode_id", "left").withColumn("novelty", 1.0 - F.coalesce(X.density(F.col("words"), F.col("known")), F.lit(0.0))).drop("known")
+        .filter(1.0 - F.col("novelty") < NOVEL_BELOW).join(talk, "workspace_id", "left")
+        .withColumn("density", F.coalesce(X.density(F.col("words"), F.coalesce("topic", F.array().cast("array<string>"))), F.lit(0.0))).drop("topic", "words")
+        .filter((F.col("density") > 0) | (F.col("size") >= LEAST_WORDS))
     )
-    boost = X.signal_boost(F.col("text"))
-    names = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("\\b[A-Z][a-z]{3,}\\b"), F.lit(0))))
     base = (
-        0.30 * F.col("novelty") + 0.25 * F.col("density") + 0.15 * F.least(names / 5.0, F.lit(1.0)) + 0.10 * F.least(F.size("words") / 50.0, F.lit(1.0)) + 0.20 * F.least(boost / 3.0, F.lit(1.0))
+        0.30 * F.col("novelty") + 0.25 * F.col("density") + 0.15 * F.least(F.col("names") / 5.0, F.lit(1.0)) + 0.10 * F.least(F.col("count") / 50.0, F.lit(1.0)) + 0.20 * F.least(F.col("boost") / 3.0, F.lit(1.0))
     )
-    return scored.withColumn("priority", base * F.when(boost > 0, 1.0 + boost / 3.0).otherwise(1.0)).select("episode_id", "pair", "density", "novelty", "priority")
+    return scored.withColumn("priority", base * F.when(F.col("boost") > 0, 1.0 + F.col("boost") / 3.0).otherwise(1.0)).select("episode_id", "pair", "density", "novelty", "priority")
 
 
 def coverage(m) -> DataFrame:  # noqa: ANN001
