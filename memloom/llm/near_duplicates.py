@@ -244,7 +244,7 @@ def _candidates(leaves: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
                     if first >= last:
                         continue
                     most = np.minimum(over_a[lo:hi, None], over_b[None, first:last]).astype(np.int32)
-                    part = np.zeros(most.shape, np.uint16)
+                    part = np.zeros(most.shape, np.uint16 if groups * PLANES <= 65_535 else np.int32)  # holds as many bits as a point has
                     for w in range(by_word.shape[0]):
                         part += np.bitwise_count(bits_a[lo:hi, w, None] & by_word[w, None, first:last])
                     most += part

@@ -114,3 +114,10 @@ def test_bound_never_falls_below_the_overlap():
         b = np.unique(r.integers(0, 400, 150).astype(np.uint64) * np.uint64(2654435761))
         (x, over_x, _), (y, over_y, _) = D.planes(a, 64), D.planes(b, 64)
         assert int(np.bitwise_count(x & y).sum()) + min(over_x, over_y) >= len(np.intersect1d(a, b))
+
+
+def test_very_long_near_duplicates_are_found(spark):
+    words = [f"w{i}" for i in range(80_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:76_000] + [f"x{i}" for i in range(4_000)])), (3, " ".join(f"y{i}" for i in range(80_000)))]
+    members, pairs = D.near_duplicates(spark.createDataFrame([(i, t, None) for i, t in rows], "id long, content string, summary string"))
+    assert [(r.id_a, r.id_b) for r in D.all_pairs(members, pairs).collect()] == [(1, 2)]
