@@ -149,8 +149,8 @@ def parse(raw: str) -> Name:
         family, given = hangul[0], hangul[1:]
         if family in KOREAN_FAMILY:
             latin = (KOREAN_FAMILY[family].split()[0], sound(romanised(given)))
-            return Name("korean", latin, "", (f"k{latin[0]}{latin[1]}",))
-        return Name("korean", ("", hangul), "", (f"k{hangul}",))
+            return Name("korean", latin, "", (f"~{latin[0]}{latin[1]}",))
+        return Name("korean", ("", hangul), "", (f"~{hangul}",))
     words = _tokens(text)
     legal = ""
     core = []
@@ -174,7 +174,7 @@ def parse(raw: str) -> Name:
         given = sound("".join(rest))
         if len(given) > 1:
             latin = (_FAMILY_OF[family], given)
-            return Name("korean", latin, "", (f"k{latin[0]}{latin[1]}",))
+            return Name("korean", latin, "", (f"~{latin[0]}{latin[1]}",))
     core = [w for w in core if w not in PARTICLES] or core
     long = [w for w in core if len(w) > 1]
     keys = [w for w in long if w not in _FULL]
@@ -319,8 +319,8 @@ def compare(x: str, y: str) -> int:
 
 
 def deletes(token: str) -> set[str]:
-    """The token with up to two letters left out (one for short tokens, none for the shortest)."""
-    most = 0 if token[0] in "=" or len(token) < 4 else 1 if len(token) < 8 or token[0] in "+k" else 2
+    """The token with as many letters left out as ``_limit`` permits edits; '~' marks Korean keys, '+' glued ones."""
+    most = 0 if token[0] == "=" else min(1, _limit(token, token)) if token[0] in "+~" else _limit(token, token)
     out = {token}
     for n in range(1, most + 1):
         out |= {"".join(c for i, c in enumerate(token) if i not in gone) for gone in combinations(range(len(token)), n)}

@@ -64,3 +64,11 @@ def test_leaks(spark, monkeypatch):
     assert [tuple(r) for r in L.leaks(docs, items).collect()] == [(1, 7)]
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
     assert {r.doc_id for r in L.without_leaks(docs, items).collect()} == {2, 3, None}
+
+
+def test_index_is_as_wide_as_the_comparison(spark):
+    for a, b in (("krevvemson", "krevemsn"), ("keladbreg", "keladbeerg"), ("halerik", "hlaerkk"), ("~kimminsu", "+kimminsu")):
+        assert N.deletes(a) & N.deletes(b)
+    rows = [(1, 3, "Tariq Krevvemson"), (2, 3, "Tariq Krevemsn"), (3, 3, "Robert Keladbreg"), (4, 3, "Robert Keladbeerg"), (5, 3, "Ingrid Hlaerik"), (6, 3, "Ingrid Halerkk"), (7, 3, "김지후"), (8, 3, "Kim Jihu")]
+    df = spark.createDataFrame([(*r, "person") for r in rows], "hint_id long, workspace_id long, name string, entity_type string")
+    assert {tuple(r) for r in N.pairs(N.linked(df)).collect()} == {(1, 2), (3, 4), (5, 6), (7, 8)}
