@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from memloom.operators.ingest import upsert_latest
+from memloom.scratch import exists
 
 
 def arriving(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -29,17 +30,20 @@ def day_histogram(stream: DataFrame, at: str, by: str, late: str = "1 day") -> D
 def merge_into(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> StreamingQuery:
     """Each batch replaces the rows of its keys in a parquet table; the table is a new version after each batch.
 
-    A batch that is run again gives the same version, so the result does not depend on restarts.
+    Of a batch's rows of one key the largest by the other columns, in their order, stays, so a batch that is run again
+    gives the same version.  Every version but the first is built on the one before: if that is not there, or can't be
+    read, the batch fails and nothing is written.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates(keys)
-        try:
-            old = spark.read.parquet(f"{target}/v{number - 1}") if number else None
-        except Exception:  # noqa: BLE001 - the first version
-            old = None
-        merged = latest if old is None else upsert_latest(old, latest, keys)
+        others = [c for c in batch.columns if c not in keys]
+        best = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_best")) if others else batch.select(*keys).distinct()
+        latest = best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}") for c in batch.columns])
+        before = f"{target}/v{number - 1}"
+        if number and not exists(spark, before):
+            raise FileNotFoundError(f"version {number} of {target} needs {before}, which is not there")
+        merged = upsert_latest(spark.read.parquet(before), latest, keys) if number else latest
         merged.write.mode("overwrite").parquet(f"{target}/v{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

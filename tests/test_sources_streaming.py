@@ -76,3 +76,25 @@ def test_streams(spark, tmp_path):
     query = stream.merge_into(source.select("id", F.lit(1).alias("n")), str(tmp_path / "out"), ["id"], str(tmp_path / "c3"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "v0")).count() == 7
+
+
+def test_merged_versions_are_repeatable_and_never_start_anew(spark, tmp_path):
+    """Of two rows of a key the larger stays; a version whose predecessor is missing or broken is not written."""
+    rows = [(1, 5, "a"), (1, 9, "b"), (2, 1, "c")]
+    spark.createDataFrame(rows, "id long, n int, s string").repartition(3).write.parquet(str(tmp_path / "in"))
+    source = stream.arriving(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    stream.merge_into(source, str(tmp_path / "out"), ["id"], str(tmp_path / "c")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "v0")).collect())) == [(1, 9, "b"), (2, 1, "c")]
+    for state in ("missing", "broken"):
+        for f in (tmp_path / "out").glob("v0/*.parquet"):
+            f.unlink() if state == "missing" else f.write_bytes(b"no parquet")
+        if state == "missing":
+            for f in [*(tmp_path / "out" / "v0").iterdir()]:
+                f.unlink()
+            (tmp_path / "out" / "v0").rmdir()
+        spark.createDataFrame([(3, 1, "d")], "id long, n int, s string").write.mode("append").parquet(str(tmp_path / "in"))
+        with pytest.raises(Exception, match="v0|parquet|Parquet|PARQUET"):
+            stream.merge_into(source, str(tmp_path / "out"), ["id"], str(tmp_path / "c")).awaitTermination()
+        assert not (tmp_path / "out" / "v1").exists()
+        (tmp_path / "out" / "v0").mkdir(exist_ok=True)
+        (tmp_path / "out" / "v0" / "x.parquet").write_bytes(b"")
