@@ -38,3 +38,14 @@ def test_tables_are_replaced_dropped_and_swept(spark):
     assert not scratch.exists(spark, f"{table.root}/b-3")
     scratch.sweep(spark)
     assert not scratch.exists(spark, table.root)
+
+
+def test_once_by_key(spark, monkeypatch):
+    from memloom import tables
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "a"), (None, "c"), (3, None), (1, "a")], "id long, t string")
+    want = [(1, "a"), (2, "b"), (3, None)]
+    assert sorted(map(tuple, tables.once_by_key(df, "id").collect())) == want
+    monkeypatch.setattr(tables, "SENT_KEYS", 0)
+    assert sorted(map(tuple, tables.once_by_key(df, "id").collect())) == want
+    assert tables.once_by_key(df.limit(0), "id").count() == 0 and tables.once_by_key(df.filter("id = 2"), "id").count() == 1
