@@ -5,7 +5,10 @@ distribution at a uniform number hashed from its id, cut at the source's largest
 the cut distribution, so the cut costs no share).  Records are repeated by exploding them and the result is ordered by a
 hash of id and copy, which shuffles it globally and always the same way.
 
-The total is the largest at which no source needs more than its allowed uses, or the one asked for.
+The total is the largest at which no source needs more than its allowed uses, or the one asked for.  At the largest
+total the source that binds it is used ``max_repeats`` times throughout, i.e. taken whole and not drawn; a smaller total
+has every source drawn.  ``error`` in the shares is what is left between a share and its target: a share is met to about
+1 / sqrt(records used), so a source of which the mix takes fewer than some hundred records may miss it visibly.
 
 Defined results: sources are compared without case and outer blanks; records whose source is null or has no target, and
 records without tokens, are not used; a source with a target but no tokens is reported with share 0; null ids are left
@@ -24,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.scratch import Scratch
+from memloom.tables import once_by_key
 
 #: Vocabulary of a public tokenizer, as ranks; read on the driver and sent to the tasks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CORRECTIONS = 4
+CORRECTIONS = 6
+#: A source that is this near its target share is not corrected further.
+CLOSE = 0.002
 #: Fixed value: the pattern by which this vocabulary's tokenizer cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -57,18 +63,21 @@ def cut_poisson(mean: float, most: int) -> list[float]:
         return [0.0] * most
 
     def cumulative(rate: float) -> list[float]:
-        out, p, total = [], math.exp(-rate), 0.0
+        # In logarithms, so that no rate is too large for the first term.
+        out, total = [], 0.0
         for k in range(most):
-            total += p
-            out.append(total)
-            p *= rate / (k + 1)
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            out.append(min(total, 1.0))
         return out
 
-    low, high = 0.0, 700.0
-    for _ in range(200):
+    # The mean of min(X, most) is the sum over k < most of P(X > k).
+    reached = lambda rate: sum(1 - c for c in cumulative(rate))
+    low, high = 0.0, max(1.0, mean)
+    while reached(high) < mean:
+        low, high = high, 2 * high
+    for _ in range(100):
         rate = (low + high) / 2
-        # The mean of min(X, most) is the sum over k < most of P(X > k).
-        low, high = (rate, high) if sum(1 - c for c in cumulative(rate)) < mean else (low, rate)
+        low, high = (rate, high) if reached(rate) < mean else (low, rate)
     return cumulative((low + high) / 2)
 
 
@@ -81,7 +90,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
         "source is not null and target_share > 0 and max_repeats > 0"
     ).dropDuplicates(["source"])
     base = documents.select(F.col("doc_id").cast("long"), clean.alias("source"), "text").filter("doc_id is not null and source is not null and length(text) > 0")
-    counted = scratch.write(with_tokens(base.join(goals.select("source"), "source", "left_semi").dropDuplicates(["doc_id"])), "counted")
+    counted = scratch.write(with_tokens(once_by_key(base.join(F.broadcast(goals.select("source")), "source", "left_semi"), "doc_id")), "counted")
     # One row for each target: as many as the table of targets has.
     have = counted.filter("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("records"))
     plan = [r.asDict() for r in goals.join(have, "source", "left").collect()]
@@ -96,18 +105,25 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
         rows = [(r["source"], cut_poisson(means[r["source"]], r["max_repeats"])) for r in usable]
         return spark.createDataFrame(rows, "source string, steps array<double>")
 
-    # A record's uniform number stays, so the tokens used rise with the mean: a few corrections take out the chance.
+    # A record's uniform number stays, so the tokens used rise with the mean: a few corrections take out the chance.  The
+    # best means seen are kept; what is left shows in the shares, since records are whole and may be few.
     sizes = counted.filter("tokens > 0").select("doc_id", "source", "tokens")
+    best = (math.inf, dict(means))
     for _ in range(CORRECTIONS):
         got = dict(sizes.join(F.broadcast(table()), "source").groupBy("source").agg(F.sum(F.col("tokens") * uses)).collect())
-        off = 0.0
+        off, tried = 0.0, dict(means)
         for r in usable:
             goal = r["target_share"] * total
-            if means[r["source"]] < r["max_repeats"] * (1 - 1e-9) and got.get(r["source"]):
-                off = max(off, abs(got[r["source"]] / goal - 1))
-                means[r["source"]] = min(means[r["source"]] * goal / got[r["source"]], r["max_repeats"] * (1 - 1e-6))
-        if off < 0.002:
+            if means[r["source"]] < r["max_repeats"] * (1 - 1e-9):
+                used = got.get(r["source"]) or 0
+                off = max(off, abs(used / goal - 1))
+                means[r["source"]] = min(means[r["source"]] * (goal / used if used else 2.0), r["max_repeats"] * (1 - 1e-6))
+        before = best[0]
+        if off < before:
+            best = (off, tried)
+        if off < CLOSE or off > 0.7 * before:  # near enough, or as near as whole records come
             break
+    means = best[1]
     steps = table()
     repeated = (
         counted.filter("tokens > 0").join(F.broadcast(steps), "source").withColumn("uses", uses).filter("uses > 0")
@@ -122,6 +138,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
             "source", "target_share", "max_repeats", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("used", F.lit(0)).alias("used"),
             F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
             F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("share"),
+            (F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)) - F.col("target_share")).alias("error"),
         )
     )
     return repeated.orderBy("place_key"), shares

@@ -303,7 +303,7 @@ def compare(x: str, y: str) -> int:
         return 2 * bool(own)
     if glued[0] == glued[1] and len(glued[0]) > 5:
         return 2
-    if min(len(a.tokens), len(b.tokens)) < 2 or max(len(a.tokens), len(b.tokens)) > 6:
+    if min(len(a.tokens), len(b.tokens)) < 2:
         return 0
     # A further given name or its initial may be missing on one side, not more.
     if abs(len(a.tokens) - len(b.tokens)) > 1:

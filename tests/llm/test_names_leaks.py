@@ -72,3 +72,9 @@ def test_index_is_as_wide_as_the_comparison(spark):
     rows = [(1, 3, "Tariq Krevvemson"), (2, 3, "Tariq Krevemsn"), (3, 3, "Robert Keladbreg"), (4, 3, "Robert Keladbeerg"), (5, 3, "Ingrid Hlaerik"), (6, 3, "Ingrid Halerkk"), (7, 3, "김지후"), (8, 3, "Kim Jihu")]
     df = spark.createDataFrame([(*r, "person") for r in rows], "hint_id long, workspace_id long, name string, entity_type string")
     assert {tuple(r) for r in N.pairs(N.linked(df)).collect()} == {(1, 2), (3, 4), (5, 6), (7, 8)}
+
+
+def test_long_names_are_compared():
+    a, b = "Maria da Conceicao Teresa Sofia Almeida Brandao Vasques Queiroz", "Maria da Conceicao Teresa Sofia Almeida Brandao Vasquez Queiroz"
+    assert len(N.parse(a).tokens) > 6 and N.compare(a, b) == 2
+    assert N.compare("Jan Kowalczyk", "Jan Kovalcsyk") == 2 and N.deletes("kowalczyk") & N.deletes("kovalcsyk")
