@@ -8,21 +8,37 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fragment types by the words that decide them, in the order in which they are tried.
-FRAGMENT_RULES = [
-    ("decision", "(?i)\\b(decid|decision|chose|chosen|agreed)"), ("error", "(?i)\\b(error|fail|bug|crash|exception)"), ("preference", "(?i)\\b(prefer|like|favou?r)"),
-    ("procedure", "(?i)\\b(step|procedure|how to|run|install|first)"), ("relation", "(?i)\\b(depends|relat|replaced|uses|owns)"),
-]
+#: Fragment types by parts of a predicate, in the order in which they are tried; anything else is a fact.
+FRAGMENT_WORDS = {
+    "preference": ["prefer", "선호", "like", "dislike", "좋아", "싫어", "sentiment"],
+    "decision": ["decide", "chose", "결정", "선택", "switch", "change"],
+    "error": ["error", "bug", "fail", "에러", "버그", "실패"],
+    "procedure": ["step", "process", "how_to", "방법", "절차", "procedure"],
+    "relation": ["relates", "depends", "uses", "관계", "의존", "사용"],
+}
 #: Half-life of a fragment in days, by type.
 HALF_LIFE_DAYS = {"preference": 120.0, "decision": 90.0, "fact": 60.0, "error": 60.0, "relation": 60.0, "procedure": 30.0}
 DEFAULT_HALF_LIFE = 60.0
-#: Prefixes of tool lines and solo noise lines that a sanitizer drops.
-TOOL_PREFIXES = ["Bash", "Read", "Write", "Edit", "Grep", "Glob", "Task", "WebFetch", "WebSearch", "TodoWrite", "NotebookEdit", "tool_result", "tool_use"]
-RELATION_TYPES = ["related_to", "part_of", "depends_on", "uses_db", "works_at", "located_in", "owns", "prefers", "replaced_by", "decided_on", "scheduled_for", "blocked_by"]
+#: Openings of tool lines, which a sanitizer drops; the first two need no closing bracket.
+TOOL_OPENINGS = ["[tool_use:", "[TOOL_USE", "[tool_result]", "[TOOL_RESULT]", "[결과]", "[Read]", "[Bash]", "[Write]", "[Edit]", "[Grep]", "[Glob]", "[TodoWrite]", "[WebFetch]", "[WebSearch]"]
+#: Lines left over from numbered listings: an arrow, two blanks or more, a bar, or nothing after the number.
+NUMBERED_LINE = r"\d+(?:→|\s{2,}\S.*$|\s*\|.*$|\s*$)"
+#: Tags whose content is no speech.
+WRAPPERS = ["ide_opened_file", "ide_selection", "local-command-caveat", "local-command-stdout", "command-name", "command-message", "command-args", "system-reminder"]
+#: Texts that are nothing but noise, each from its start to its end.
+SOLO_NOISE = [
+    "Unknown skill:.*", r"Todos have been modified successfully\. Ensure that you continue to use the todo list.*", r"\[?결과\]?\s*Command running in background with ID:.*",
+    r"In plan mode, you should:.*?ExitPlanMode.*?approval\.\s*", r"Your plan has been saved to:\s*\S+\s*",
+]
+RELATION_TYPES = ["supports", "contradicts", "depends_on", "part_of", "related_to"]
 #: Words that carry no topic.
-STOPWORDS = ["the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "is", "are", "was", "were", "it", "that", "this", "what", "how", "when", "where", "who", "which", "with", "about", "did", "do", "does", "we", "i", "you"]
-#: Korean particles, longest first.
-PARTICLES = ["에서는", "으로는", "에게서", "에서", "으로", "에게", "까지", "부터", "처럼", "보다", "은", "는", "이", "가", "을", "를", "에", "의", "로", "와", "과", "도", "만"]
+STOPWORDS = "the a an of in on at to for with and or but is are was were be been has have had do does did will would what which who when where why how".split()
+#: Korean particles.
+PARTICLES = "의 는 이 가 을 를 에 에서 에게 에서부터 부터 까지 으로 로 와 과 도 만 뿐 이나 나 든지 라도 마저 조차 뿐만 처럼 같이 보다 하고 하고는".split()
+#: Markers of a decision, of a discovery and of a correction, words and phrases in any case.
+DECISION_MARKERS = "because|since|the reason|the issue is|the problem is|the bug is|the fix is|the root cause|turns out|it turns out|this is why|instead of|rather than|we should|we need to|the correct|actually,?|in fact,?|specifically,?"
+DISCOVERY_MARKERS = "found|discovered|noticed|realized|identified|confirmed|turned out|the test (failed|passed) because|this file|this function|contains|defines|implements|references|depends on|uses"
+CORRECTION_MARKERS = "doesn['’]t|does not|won['’]t|will not|can['’]t|cannot|didn['’]t|failed|broken|incorrect|wrong|missing|instead|however|but\\s+actually|on second thought"
 
 
 def token_estimate(text: Column) -> Column:
@@ -39,10 +55,45 @@ def low_quality_summary(summary: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    """Topic words in order, repeats kept: punctuation to blanks, stopwords and one-letter words dropped, particles cut."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
-    cut = F.transform(words, lambda w: F.when(F.length(w) > 2, F.regexp_replace(w, f"(?<=[가-힣]{{2}})({'|'.join(PARTICLES)})$", "")).otherwise(w))
-    return F.filter(cut, lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS))
+    """Topic words as written, in order, repeats kept: marks to blanks, stopwords out, particles cut, two letters at least."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[^\w\s가-힣]", " "), r"(?U)\s+"), lambda w: F.length(w) > 0)
+    spoken = F.filter(words, lambda w: ~F.lower(w).isin(STOPWORDS))
+    # The longest particle that leaves two characters or more of the word.
+    longest = sorted(PARTICLES, key=len, reverse=True)
+    cut = F.transform(spoken, lambda w: F.regexp_replace(w, f"(?s)^(.{{2,}}?)(?:{'|'.join(longest)})$", "$1"))
+    return F.filter(cut, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(STOPWORDS))
+
+
+def expanded(words: Column, aliases: dict[str, str], other_script: dict[str, str]) -> Column:
+    """Each word followed by its names in another script and by its alias, the first of each spelling, case ignored."""
+    lookup = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key) if table else F.lit(None).cast("string")
+
+    def names(w: Column) -> Column:
+        alias = lookup(aliases, F.lower(w))
+        return F.array_compact(F.array(w, lookup(other_script, w), F.when(alias != F.lower(w), alias)))
+
+    every = F.flatten(F.transform(words, names))
+    return F.filter(every, lambda w, i: F.array_position(F.transform(every, lambda x: F.lower(x)), F.lower(w)) == i + 1)
+
+
+def preprocessed(query: Column, aliases: dict[str, str], other_script: dict[str, str]) -> Column:
+    """Struct (normalized, keywords, terms, any_of) of a search: ``any_of`` joins the terms by OR, or is the query itself."""
+    words = keywords(query)
+    terms = expanded(words, aliases, other_script)
+    return F.struct(
+        F.lower(F.trim(compatible(query))).alias("normalized"), words.alias("keywords"), terms.alias("terms"),
+        F.when(F.size(terms) > 0, F.array_join(terms, " OR ")).otherwise(query).alias("any_of"),
+    )
+
+
+def compatible(text: Column) -> Column:
+    """A text in compatible form (NFKC), which SQL has no function for."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
+
+    return run(text)
 
 
 def density(words: Column, known: Column) -> Column:
@@ -51,22 +102,40 @@ def density(words: Column, known: Column) -> Column:
     return F.when(F.size(distinct) == 0, 0.0).otherwise(F.size(F.array_intersect(distinct, known)) / F.size(distinct))
 
 
-def sanitized(text: Column) -> Column:
-    """Struct (cleaned, removed): wrapper tags, tool lines and line-number leaks are taken out of a turn's text."""
-    unwrapped = F.regexp_replace(text, r"(?s)<(system-reminder|command-message|command-name|local-command-stdout)>.*?</\1>", "")
-    result = F.regexp_extract(unwrapped, r"(?s)<task-notification>.*?<result>(.*?)</result>.*?</task-notification>", 1)
-    body = F.when(F.length(result) > 0, result).otherwise(F.regexp_replace(unwrapped, r"(?s)<task-notification>.*?</task-notification>", ""))
-    lines = F.split(body, "\n", -1)
-    tool = f"^\\s*\\[(?:{'|'.join(TOOL_PREFIXES)})\\]"
-    leak = r"^\s*\d{1,6}(?:\t|→)"
-    bad = lambda line: line.rlike(tool) | line.rlike(leak)
-    return F.struct(F.array_join(F.filter(lines, lambda x: ~bad(x)), "\n").alias("cleaned"), F.filter(lines, bad).alias("removed"))
+def sanitized(text: Column, mode: str = "cleaned") -> Column:
+    """Struct (cleaned, removed): wrapper tags, noise, tool lines and line-number leaks are taken out of a turn's text.
+
+    A notification gives way to its result's body, wherever in it that stands.  A text that is nothing but noise comes
+    out empty, with itself as what was removed; a final line feed stays unless nothing else does.  Mode 'raw' changes
+    nothing; null stays null.
+    """
+    if mode == "raw":
+        return F.struct(text.alias("cleaned"), F.array().cast("array<string>").alias("removed"))
+    if mode != "cleaned":
+        raise ValueError(f"mode is 'cleaned' or 'raw', not {mode!r}")
+    # Each notification is marked, its body kept with a line feed, the rest dropped.
+    told = F.regexp_replace(text, r"(?s)<task-notification>(?:(?!</task-notification>).)*?<result>((?:(?!</task-notification>).)*?)</result>(?:(?!</task-notification>).)*</task-notification>\s*", "$1\n")
+    told = F.regexp_replace(told, r"(?s)<task-notification>.*?</task-notification>\s*", "")
+    bare = F.regexp_replace(told, rf"(?s)<({'|'.join(WRAPPERS)})>.*?</\1>\s*", "")
+    noise = F.regexp_replace(bare, r"(?U)^\s+|\s+$", "").rlike(rf"(?s)^(?:{'|'.join(SOLO_NOISE)})$")
+    lines = F.split(bare, "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]", -1)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)  # no line after the last line feed
+    opening = "|".join("\\Q" + x + "\\E" for x in TOOL_OPENINGS)
+    bad = lambda line: line.rlike(rf"(?U)^\s*(?:{opening}|{NUMBERED_LINE})")
+    kept = F.array_join(F.filter(lines, lambda x: ~bad(x)), "\n")
+    kept = F.when(text.endswith("\n") & (kept != "") & ~kept.endswith("\n"), F.concat(kept, F.lit("\n"))).otherwise(kept)
+    return F.struct(
+        F.when(noise, "").otherwise(kept).alias("cleaned"),
+        F.when(noise, F.array(F.regexp_replace(bare, r"\n+$", ""))).otherwise(F.filter(lines, bad)).alias("removed"),
+    )
 
 
-def fragment_type(text: Column) -> Column:
+def fragment_type(predicate: Column) -> Column:
+    """The type of the first group of which a part occurs in the predicate, case ignored; null counts as a fact."""
+    low = F.lower(F.coalesce(predicate, F.lit("")))
     out = F.lit("fact")
-    for kind, pattern in reversed(FRAGMENT_RULES):
-        out = F.when(text.rlike(pattern), kind).otherwise(out)
+    for kind, parts in reversed(FRAGMENT_WORDS.items()):
+        out = F.when(low.rlike("|".join(parts)), kind).otherwise(out)
     return out
 
 
@@ -112,15 +181,24 @@ def path_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(normalized_path(path), "/"), -1), r"\.[^.]*$", "")
 
 
+def resolved_path(path: Column, base: str) -> Column:
+    """A path below ``base`` unless it is absolute, normalized, with '.' and '..' taken out."""
+    plain = normalized_path(path)
+    whole = F.when(plain.rlike("^(/|[a-z]:/)"), plain).otherwise(F.concat(F.lit(base.rstrip("/").lower() + "/"), plain))
+    step = lambda done, part: F.when(part.isin("", "."), done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+    parts = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(whole.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
+
+
 def chain(spec: Column) -> Column:
     """'A>B>C' as an array of trimmed names, blanks dropped."""
     return F.filter(F.transform(F.split(spec, ">"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def signal_boost(text: Column) -> Column:
-    """0 to 3: one each for a decision, an emphasis and an error word."""
-    hit = lambda p: text.rlike(p).cast("int")
-    return hit(r"(?i)\b(decided|decision|agreed|let's)\b") + hit(r"(?i)\b(important|never|always|must|remember)\b") + hit(r"(?i)\b(error|bug|failed|broken|stopped)\b")
+    """0 to 3: one each for markers of a decision, of a discovery and of a correction."""
+    hit = lambda words: text.rlike(rf"(?i)\b({words})\b").cast("int")
+    return hit(DECISION_MARKERS) + hit(DISCOVERY_MARKERS) + hit(CORRECTION_MARKERS)
 
 
 def cross_script(a: Column, b: Column) -> Column:
@@ -141,13 +219,17 @@ def conflict_class(entailment: Column, contradiction: Column, cosine: Column) ->
     )
 
 
-def normalize_name(name: Column, aliases: dict[str, str]) -> Column:
-    """Trimmed, compatible form, lower case, then the alias if there is one; null stays null."""
+def normalize_name(name: Column, aliases: dict[str, str], other_script: dict[str, str] | None = None) -> Column:
+    """Trimmed, compatible form; the name in another script if listed, else lower case and its alias; null stays null."""
+    scripts = other_script or {}
 
     @F.pandas_udf("string")
     def run(names: pd.Series) -> pd.Series:
-        low = names.map(lambda n: unicodedata.normalize("NFKC", n.strip()).lower() if isinstance(n, str) else None)
-        return low.map(lambda n: aliases.get(n, n))
+        def one(name: str) -> str:
+            plain = unicodedata.normalize("NFKC", name.strip())
+            return scripts[plain].lower() if plain in scripts else aliases.get(plain.lower(), plain.lower())
+
+        return names.map(lambda n: one(n) if isinstance(n, str) else None)
 
     return run(name)
 
@@ -166,6 +248,44 @@ def partial_ratio(a: str, b: str) -> float:
     return 100 * best
 
 
+def fuzzy_ratio(a: str, b: str) -> float:
+    """0 to 100: the best of the plain ratio, that of the sorted words, and the partial one.
+
+    A ratio is twice the longest common subsequence over the summed lengths, as edit-distance libraries define it.
+    """
+    return max(_ratio(a, b), _ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), _partial(a, b))
+
+
+def _ratio(a: str, b: str) -> float:
+    if not a and not b:
+        return 100.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return 200.0 * row[-1] / (len(a) + len(b))
+
+
+def _partial(a: str, b: str) -> float:
+    """The best ratio of the shorter text to a stretch of its length in the longer one, shorter stretches at the ends."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0 if long else 100.0
+    n = len(short)
+    return max(_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+
+
+def fuzzy(a: Column, b: Column) -> Column:
+    """``fuzzy_ratio`` of two columns; null if one is null."""
+
+    @F.pandas_udf("double")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([fuzzy_ratio(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return run(a, b)
+
+
 def grounded(quote: Column, text: Column) -> Column:
     """Whether a quote is found in a text, word for word or with a partial ratio of 75; empty quotes or texts are not."""
 

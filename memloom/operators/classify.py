@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.functions import text as X
+from memloom.operators.gaps import cleaned
+from memloom.operators.ingest import insert_absent
 from memloom.operators.ordered import running
 
 #: Speaker labels at the start of a line, and the role that each stands for.
 SPEAKERS = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "system": "system", "tool": "tool"}
-#: Openings of lines that are scaffolding, not speech.
-SCAFFOLDING = r"(?i)^\s*(let me (check|look|read|see)|now (let me|i('|’)ll)|i('|’)ll (now )?(check|start|read)|okay, (let me|now)|next, (let me|i('|’)ll))\b.*$"
 #: Topic words by subject chain, in the order in which they are tried.
 TOPIC_RULES = [("Search>Ranking", r"(?i)\b(ranking|search|passage|vector)\b"), ("Ingest>Dedup", r"(?i)\b(import|ingest|duplicate|upload)\b"), ("Ops>Queues", r"(?i)\b(queue|broker|retry|retries|cron|nightly)\b"), ("Product>Screens", r"(?i)\b(screen|page|login|widget|mobile)\b")]
 
@@ -38,10 +39,48 @@ def transcript(turns: DataFrame) -> DataFrame:
 
 
 def without_scaffolding(text: Column) -> Column:
-    """Thinking blocks and scaffolding lines taken out; runs of blank lines become one."""
-    bare = F.regexp_replace(text, r"(?s)<thinking>.*?(</thinking>|$)", "")
-    lines = F.filter(F.split(bare, "\n", -1), lambda x: ~x.rlike(SCAFFOLDING))
-    return F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
+    """Thinking blocks, tool breadcrumbs and stock phrases taken out; runs of blank lines become one (``gaps.cleaned``)."""
+    return cleaned(F.regexp_replace(text, r"(?s)<thinking>.*?(</thinking>|$)", ""))
+
+
+def by_directory(sessions: DataFrame, places: dict[str, str], topics: dict[str, str], least: int = 5) -> DataFrame:
+    """(session_id, chain): subject chains by working directory, then by words of the title and first text.
+
+    ``places`` maps a part of a path to a chain and ``topics`` a pattern to one; both are tried in order, directories
+    first, and the last part of a path of ``least`` letters or more stands for itself.  The rest have no chain.
+    """
+    path = X.normalized_path(F.coalesce("cwd", F.lit("")))
+    said = F.concat_ws(" ", "title", "text")
+    base = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    out = F.when(F.length(base) >= least, base)
+    for pattern, chain in reversed(topics.items()):
+        out = F.when(said.rlike(f"(?i){pattern}"), chain).otherwise(out)
+    for part, chain in reversed(places.items()):
+        out = F.when(F.contains(path, F.lit(part.lower())), chain).otherwise(out)
+    return sessions.select("session_id", out.alias("chain"))
+
+
+def classify_turns(entities: DataFrame, links: DataFrame, existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(subjects, links to append, counts) of confirmed assignments.
+
+    ``existing`` gives (subject_id, turn_ids); ``new`` gives (spec, workspace_id, name, parent_id, parent_name, turn_ids)
+    with a number of its own per row.  Subjects without a parent are created first; those with a parent take the one
+    given by id, else the first created of that name, else the smallest known entity of that name, else none.  A pair of
+    turn and subject that is already linked is skipped.  New subjects get ids above the known ones, in the order of
+    ``spec``, roots first.
+    """
+    low = lambda c: F.lower(F.trim(F.col(c)))
+    root = F.col("parent_id").isNull() & F.col("parent_name").isNull()
+    most = entities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
+    # Confirmed by a person and therefore few; numbering them needs one order.
+    numbered = new.withColumn("n", F.row_number().over(Window.orderBy((~root).cast("int"), "spec"))).crossJoin(F.broadcast(most)).withColumn("id", F.col("most") + F.col("n"))  # one row
+    created = numbered.filter(root).groupBy("workspace_id", low("name").alias("key")).agg(F.max("id").alias("by_new"))
+    known = entities.groupBy("workspace_id", F.col("name_normalized").alias("key")).agg(F.min("id").alias("by_name"))
+    key = numbered.withColumn("key", low("parent_name")).join(created, ["workspace_id", "key"], "left").join(known, ["workspace_id", "key"], "left")
+    subjects = key.select("spec", "id", "workspace_id", "name", F.coalesce("parent_id", "by_new", "by_name").alias("parent_id"), "turn_ids")
+    wanted = existing.select("subject_id", F.explode("turn_ids").alias("turn_id")).unionByName(subjects.select(F.col("id").alias("subject_id"), F.explode("turn_ids").alias("turn_id")))
+    fresh, counts = insert_absent(links, wanted, ["turn_id", "subject_id"])
+    return subjects.drop("turn_ids"), fresh, counts.crossJoin(F.broadcast(subjects.agg(F.count(F.lit(1)).alias("created"))))  # one row
 
 
 def topic(text: Column) -> Column:

@@ -14,8 +14,11 @@ def dedupe_turns(turns: DataFrame) -> DataFrame:
 
     Null texts are equal to each other; an empty table gives no rows.
     """
-    first = Window.partitionBy("episode_id", "role", "text").orderBy("sequence", "id")
-    return turns.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+    # Minima by a 128-bit mark of the text are combined before the shuffle, so texts stay where they are and no group, however
+    # many copies it has, is sorted; a mark of two 64-bit hashes stands for the text.
+    marks = [F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(7), "text", F.length("text")).alias("_g"), F.col("text").isNull().alias("_n")]
+    first = turns.select("episode_id", "role", "id", "sequence", *marks).groupBy("episode_id", "role", "_h", "_g", "_n").agg(F.min(F.struct("sequence", "id")).alias("f"))
+    return turns.join(first.select(F.col("f.id").alias("id")), "id", "left_semi")
 
 
 def dropped_duplicates(turns: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def message_pairs(turns: DataFrame) -> DataFrame:
 
 
 def lookback(pairs: DataFrame, rows: int = 2) -> DataFrame:
-    """Each pair with the sequences of the previous ones, joined by '|'."""
+    """Each pair with the sequences of the previous ones, joined by '|'; see ``lookback_texts`` for the texts."""
     # Pairs are numbered without gaps, so the previous ones are found by their numbers.
     out = pairs
     for back in range(rows, 0, -1):
@@ -117,6 +120,26 @@ def lookback(pairs: DataFrame, rows: int = 2) -> DataFrame:
     return out.withColumn("context", F.concat_ws("|", *before)).drop(*before)
 
 
+def lookback_texts(pairs: DataFrame, rows: int = 2, chars: int = 500) -> DataFrame:
+    """(episode_id, pair, context): the heads of the texts (episode_id, pair, text) of the pairs before each one, oldest first."""
+    out = pairs.select("episode_id", "pair")
+    for back in range(rows, 0, -1):
+        earlier = pairs.select("episode_id", (F.col("pair") + back).alias("pair"), F.substring("text", 1, chars).alias(f"_before{back}"))
+        out = out.join(earlier, ["episode_id", "pair"], "left")
+    before = [f"_before{back}" for back in range(rows, 0, -1)]
+    return out.select("episode_id", "pair", F.concat_ws("\n\n", *before).alias("context"))
+
+
+def chunk_previews(turns: DataFrame, size: int = 30, last: int = 3, chars: int = 200) -> DataFrame:
+    """(episode_id, chunk, preview): the heads of the last turns of the chunk before, which a chunk begins with."""
+    numbered = running(turns, "episode_id", ["sequence", "id"], {"nth": F.lit(1)}).withColumn("chunk", F.floor((F.col("nth") - 1) / size).cast("long"))
+    tail = numbered.filter((F.col("nth") - 1) % size >= size - last)
+    heads = tail.groupBy("episode_id", (F.col("chunk") + 1).alias("chunk")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("t")))), lambda x: x["t"]), "\n").alias("preview")
+    )
+    return numbered.select("episode_id", "chunk").distinct().join(heads, ["episode_id", "chunk"], "left").withColumn("preview", F.coalesce("preview", F.lit("")))
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int = 1) -> DataFrame:
     """n rows of each stratum in the order of a hash of their key: the same ones every time."""
     order = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key)

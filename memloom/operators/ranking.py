@@ -62,36 +62,49 @@ def rescored(candidates: DataFrame) -> DataFrame:
 
 
 def minmax(df: DataFrame, score: str, group: str, order: str) -> DataFrame:
-    """Scores of each group scaled to 0..1; if all are equal, 1 - (place - 1) / rows by ``order``."""
-    whole = Window.partitionBy(group)
-    rank = Window.partitionBy(group).orderBy(F.desc(score), order)
-    low, high = F.min(score).over(whole), F.max(score).over(whole)
-    return df.withColumn(
-        "scaled",
-        F.when(high - low < 1e-9, 1.0 - (F.row_number().over(rank) - 1) / F.count(F.lit(1)).over(whole)).otherwise((F.col(score) - low) / (high - low)),
-    )
+    """Scores of each group scaled to 0..1; if all are equal, 1 - (place - 1) / rows by ``order``.
+
+    Bounds are aggregates; only groups of equal scores are put in order.
+    """
+    ends = df.groupBy(F.col(group).alias("_g")).agg(F.min(score).alias("_low"), F.max(score).alias("_high"), F.count(F.lit(1)).alias("_n"))
+    joined = df.join(ends, F.col(group).eqNullSafe(F.col("_g")))
+    flat = F.col("_high") - F.col("_low") < 1e-9
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(F.desc(score), order))
+    level = joined.filter(flat).withColumn("scaled", 1.0 - (place - 1) / F.col("_n"))
+    spread = joined.filter(~flat).withColumn("scaled", (F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return spread.unionByName(level).drop("_g", "_low", "_high", "_n")
+
+
+def scaled(relevance: np.ndarray) -> np.ndarray:
+    """Relevances of ordered rows on 0..1; rows that are all equal go down in equal steps from 1."""
+    if not len(relevance):
+        return relevance
+    low, high = relevance.min(), relevance.max()
+    return 1.0 - np.arange(len(relevance)) / len(relevance) if high - low < 1e-9 else (relevance - low) / (high - low)
 
 
 def select_diverse(ids: Sequence[int], relevance: np.ndarray, vectors: np.ndarray, communities: Sequence[int | None], *, limit: int = 20, balance: float = 0.6, stop: float = 0.1, least: int = 3, bonus: float = 0.05) -> list[int]:
     """Greedy maximal marginal relevance: places of the chosen rows.
 
-    Each step takes the best of balance * relevance - (1 - balance) * (largest cosine to a chosen one, at least 0), plus a
-    bonus for a community not seen yet; ties go to the earlier row.  After ``least`` rows it stops once the best
-    relevance part falls below ``stop`` times the first one's.
+    The most relevant row comes first.  Each further step takes the best of balance * relevance - (1 - balance) *
+    (largest cosine to a chosen one, at least 0), plus a bonus for a community not seen yet; ties go to the earlier row.
+    Once ``least`` rows are chosen it stops at a row whose relevance part and bonus fall below ``stop`` times the first
+    row's relevance part.
     """
     n = len(ids)
-    unit = vectors / np.maximum(1e-12, np.linalg.norm(vectors, axis=1, keepdims=True)) if n else vectors
-    nearest, free, chosen, seen = np.zeros(n), np.ones(n, bool), [], set()
-    first = 0.0
+    if not n:
+        return []
+    unit = vectors / np.maximum(1e-12, np.linalg.norm(vectors, axis=1, keepdims=True))
+    gain = balance * relevance
+    at = int(relevance.argmax())
+    first, chosen, free, seen = gain[at], [at], np.ones(n, bool), {communities[at]}
+    nearest = np.maximum(0.0, unit @ unit[at])
+    free[at] = False
     while free.any() and len(chosen) < min(limit, 20):
-        extra = np.array([bonus if c is not None and c not in seen else 0.0 for c in communities])
-        gain = balance * relevance + extra
-        total = np.where(free, gain - (1 - balance) * nearest, -np.inf)
-        at = int(total.argmax())
-        if chosen and len(chosen) >= least and gain[free].max() < stop * first:
+        fresh = gain + np.array([bonus if c is not None and c not in seen else 0.0 for c in communities])
+        at = int(np.where(free, fresh - (1 - balance) * nearest, -np.inf).argmax())
+        if len(chosen) >= least and fresh[at] < stop * first:
             break
-        if not chosen:
-            first = balance * relevance[at]
         chosen.append(at)
         free[at] = False
         seen.add(communities[at])
@@ -109,7 +122,7 @@ def diverse(candidates: DataFrame, group: str, limit: int = 20) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["relevance", "id"], ascending=[False, True])
         community = [None if pd.isna(c) else int(c) for c in pdf["community"]]
-        picked = select_diverse(pdf["id"].tolist(), pdf["relevance"].to_numpy(), np.array(pdf["vector"].tolist(), dtype=float), community, limit=limit)
+        picked = select_diverse(pdf["id"].tolist(), scaled(pdf["relevance"].to_numpy()), np.array(pdf["vector"].tolist(), dtype=float), community, limit=limit)
         return pd.DataFrame({group: pdf[group].iloc[picked].to_numpy(), "id": pdf["id"].iloc[picked].to_numpy(), "place": np.arange(1, len(picked) + 1)})
 
     kind = f"`{group}` {candidates.schema[group].dataType.simpleString()}, id long, place int"
@@ -126,29 +139,33 @@ def excerpt_paragraphs(df: DataFrame, id_col: str, text_col: str, terms: Sequenc
 
 
 def excerpts(df: DataFrame, id_col: str, text_col: str, terms: Sequence[str], budget: int = 1500) -> DataFrame:
-    """(id, excerpt): best paragraphs within a budget, in their own order, gaps marked; the head if no term occurs."""
-    gap = "\n\n[...]\n\n"
+    """(id, excerpt): best paragraphs within a budget, in their own order, gaps marked; the head if no term occurs.
 
-    def pick(body: str) -> str:
-        parts = [p for p in __import__("re").split(r"\n\s*\n", body)]
-        low = [p.lower() for p in parts]
-        score = [sum(p.count(t.lower()) * max(1.0, len(t) / 3) for t in terms) for p in low]
-        left, taken = budget, []
-        for i in sorted(range(len(parts)), key=lambda i: (-score[i], i)):
-            cost = len(parts[i]) + len(gap)
-            if score[i] > 0 and (cost <= left or (not taken and left > 200)):
-                taken.append(i)
-                left -= cost
-        if not taken:
-            return body[:budget]
-        out, last = "", None
-        for i in sorted(taken):
-            out += ("" if last is None else "\n\n" if i == last + 1 else gap) + parts[i]
-            last = i
-        return out if len(out) <= budget else out[: budget - 20] + "..."
-
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: pick(b) if isinstance(b, str) else None)
-
-    return df.select(F.col(id_col).alias("id"), run(F.col(text_col)).alias("excerpt"))
+    Paragraphs are taken by score, then in order, while they fit; the first of them also if it alone is too long for what
+    is left.  All of it is array expressions on one row, so nothing is shuffled and nothing leaves the JVM.
+    """
+    gap = "\n\n[...]\n\n"
+    parts = F.split(F.col(text_col), r"\n\s*\n")
+
+    def score(body: Column) -> Column:
+        out = F.lit(0.0)
+        for term in terms:
+            out = out + X.occurrences(body, F.lit(term)) * F.lit(max(1.0, len(term) / 3))
+        return out
+
+    rated = F.filter(F.transform(parts, lambda p, i: F.struct((-score(p)).alias("worse"), i.alias("at"), F.length(p).alias("size"))), lambda x: x["worse"] < 0)
+    start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<int>").alias("taken"))
+
+    def take(state: Column, x: Column) -> Column:
+        cost = x["size"] + len(gap)
+        fits = (cost <= state["left"]) | ((F.size(state["taken"]) == 0) & (state["left"] > 200))
+        return F.when(fits, F.struct((state["left"] - cost).alias("left"), F.concat(state["taken"], F.array(x["at"])).alias("taken"))).otherwise(state)
+
+    def put(state: Column, at: Column) -> Column:
+        between = F.when(state["last"] < 0, "").when(at == state["last"] + 1, "\n\n").otherwise(gap)
+        return F.struct(F.concat(state["text"], between, F.get(F.col("_parts"), at)).alias("text"), at.alias("last"))
+
+    chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_body"), parts.alias("_parts"), F.sort_array(F.aggregate(F.array_sort(rated), start, take)["taken"]).alias("_taken"))
+    joined = F.aggregate("_taken", F.struct(F.lit("").alias("text"), F.lit(-1).alias("last")), put)["text"]
+    text = F.when(F.col("_body").isNull(), None).when(F.size("_taken") == 0, F.substring("_body", 1, budget)).when(F.length(joined) <= budget, joined).otherwise(F.concat(F.substring(joined, 1, budget - 20), F.lit("...")))
+    return chosen.select("id", text.alias("excerpt"))

@@ -3,8 +3,9 @@
 Every reader of ``memloom.plans.reads`` takes a ``Model``.  Redelivered rows are taken once; the other tables follow:
 
 * facts: extracted triples with the time of their episode; ``subject`` is the entity they are about.
-* relations: facts whose object is itself the subject of facts, as directed edges between names.
-* links: which turn is about which entity of the subject tree (several turns of an episode share one).
+* relations: facts whose object is a name (it opens with a capital), as directed edges between the names of a workspace;
+  an edge ends (``valid_to``) when the latest fact of its source and type begins.
+* links: which turn is about which entity of the subject tree (a few turns of an episode share one), over all entities.
 * summaries: stored daily summaries of a subject, one for each second day with turns.
 """
 
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from memloom.tables import delivered_once, load
 
-#: Entities over which the turns of an episode are spread by the derived link table.
-LINKED_ENTITIES = 60
+#: Turns of an episode that are about the same entity in the derived link table, and the step from episode to episode.
+TURNS_PER_ENTITY, EPISODE_STEP = 4, 7919
 
 
 def visible(metadata: Column) -> Column:
@@ -72,21 +73,62 @@ class Model:
             .select("hint_id", "workspace_id", "episode_id", "subject", coerced_relation(F.col("predicate")).alias("predicate"), "object_value", "source_quote", "valid_from")
         )
 
+    def facts_where(self, condition: Column, columns: list[str] | None = None) -> DataFrame:
+        """Facts that meet a condition on their own columns: it reaches the scan, since redelivered rows are equal."""
+        own = delivered_once(load(self.spark, self.folder, "fact_hints").withColumn("predicate", coerced_relation(F.col("predicate"))).filter(condition), "hint_id")
+        when = self.episodes.select(F.col("id").alias("e_id"), F.col("created_at").alias("valid_from"))
+        return own.join(when, F.col("episode_id") == F.col("e_id"), "left").select(*self.facts.columns)
+
+    def turns_where(self, condition: Column) -> DataFrame:
+        """Turns that meet a condition on said_at, day or their own columns, which reaches the scan."""
+        return delivered_once(self._timed(load(self.spark, self.folder, "turns")).filter(condition), "id")
+
+    def episodes_where(self, condition: Column) -> DataFrame:
+        return delivered_once(load(self.spark, self.folder, "episodes").filter(condition), "id")
+
+    @cached_property
+    def active_facts(self) -> DataFrame:
+        """Facts with ``superseded_at``: a hint that only repeats a stored triple is superseded when it comes."""
+        triple = ["workspace_id", "subject", "predicate", "object_value"]
+        first = self.facts.groupBy(*[F.col(c).alias(f"_{c}") for c in triple]).agg(F.min("hint_id").alias("first_id"))
+        same = F.lit(True)
+        for c in triple:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return self.facts.join(first, same).select(*self.facts.columns, F.when(F.col("hint_id") > F.col("first_id"), F.col("valid_from")).alias("superseded_at"))
+
     @cached_property
     def relations(self) -> DataFrame:
-        known = self.facts.select(F.col("subject").alias("known")).distinct()
-        edges = self.facts.join(known, F.col("object_value") == F.col("known"), "left_semi")
-        return edges.filter("subject <> object_value").select(
+        return self.facts.filter(F.col("object_value").rlike("^[A-Z]") & (F.col("subject") != F.col("object_value"))).select(
             "hint_id", "workspace_id", F.col("subject").alias("source"), F.col("object_value").alias("target"), F.col("predicate").alias("relation_type"), "valid_from"
         )
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Relations with ``valid_to``: null for the latest of a source and type, else when the latest one begins."""
+        latest = self.relations.groupBy("workspace_id", "source", "relation_type").agg(F.max("valid_from").alias("latest"))
+        return self.relations.join(latest, ["workspace_id", "source", "relation_type"]).withColumn("valid_to", F.when(F.col("valid_from") < F.col("latest"), F.col("latest"))).drop("latest")
+
+    @cached_property
+    def entity_names(self) -> DataFrame:
+        """(workspace_id, key, entity_id): names and aliases in lower case, each with the smallest entity of the workspace."""
+        names = self.entities.select("workspace_id", F.lower("name").alias("key"), F.col("id").alias("entity_id")).unionByName(
+            self.entities.select("workspace_id", F.explode("aliases").alias("key"), F.col("id").alias("entity_id")).withColumn("key", F.lower("key"))
+        )
+        return names.filter("key is not null").groupBy("workspace_id", "key").agg(F.min("entity_id").alias("entity_id"))
+
+    @cached_property
+    def fact_entities(self) -> DataFrame:
+        """(hint_id, entity_id): facts whose subject is the name or an alias of an entity of their workspace."""
+        return self.facts.select("hint_id", "workspace_id", F.lower(F.trim("subject")).alias("key")).join(self.entity_names, ["workspace_id", "key"]).select("hint_id", "entity_id")
+
     @cached_property
     def links(self) -> DataFrame:
         """(turn_id, subject_id, workspace_id, episode_id, day)."""
-        chosen = (F.col("episode_id") * 7 + F.col("sequence")) % LINKED_ENTITIES + 1
+        most = self.entities.agg(F.max("id").alias("most"))
+        chosen = (F.col("episode_id") * EPISODE_STEP + F.floor(F.col("sequence") / TURNS_PER_ENTITY)) % F.col("most") + 1
         known = self.entities.select(F.col("id").alias("subject_id"))
         return (
-            self.turns.filter("episode_id is not null").withColumn("subject_id", chosen.cast("long"))
+            self.turns.filter("episode_id is not null").crossJoin(F.broadcast(most)).withColumn("subject_id", chosen.cast("long"))  # one row
             .join(known, "subject_id", "left_semi").select(F.col("id").alias("turn_id"), "subject_id", "workspace_id", "episode_id", "day")
         )
 
@@ -110,9 +152,15 @@ WITH RECURSIVE
                  h.object_value, h.source_quote, e.created_at AS valid_from
           FROM (SELECT DISTINCT ON (hint_id) * FROM fact_hints) h LEFT JOIN episode e ON h.episode_id = e.id),
  relation AS (SELECT hint_id, workspace_id, subject AS source, object_value AS target, predicate AS relation_type, valid_from
-              FROM fact WHERE object_value IN (SELECT subject FROM fact) AND subject <> object_value),
+              FROM fact WHERE regexp_matches(object_value, '^[A-Z]') AND subject <> object_value),
+ edge AS (SELECT *, CASE WHEN valid_from < max(valid_from) OVER w THEN max(valid_from) OVER w END AS valid_to
+          FROM relation WINDOW w AS (PARTITION BY workspace_id, source, relation_type)),
+ active AS (SELECT *, CASE WHEN hint_id > min(hint_id) OVER (PARTITION BY workspace_id, subject, predicate, object_value) THEN valid_from END AS superseded_at FROM fact),
+ named AS (SELECT workspace_id, key, min(id) AS entity_id FROM (SELECT workspace_id, lower(name) AS key, id FROM entity
+           UNION ALL SELECT workspace_id, lower(unnest(aliases)), id FROM entity) WHERE key IS NOT NULL GROUP BY ALL),
+ fact_entity AS (SELECT f.hint_id, n.entity_id FROM fact f JOIN named n ON n.workspace_id = f.workspace_id AND n.key = lower(trim(f.subject))),
  link AS (SELECT t.id AS turn_id, e.id AS subject_id, t.workspace_id, t.episode_id, t.day
-          FROM turn t JOIN entity e ON e.id = (t.episode_id * 7 + t.sequence) % {LINKED_ENTITIES} + 1),
+          FROM turn t JOIN entity e ON e.id = (t.episode_id * {EPISODE_STEP} + t.sequence // {TURNS_PER_ENTITY}) % (SELECT max(id) FROM entity) + 1),
  daily AS (SELECT workspace_id, subject_id, day, count(*) AS turn_count FROM link GROUP BY ALL),
  summary AS (SELECT * FROM daily WHERE day(day) % 2 = 0)
 """

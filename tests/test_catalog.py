@@ -6,13 +6,13 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["date_buckets", "turn_dedupe", "ledger_decision", "pair_islands", "lookback", "fact_history", "hub_edges", "bfs_hops", "path_walk", "reco_top3", "workspaces_rich", "term_scores", "rrf_fusion", "subject_feed", "upsert_latest", "chunking"]
+SOME = ["date_buckets", "entity_page", "entity_graph", "dashboard", "session_briefing", "reco_candidates", "neighbors_1hop", "sanitize", "search_or_fallback", "all_seeds", "strata_sample", "turn_dedupe", "ledger_decision", "pair_islands", "lookback", "fact_history", "hub_edges", "bfs_hops", "path_walk", "reco_top3", "workspaces_rich", "term_scores", "rrf_fusion", "subject_feed", "upsert_latest", "chunking"]
 
 
 @pytest.fixture(scope="module")
 def con():
     out = duckdb.connect()
-    for name in ("workspaces", "episodes", "turns", "entities", "entity_hints", "fact_hints", "embeddings"):
+    for name in ("workspaces", "episodes", "turns", "entities", "entity_hints", "fact_hints", "embeddings", "memory_vectors"):
         out.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     return out
 

@@ -89,3 +89,45 @@ def test_diverse_selection_prefers_new_directions(spark):
     rows = [("q", 1, 1.0, [1.0, 0.0], 1), ("q", 2, 0.9, None, 1), ("q", 3, 0.8, [0.0, 1.0], None)]
     df = spark.createDataFrame(rows, "q string, id long, relevance double, vector array<float>, community int")
     assert [(r.id, r.place) for r in ranking.diverse(df, "q").orderBy("place").collect()] == [(1, 1), (3, 2)]
+
+
+def test_names_mean_something_within_their_workspace_only(spark, tmp_path):
+    """Two workspaces share names: degrees, hops, latest values and neighbours stay apart."""
+    import datetime as dt
+
+    from memloom.operators import graph
+    from memloom.plans import reads
+    from memloom.plans.model import Model
+
+    at = dt.datetime(2026, 1, 1)
+    hints = [(1, 1, 1, "Aa", "owns", "Bb", "", "q"), (2, 1, 1, "Bb", "owns", "Cc", "", "q"), (3, 2, 2, "Aa", "owns", "Dd", "", "q"), (4, 2, 2, "Aa", "owns", "Ee", "", "q"), (5, 2, 2, "Aa", "owns", "Ee", "", "q"), (5, 2, 2, "Aa", "owns", "Ee", "", "q")]
+    spark.createDataFrame(hints, "hint_id long, workspace_id long, episode_id long, subject string, predicate string, object_value string, temporal string, source_quote string").write.parquet(str(tmp_path / "fact_hints.parquet"))
+    spark.createDataFrame([(1, 1, 1, "c", "h", "s", None, None, "done", at), (2, 1, 2, "c", "h", "s", None, None, "done", at)], "id long, session_id long, workspace_id long, content string, content_hash string, summary string, human_summary string, metadata string, processing_status string, created_at timestamp_ntz").write.parquet(str(tmp_path / "episodes.parquet"))
+    m = Model(spark, str(tmp_path))
+    assert {tuple(r) for r in reads.degree(m).collect()} == {(1, "Aa", 1), (1, "Bb", 2), (1, "Cc", 1), (2, "Aa", 3), (2, "Dd", 1), (2, "Ee", 2)}
+    anchors = spark.createDataFrame([(1, "Aa")], "workspace_id long, name string")
+    assert {tuple(r) for r in graph.hops(m.relations, anchors, 2, ["workspace_id"]).collect()} == {(1, "Aa", 0), (1, "Bb", 1), (1, "Cc", 2)}
+    assert {(r.workspace_id, r.object_value) for r in reads.latest_values(m).filter("subject = 'Aa'").collect()} == {(1, "Bb"), (2, "Ee")}
+    assert {(r.workspace_id, r.other, r.facts) for r in reads.neighbors_1hop(m).filter("anchor = 'Aa' and direction = 'out'").collect()} == {(1, "Bb", 1), (2, "Dd", 0), (2, "Ee", 0)}
+    assert {(r.workspace_id, r.active) for r in reads.active_fact_counts(m).filter("subject = 'Aa'").collect()} == {(1, 1), (2, 2)}
+    assert {(r.workspace_id, r.path) for r in graph.walks(m.relations, anchors, 2, ["workspace_id"]).collect()} == {(1, "Aa"), (1, "Aa>Bb"), (1, "Aa>Bb>Cc")}
+    assert reads.neighbors_1hop(m, direction="in", relation_type="other").count() == 0
+
+
+def test_two_passes_of_classification(spark):
+    from memloom.operators import classify
+
+    entities = spark.createDataFrame([(10, 1, "Old", "old"), (11, 2, "Old", "old")], "id long, workspace_id long, name string, name_normalized string")
+    links = spark.createDataFrame([(1, 10)], "turn_id long, subject_id long")
+    existing = spark.createDataFrame([(10, [1, 2, 2])], "subject_id long, turn_ids array<long>")
+    new = spark.createDataFrame(
+        [(0, 1, "Leaf", None, "New Root ", [3]), (1, 1, "New Root", None, None, [3, 4]), (2, 1, "Under old", None, "OLD", []), (3, 2, "Given", 11, None, [5]), (4, 2, "Lost", None, "New Root", [5])],
+        "spec int, workspace_id long, name string, parent_id long, parent_name string, turn_ids array<long>",
+    )
+    subjects, fresh, counts = classify.classify_turns(entities, links, existing, new)
+    assert {(r.name, r.id, r.parent_id) for r in subjects.collect()} == {("New Root", 12, None), ("Leaf", 13, 12), ("Under old", 14, 10), ("Given", 15, 11), ("Lost", 16, None)}
+    assert {tuple(r) for r in fresh.select("turn_id", "subject_id").collect()} == {(2, 10), (3, 12), (4, 12), (3, 13), (5, 15), (5, 16)}
+    assert counts.first().asDict() == {"linked": 6, "skipped": 1, "created": 5}
+    sessions = spark.createDataFrame([(1, "C:\\Work\\Shop\\api", None, None), (2, "/home/x/notebook", "t", "u"), (3, None, "About Queues", ""), (4, None, None, None), (5, "/a/b", "x", "y")], "session_id long, cwd string, title string, text string")
+    got = {r.session_id: r.chain for r in classify.by_directory(sessions, {"/shop/": "Shop>API"}, {r"\bqueues?\b": "Ops>Queues"}).collect()}
+    assert got == {1: "Shop>API", 2: "notebook", 3: "Ops>Queues", 4: None, 5: None}
