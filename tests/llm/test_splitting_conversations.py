@@ -38,6 +38,75 @@ def test_cuts_fall_on_boundaries_and_limit_is_not_above():
         S.pack("y" * 50, limit=10, overlap=10)
 
 
+def _documents():
+    r = random.Random(5)
+    line = lambda n: " ".join(r.choice(["river", "lamp", "stone", "garden", "copper"]) for _ in range(n)) + "."
+    for _ in range(60):
+        out = []
+        for _ in range(r.randint(2, 14)):
+            k = r.random()
+            if k < 0.35:
+                out.append("#" * r.randint(1, 3) + " " + line(3))
+            elif k < 0.5:
+                out.append("```sh\n" + "\n".join(r.choice(["# step ", "- run ", "## "]) + str(i) for i in range(r.randint(3, 420))) + "\n```")
+            elif k < 0.65:
+                out.append("\n".join("  " * (i % 3) + "- " + line(r.randint(2, 60)) for i in range(r.randint(2, 25))))
+            else:
+                out.append(line(r.randint(5, 900)))
+        yield "\n\n".join(out) + "\n"
+
+
+def _fences(text):
+    at, out = None, []
+    for a, b in S._lines(text, 0, len(text)):
+        if text[a:b].startswith("```"):
+            at = a if at is None else out.append((at, b))
+    return out
+
+
+def _sections(text):
+    """(start, end) of every section, by an independent walk over the lines outside of fences."""
+    inside, marks = False, []
+    for a, b in S._lines(text, 0, len(text)):
+        if text[a:b].startswith("```"):
+            inside = not inside
+        elif not inside and text[a] == "#":
+            marks.append((a, len(text[a:b]) - len(text[a:b].lstrip("#"))))
+    for i, (a, rank) in enumerate(marks):
+        yield a, next((x for x, other in marks[i + 1 :] if other <= rank), len(text))
+
+
+def test_structure_is_respected():
+    room = S.LIMIT - S.OVERLAP
+    seen = 0
+    for text in _documents():
+        spans = S.pack(text)
+        assert "".join(text[a:b] for a, b in spans) == text
+        cuts = {a for a, _ in spans[1:]}
+        for a, b in _fences(text):
+            if b - a <= room - 200:  # a heading may stand before it
+                assert not any(a < c < b for c in cuts)
+                seen += 1
+        for a, b in _sections(text):
+            if b - a <= room:
+                # A section that fits is in one piece, whole.
+                assert not any(a < c < b for c in cuts)
+            else:
+                # What is left of a larger one is not joined with what follows it.
+                assert b in cuts or b == len(text)
+    assert seen > 20
+
+
+def test_siblings_are_merged_up_to_the_limit():
+    text = "".join(f"# part {i}\n\n{'word ' * 150}\n\n" for i in range(12))
+    spans = S.pack(text)
+    assert len(spans) == 3 and all(text[a:].startswith("# part") for a, _ in spans)
+    nested = "# top\n\n" + "".join(f"- item {i}\n" + "".join(f"  - sub {i}.{j} {'x ' * 90}\n" for j in range(24)) for i in range(3))
+    assert all(text_.lstrip().startswith(("# top", "- item", "- sub")) for text_ in (nested[a:b] for a, b in S.pack(nested)))
+    deep = "".join("  " * i + "- a\n" for i in range(1500))
+    assert "".join(deep[a:b] for a, b in S.pack(deep)) == deep
+
+
 def test_split_items_repeats_nulls_overlap(spark):
     rows = [(1, "a" * 3000 + " " + "b" * 3000, 0), (1, "a" * 3000 + " " + "b" * 3000, 0), (2, "short", 1), (3, None, 2), (None, "z" * 9000, 3)]
     df = spark.createDataFrame(rows, "id long, text string, piece int")
