@@ -72,6 +72,10 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(load(spark, folder, "documents", ["doc_id", "text"]), load(spark, folder, "eval_items", ["item_id", "text"])).select("doc_id", "item_id")
+
+
+def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(load(spark, folder, "documents", ["doc_id", "text"]), load(spark, folder, "eval_items", ["item_id", "text"]))
 
 
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_found": p8_found,
+    "p8_matches": p8_matches,
     "p8_clean": p8_clean,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,

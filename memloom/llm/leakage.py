@@ -1,15 +1,17 @@
 """Evaluation texts that leaked into training text.
 
-Method: every shard of documents is turned into a suffix array, every suffix of every test item (one per word) is
-binary-searched in it, and the verbatim matches with their places are put together: a document is affected if matches of
-one item line up to a stretch of at least ``STRETCH`` consecutive words of the item with about one word in eight
-changed, dropped or added at most.
+Method: every shard of documents is turned into a suffix array over its words, every suffix of every test item (one per
+word) is binary-searched in it, and each match is followed to its end: the longest verbatim matches with their places.
+A document is affected if matches of one item line up to a stretch of at least ``STRETCH`` consecutive words of the
+item with about one word in eight changed, dropped or added at most.
 
 Texts are compared as letters and digits only, in compatible form and folded case, so case, punctuation, spacing, line
-layout, invisible characters, markup and escapes play no part; a word is found in a text without blanks as well.  The
-array is sparse, without loss: it leaves out suffixes whose first 8 bytes begin no searched suffix.
+layout, invisible characters, markup and escapes play no part.  The array holds a suffix for every word start and, in
+words longer than ``RUN_TOGETHER`` bytes, for every letter, since words may be written without blanks.  It is in full
+order as far as the longest item reaches; no search compares more.  Equal texts of a shard are searched once.
 
-Test items are shipped to the tasks in groups of a bounded number of characters (``ITEM_CHARS``), each group with a pass of its own.
+Shards (of about ``SHARD_CHARS`` characters) and packs of items (of at most about ``PACK_CHARS``) are rows of two tables
+that meet in a join of all shards with all packs; neither is ever collected.
 
 Defined results: documents or items with a null id or text give no rows, nor do items of fewer than ``STRETCH`` words;
 repeated ids count once; a document that holds several items gives a row for each; an empty table gives no rows.
@@ -21,8 +23,8 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from bisect import bisect_left
 from difflib import SequenceMatcher
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRETCH = 12
+#: A match counts from so many words and bytes on.
 SEED_WORDS = 3
+LEAST_BYTES = 8
 LEAST_SEEDS = 4
-KEY_BYTES = 48
-#: Documents are gathered to shards of about so many characters.
+RUN_TOGETHER = 24
 SHARD_CHARS = 2_000_000
-ITEM_CHARS = 4_000_000
+PACK_CHARS = 4_000_000
+#: Packs of so many characters together are sent to every executor; more are joined by Spark as it sees fit.
+SENT_CHARS = 32_000_000
 WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtbf]|\\(?=[\"'/\\*_#`>\[\](){}~|.!+-])")
@@ -58,100 +63,178 @@ def words_of(text: str) -> list[str]:
 
 
 class Items:
-    """Test items as lists of words, with the seed of every suffix, sorted for search."""
+    """Test items as bytes of their words, with the seed of every suffix."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.words = [], []
-        seeds, owner, place = [], [], []
+        self.ids, self.words, self.raw, self.starts = [], [], [], []
+        first, owner, place, size = [], [], [], []
         for item_id, text in rows:
             words = [w.encode() for w in words_of(text)]
             if len(words) < STRETCH:
                 continue
             at = len(self.ids)
+            starts = np.cumsum([0] + [len(w) for w in words])
             self.ids.append(item_id)
             self.words.append(words)
+            self.raw.append(b"".join(words))
+            self.starts.append(starts)
             for k in range(len(words) - SEED_WORDS + 1):
-                seed, end = b"".join(words[k : k + SEED_WORDS]), k + SEED_WORDS
-                while len(seed) < 8 and end < len(words):
-                    seed, end = seed + words[end], end + 1
-                if len(seed) >= 8:
-                    seeds.append(seed[: KEY_BYTES - 1])
+                end = k + SEED_WORDS
+                while end < len(words) and starts[end] - starts[k] < LEAST_BYTES:
+                    end += 1
+                if starts[end] - starts[k] >= LEAST_BYTES:
+                    first.append(self.raw[at][starts[k] : starts[k] + 8])
                     owner.append(at)
                     place.append(k)
-        self.low = np.array(seeds, dtype=f"S{KEY_BYTES}") if seeds else np.zeros(0, f"S{KEY_BYTES}")
-        self.high = np.array([s + b"\xff" for s in seeds], dtype=f"S{KEY_BYTES}") if seeds else self.low
-        self.owner, self.place = np.array(owner, np.int64), np.array(place, np.int64)
-        self.grams = np.unique(np.array([np.frombuffer(s[:8], np.uint64)[0] for s in seeds], np.uint64)) if seeds else np.zeros(0, np.uint64)
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[_slot(self.grams)] = True
-
-
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
-
-
-def search(items: Items, texts: list[str]) -> list[tuple[int, int]]:
-    """(place of the text, place of the item) for every leak in a shard."""
-    parts, starts, firsts, at = [], [], [], 0
-    for text in texts:
-        firsts.append(at)
-        for w in words_of(text):
-            b = w.encode()
-            starts.append(at)
-            parts.append(b)
-            at += len(b)
-        parts.append(b"\0" * KEY_BYTES)  # no match runs over the end of a document
-        at += KEY_BYTES
-    raw = b"".join(parts)
-    if len(raw) < 8 or not len(items.low):
-        return []
-    text = np.frombuffer(raw, np.uint8)
-    windows = np.lib.stride_tricks.sliding_window_view(text, 8)
-    grams = np.ascontiguousarray(windows).view(np.uint64).ravel()
-    at = np.flatnonzero(items.filter[_slot(grams)])
-    at = at[np.isin(grams[at], items.grams)]
-    padded = np.concatenate([text, np.zeros(KEY_BYTES, np.uint8)])
-    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, KEY_BYTES)[at]).view(f"S{KEY_BYTES}").ravel()
-    order = np.argsort(keys, kind="stable")
-    array, keys = at[order], keys[order]
-    low, high = np.searchsorted(keys, items.low), np.searchsorted(keys, items.high)
-    n = high - low
-    total = int(n.sum())
-    if not total:
+                    size.append(starts[end] - starts[k])
+        self.first = np.frombuffer(b"".join(first), ">u8").astype(np.uint64)
+        self.owner, self.place, self.size = (np.array(x, np.int64) for x in (owner, place, size))
+        self.longest = max(map(len, self.raw), default=0)
+
+
+class Shard:
+    """Suffix array of the texts' words; ``order`` lists byte positions, ``first`` the eight bytes that stand there."""
+
+    def __init__(self, texts: list[str]):
+        parts, starts, inner, self.firsts, at = [], [], [], [], 0
+        for text in texts:
+            self.firsts.append(at)
+            for w in words_of(text):
+                b = w.encode()
+                starts.append(at)
+                if len(b) > RUN_TOGETHER:
+                    inner += [at + i for i in range(1, len(b)) if b[i] & 0xC0 != 0x80]
+                parts.append(b)
+                at += len(b)
+            parts.append(b"\0")  # no match runs over the end of a document
+            at += 1
+        self.raw = b"".join(parts)
+        self.starts = np.array(starts, np.int64)
+        self.places = np.sort(np.concatenate([self.starts, np.array(inner, np.int64)]))
+        self.depth = 0
+
+    def sort(self, depth: int) -> None:
+        """Put the suffixes in order by their first ``depth`` bytes: eight at a time, only what is still equal again."""
+        if self.depth >= max(8, depth):
+            return
+        self.depth = max(8, depth)
+        text = np.frombuffer(self.raw + b"\0" * (self.depth + 16), np.uint8)
+        eight = np.lib.stride_tricks.sliding_window_view(text, 8)
+        key_at = lambda at: np.ascontiguousarray(eight[at]).view(">u8").ravel().astype(np.uint64)
+        keys = key_at(self.places)
+        order = np.argsort(keys, kind="stable")
+        self.order, self.first = self.places[order], keys[order]
+        group = np.cumsum(np.r_[0, (self.first[1:] != self.first[:-1]).astype(np.int64)]) if len(order) else order
+        where = np.arange(len(order))
+        for offset in range(8, self.depth, 8):
+            # Groups of one are done, and so is a group at whose suffixes a document ends.
+            sizes = np.bincount(group) if len(group) else group
+            tied = sizes[group] > 1 if len(group) else np.zeros(0, bool)
+            where, group = where[tied], group[tied]
+            if not len(where):
+                break
+            keys = key_at(np.minimum(self.order[where] + offset, len(self.raw)))
+            by = np.lexsort((keys, group))
+            self.order[where] = self.order[where][by]
+            keys, group = keys[by], group[by]
+            group = np.cumsum(np.r_[0, ((group[1:] != group[:-1]) | (keys[1:] != keys[:-1])).astype(np.int64)])
+
+    def holding(self, prefix: bytes, low: int, high: int) -> tuple[int, int]:
+        """The part of order[low:high] whose suffixes begin with ``prefix``, by binary search."""
+        n, raw, order = len(prefix), self.raw, self.order
+        at = lambda i: raw[order[i] : order[i] + n]
+        a = bisect_left(range(low, high), prefix, key=at) + low
+        b = bisect_left(range(a, high), True, key=lambda i: at(i) > prefix) + a
+        return a, b
+
+
+def _common(a: bytes, i: int, b: bytes, j: int) -> int:
+    """Length of the longest verbatim match of a[i:] and b[j:]."""
+    most = min(len(a) - i, len(b) - j)
+    done, step = 0, 64
+    while done < most:
+        step = min(step, most - done)
+        if a[i + done : i + done + step] == b[j + done : j + done + step]:
+            done += step
+            step *= 2
+        elif step == 1:
+            break
+        else:
+            step = max(1, step // 2) if step > 8 else 1
+    return done
+
+
+def matches(items: Items, shard: Shard) -> np.ndarray:
+    """(document, item, word of the item, byte place, bytes) of every suffix's matches, as far as they are verbatim."""
+    shard.sort(items.longest)
+    low, high = np.searchsorted(shard.first, items.first), np.searchsorted(shard.first, items.first, "right")
+    out = []
+    for s in np.flatnonzero(high > low):
+        owner, k = int(items.owner[s]), int(items.place[s])
+        raw, at = items.raw[owner], int(items.starts[owner][k])
+        a, b = shard.holding(raw[at : at + int(items.size[s])], int(low[s]), int(high[s]))
+        out += [(owner, k, int(p), _common(raw, at, shard.raw, int(p))) for p in shard.order[a:b]]
+    if not out:
+        return np.zeros((0, 5), np.int64)
+    got = np.array(out, np.int64)
+    doc = np.searchsorted(np.array(shard.firsts), got[:, 2], "right") - 1
+    return np.column_stack([doc, got])
+
+
+def search(items: Items, texts: list[str], shard: Shard | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, words of the longest match, its word in the item, its word in the text) for every leak in a shard."""
+    shard = Shard(texts) if shard is None else shard
+    found = matches(items, shard)
+    if not len(found):
         return []
-    suffix = np.repeat(np.arange(len(n)), n)
-    hit = array[np.repeat(low, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)]
-    doc = np.searchsorted(np.array(firsts), hit, "right") - 1
-    item, k = items.owner[suffix], items.place[suffix]
-    order = np.lexsort((hit, item, doc))
-    doc, item, k, hit = doc[order], item[order], k[order], hit[order]
-    # A cluster ends where the document or item changes or the next hit is far away.
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (hit[1:] - hit[:-1] > 160)])
-    ends = np.r_[new[1:], len(doc)]
-    starts_at = np.array(starts, np.int64)
-    found = set()
-    for a, b in zip(new[ends - new >= LEAST_SEEDS], ends[ends - new >= LEAST_SEEDS], strict=True):
-        pair = (int(doc[a]), int(item[a]))
-        if pair not in found and lines_up(items.words[pair[1]], k[a:b], hit[a:b], raw, starts_at):
-            found.add(pair)
-    return sorted(found)
-
-
-def lines_up(words: list[bytes], k: np.ndarray, hit: np.ndarray, raw: bytes, starts: np.ndarray) -> bool:
-    """Whether the item's words and the text around the hits agree on a long enough stretch."""
-    if len(set(k.tolist())) < LEAST_SEEDS:
+    found = found[np.lexsort((found[:, 3], found[:, 1], found[:, 0]))]
+    out = []
+    new = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)])
+    for a, b in zip(new, np.r_[new[1:], len(found)], strict=True):
+        if b - a < LEAST_SEEDS:
+            continue
+        own = found[a:b]
+        doc, item = int(own[0, 0]), int(own[0, 1])
+        if any(lines_up(items, item, part, shard) for part in _windows(own, len(items.raw[item]))):
+            k, p, n = own[own[:, 4].argmax()][2:]
+            starts = items.starts[item]
+            words = int(np.searchsorted(starts, starts[k] + n, "right")) - 1 - int(k)
+            out.append((doc, item, words, int(k), int(np.searchsorted(shard.starts, p) - np.searchsorted(shard.starts, shard.firsts[doc]))))
+    return out
+
+
+def _windows(own: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Matches of one item in one document by places that may belong together: runs without wide gaps, cut into overlapping
+    windows in which a whole copy of the item has room, so that no run, however long, is compared at once."""
+    wide = size + size // 2 + 320
+    place = own[:, 3]
+    for run in np.split(own, np.flatnonzero(np.diff(place) > 160) + 1):
+        if len(run) < LEAST_SEEDS:
+            continue
+        if run[-1, 3] - run[0, 3] <= wide:
+            yield run
+            continue
+        for start in range(int(run[0, 3]), int(run[-1, 3]) + 1, wide):
+            part = run[(run[:, 3] >= start) & (run[:, 3] < start + 2 * wide)]
+            if len(part) >= LEAST_SEEDS:
+                yield part
+
+
+def lines_up(items: Items, item: int, own: np.ndarray, shard: Shard) -> bool:
+    """Whether the item's words and the text around its matches agree on a long enough stretch."""
+    if len(set(own[:, 2].tolist())) < LEAST_SEEDS:
         return False
-    first, last = int(hit.min()), int(hit.max())
-    first, last = max(0, first - 120), min(len(raw), last + 160)
-    cuts = set(starts[np.searchsorted(starts, first) : np.searchsorted(starts, last)].tolist())
+    words, begin, raw = items.words[item], items.starts[item], shard.raw
+    # Not beyond the document, and as far around the matches as a few changed words reach.
+    left, right = raw.rfind(b"\0", 0, int(own[0, 3])) + 1, raw.find(b"\0", int(own[-1, 3]))
+    first, last = max(left, int(own[0, 3]) - 120), min(right, int((own[:, 3] + own[:, 4]).max()) + 160)
+    cuts = set(shard.starts[np.searchsorted(shard.starts, first) : np.searchsorted(shard.starts, last)].tolist())
     inside, known = set(), set()
-    for i, p in zip(k.tolist(), hit.tolist(), strict=True):
-        end = p
-        known.add(p)
-        for w in words[i : i + SEED_WORDS]:
-            end += len(w)
-            known.add(end)
-        inside.update(c for c in range(p + 1, end) if c in cuts)
+    for _, _, k, p, n in own.tolist():
+        # The item's own word starts hold as far as the match does; other cuts within it are a matter of layout.
+        ends = begin[k : np.searchsorted(begin, begin[k] + n, "right")] - begin[k] + p
+        known.update(ends.tolist())
+        inside.update(c for c in cuts if p < c < ends[-1])
     marks = sorted((cuts - inside) | known)
     tokens = [raw[x:y].rstrip(b"\0") for x, y in zip(marks, [*marks[1:], last], strict=True)]
     units: list[tuple[int, int]] = []  # (words of the item, errors)
@@ -173,53 +256,70 @@ def lines_up(words: list[bytes], k: np.ndarray, hit: np.ndarray, raw: bytes, sta
     return False
 
 
+def _packs(items: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(packs (pack, ids, texts), characters): the items in rows of bounded size."""
+    known = items.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null and t is not null").dropDuplicates(["id"])
+    chars = known.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    packs = -(-max(1, chars) // PACK_CHARS)
+    grouped = known.groupBy(F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack")).agg(F.sort_array(F.collect_list(F.struct("id", "t"))).alias("r"))
+    return grouped.select("pack", F.col("r.id").alias("ids"), F.col("r.t").alias("texts")), chars
+
+
+def _shards(documents: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    """(shard_ids, bodies): the documents in rows of about ``SHARD_CHARS`` characters, where they are."""
+    texts = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body")).filter(F.col("doc_id").isNotNull() & (F.length("body") >= STRETCH))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda ids, bodies: pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([bodies], pa.list_(pa.string()))], ["shard_ids", "bodies"])
+        ids: list[int] = []
+        bodies: list[str] = []
+        held = 0
+        for part in parts:
+            for i, t in zip(part.column(0), part.column(1), strict=True):
+                ids.append(i.as_py())
+                bodies.append(t.as_py())
+                held += len(bodies[-1])
+                if held >= SHARD_CHARS:
+                    yield row(ids, bodies)
+                    ids, bodies, held = [], [], 0
+        if ids:
+            yield row(ids, bodies)
+
+    return texts.mapInArrow(run, "shard_ids array<long>, bodies array<string>")
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id): every document that holds a passage of a test item, whole or in part."""
-    spark = documents.sparkSession
-    known = items.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id is not null and t is not null").dropDuplicates(["id"])
-    batches: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for row in known.orderBy("id").toLocalIterator():
-        if held + len(row.t) > ITEM_CHARS and batches[-1]:
-            batches.append([])
-            held = 0
-        batches[-1].append((row.id, row.t))
-        held += len(row.t)
-    texts = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")).filter(
-        F.col("doc_id").isNotNull() & (F.length("body") >= STRETCH)
-    )
-
-    def scan(batch: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Items(batch))
-
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-
-            def flush(ids: list[int], bodies: list[str]) -> pa.RecordBatch:
-                pairs = search(index, bodies)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([ids[a] for a, _ in pairs], pa.int64()), pa.array([index.ids[b] for _, b in pairs], pa.int64())], ["doc_id", "item_id"]
-                )
-
-            ids: list[int] = []
-            bodies: list[str] = []
-            held = 0
-            for part in parts:
-                for i, t in zip(part.column(0), part.column(1), strict=True):
-                    ids.append(i.as_py())
-                    bodies.append(t.as_py())
-                    held += len(bodies[-1])
-                    if held >= SHARD_CHARS:
-                        yield flush(ids, bodies)
-                        ids, bodies, held = [], [], 0
-            if ids:
-                yield flush(ids, bodies)
-
-        return texts.mapInArrow(run, "doc_id long, item_id long")
-
-    return reduce(DataFrame.unionByName, map(scan, batches)).dropDuplicates(["doc_id", "item_id"])
+    """(doc_id, item_id, matched_words, item_word, doc_word): every document that holds a passage of a test item.
+
+    The last three tell the longest verbatim match: its words, and where it begins in the item and in the document.
+    """
+    packs, chars = _packs(items, item_col, text_col)
+    # A stated set of queries against all rows, in blocks: each shard meets each pack, one after the other.
+    both = _shards(documents, doc_col, text_col).crossJoin(F.broadcast(packs) if chars <= SENT_CHARS else packs)
+    names = ["doc_id", "item_id", "matched_words", "item_word", "doc_word"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: tuple = ()
+        pack: tuple = ()
+        for part in parts:
+            for i in range(part.num_rows):
+                ids, bodies, number, item_ids, texts = (part.column(c)[i] for c in range(5))
+                if pack[:1] != (number.as_py(),):
+                    pack = (number.as_py(), Items(list(zip(item_ids.as_py(), texts.as_py(), strict=True))))
+                ids = ids.as_py()
+                if shard[:1] != (ids,):
+                    copies: dict[str, list[int]] = {}
+                    for doc, body in zip(ids, bodies.as_py(), strict=True):
+                        copies.setdefault(body, []).append(doc)
+                    shard = (ids, Shard(list(copies)), list(copies.values()))
+                found = search(pack[1], [], shard[1])
+                rows = [(doc, pack[1].ids[item], *rest) for at, item, *rest in found for doc in shard[2][at]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], names)
+
+    got = both.select("shard_ids", "bodies", "pack", "ids", "texts").mapInArrow(run, "doc_id long, item_id long, matched_words long, item_word long, doc_word long")
+    return got.dropDuplicates(["doc_id", "item_id"])
 
 
 def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no passage of a test item."""
-    return documents.join(leaks(documents, items).select("doc_id"), "doc_id", "left_anti")
+    return documents.join(leaks(documents, items).select("doc_id").distinct(), "doc_id", "left_anti")

@@ -59,13 +59,62 @@ def test_leak(text, found):
 def test_leaks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x " + ITEM, 0), (2, "nothing of it", 0), (3, None, 0), (None, ITEM, 0), (1, "x " + ITEM, 0)], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(7, ITEM), (7, ITEM), (8, "too short to count"), (9, None)], "item_id long, text string")
-    assert [tuple(r) for r in L.leaks(docs, items).collect()] == [(1, 7)]
-    monkeypatch.setattr(L, "ITEM_CHARS", 10)  # each item in a pass of its own
-    assert [tuple(r) for r in L.leaks(docs, items).collect()] == [(1, 7)]
+    n = len(L.words_of(ITEM))
+    assert [tuple(r) for r in L.leaks(docs, items).collect()] == [(1, 7, n, 0, 1)]
+    monkeypatch.setattr(L, "PACK_CHARS", 10)  # items in several packs
+    monkeypatch.setattr(L, "SHARD_CHARS", 10)  # a shard for each document
+    monkeypatch.setattr(L, "SENT_CHARS", 0)  # packs are not broadcast
+    assert [tuple(r) for r in L.leaks(docs, items).collect()] == [(1, 7, n, 0, 1)]
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
     assert {r.doc_id for r in L.without_leaks(docs, items).collect()} == {2, 3, None}
 
 
+def test_long_words_of_wide_letters():
+    """Three words of eight Hangul syllables are longer than any fixed key; one changed word of thirteen is a leak still."""
+    import random
+
+    r = random.Random(3)
+    words = ["".join(chr(0xAC00 + r.randrange(11172)) for _ in range(8)) for _ in range(13)]
+    changed = [*words[:6], "".join(reversed(words[6])), *words[7:]]
+    items = L.Items([(1, " ".join(words))])
+    assert [x[:2] for x in L.search(items, ["앞말 " + " ".join(changed) + " 뒷말"])] == [(0, 0)]
+    assert [x[:2] for x in L.search(items, ["".join(changed)])] == [(0, 0)]
+    assert L.search(items, [" ".join(words[:5]) + " " + " ".join(reversed(words[5:]))]) == []
+
+
+def test_suffix_array_and_matches_against_brute_force():
+    import random
+
+    r = random.Random(8)
+    vocabulary = ["ab", "abc", "b", "ca", "cabab", "x" * 30]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60))) for _ in range(12)]
+    texts += [texts[0], texts[1] + " ab", ""]
+    items = L.Items([(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(12, 30)))) for i in range(4)])
+    shard = L.Shard(texts)
+    shard.sort(items.longest)
+    depth = shard.depth
+    suffixes = [shard.raw[p : p + depth].split(b"\0")[0] for p in shard.order]
+    assert sorted(shard.order.tolist()) == shard.places.tolist()
+    assert all(a[: items.longest] <= b[: items.longest] for a, b in zip(suffixes, suffixes[1:]) if len(a) < depth or len(b) < depth or a != b)
+    want = set()
+    for s in range(len(items.owner)):
+        own, k = int(items.owner[s]), int(items.place[s])
+        raw, at = items.raw[own], int(items.starts[own][k])
+        for p in shard.places.tolist():
+            n = 0
+            while at + n < len(raw) and raw[at + n] == shard.raw[p + n]:
+                n += 1
+            if n >= items.size[s]:
+                want.add((own, k, p, n))
+    assert {tuple(x[1:]) for x in L.matches(items, shard).tolist()} == want and want
+
+
+def test_a_document_of_boilerplate_is_compared_in_windows():
+    start = " ".join(ITEM.split()[:6])
+    assert L.search(L.Items([(5, ITEM)]), [" ".join([start] * 3000)]) == []
+    assert [x[:2] for x in L.search(L.Items([(5, ITEM)]), [" ".join([start] * 3000) + " " + ITEM + " " + " ".join([start] * 3000)])] == [(0, 0)]
+
+
 def test_index_is_as_wide_as_the_comparison(spark):
     for a, b in (("krevvemson", "krevemsn"), ("keladbreg", "keladbeerg"), ("halerik", "hlaerkk"), ("~kimminsu", "+kimminsu")):
         assert N.deletes(a) & N.deletes(b)
