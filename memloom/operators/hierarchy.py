@@ -18,13 +18,17 @@ rows; further columns of the input are ignored.  Ids must lie within +-2**62.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from memloom.scratch import Scratch
 
 #: Largest number of siblings that one window sorts.
 SIBLINGS_PER_BUCKET = 20_000
+#: Ways over which a block of 2,048 tour positions or more is spread, one for each 1,024 up to so many.
+SPREAD = 1_024
+#: Ways over which the nodes of one tree are spread to learn its size.
+ROOT_WAYS = 16
 
 
 def parent_links(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
@@ -41,19 +45,32 @@ def parent_links(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     return nodes.filter(F.col("parent").isNull()).unionByName(checked)
 
 
+def _squared(jump: DataFrame) -> DataFrame:
+    """(id, jump) applied twice; ids whose second step leads nowhere are dropped."""
+    step = jump.select(F.col("id").alias("via"), F.col("jump").alias("to"))
+    return jump.join(step, F.col("jump") == F.col("via")).select("id", F.col("to").alias("jump"))
+
+
 def peel(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(ring ids, ids whose chain never ends).  Both empty for a forest."""
+    """(ring ids, ids whose chain never ends).  Both empty for a forest.
+
+    Finite chains have nodes of every length up to their own, and so have the tails that lead into rings: so nothing more
+    is peeled once a round leaves the number of ids, and then that of the ids they lead to, as it was.
+    """
     jump = scratch.write(links.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("jump")), "jump")
-    before = (-1, -1)
+    rows, images = -1, -1
     while True:
-        now = jump.agg(F.count(F.lit(1)), F.countDistinct("jump")).first()
-        if tuple(now) == before or now[0] == 0:
+        seen = Observation()
+        jump = scratch.write(_squared(_squared(jump)).observe(seen, F.count(F.lit(1)).alias("n")), "jump")
+        now = seen.get["n"]
+        if now == 0:
             break
-        before = tuple(now)
-        step = jump.select(F.col("id").alias("via"), F.col("jump").alias("to"))
-        jump = scratch.write(
-            jump.join(step, F.col("jump") == F.col("via")).select("id", F.col("to").alias("jump")), "jump"
-        )
+        if now == rows:
+            image = jump.agg(F.countDistinct("jump")).first()[0]
+            if image == images:
+                break
+            images = image
+        rows = now
     return jump.select(F.col("jump").alias("id")).distinct(), jump.select("id")
 
 
@@ -100,8 +117,21 @@ def euler_successors(tree: DataFrame, scratch: Scratch) -> DataFrame:
     return entering.unionByName(leaving)
 
 
+def _jumped(state: DataFrame) -> DataFrame:
+    """Every element's pointer moved to where its successor's points, with what lies between."""
+    ahead = state.select(*[F.col(c).alias(f"a_{c}") for c in ("elem", "next", "to_end", "weight_to_end", "last")])
+    moved = state.filter(F.col("next").isNotNull()).join(ahead, F.col("next") == F.col("a_elem")).select(
+        "elem", F.col("a_next").alias("next"), (F.col("to_end") + F.col("a_to_end")).alias("to_end"),
+        (F.col("weight_to_end") + F.col("a_weight_to_end")).alias("weight_to_end"), F.col("a_last").alias("last"),
+    )
+    return state.filter(F.col("next").isNull()).unionByName(moved)
+
+
 def rank_list(elements: DataFrame, scratch: Scratch) -> DataFrame:
-    """(elem, to_end, weight_to_end, last) of linked lists (elem, next, weight), by pointer jumping."""
+    """(elem, to_end, weight_to_end, last) of linked lists (elem, next, weight), by pointer jumping.
+
+    Each round jumps twice before it writes, and the write itself counts the pointers that are left.
+    """
     state = scratch.write(
         elements.select(
             "elem", "next", F.lit(1).cast("long").alias("to_end"), F.col("weight").alias("weight_to_end"),
@@ -109,16 +139,11 @@ def rank_list(elements: DataFrame, scratch: Scratch) -> DataFrame:
         ),
         "ranks",
     )
-    while state.filter(F.col("next").isNotNull()).limit(1).count():
-        ahead = state.select(
-            F.col("elem").alias("a_elem"), F.col("next").alias("a_next"), F.col("to_end").alias("a_to_end"),
-            F.col("weight_to_end").alias("a_weight"), F.col("last").alias("a_last"),
-        )
-        moved = state.filter(F.col("next").isNotNull()).join(ahead, F.col("next") == F.col("a_elem")).select(
-            "elem", F.col("a_next").alias("next"), (F.col("to_end") + F.col("a_to_end")).alias("to_end"),
-            (F.col("weight_to_end") + F.col("a_weight")).alias("weight_to_end"), F.col("a_last").alias("last"),
-        )
-        state = scratch.write(state.filter(F.col("next").isNull()).unionByName(moved), "ranks")
+    left = 1
+    while left:
+        seen = Observation()
+        state = scratch.write(_jumped(_jumped(state)).observe(seen, F.count("next").alias("left")), "ranks")
+        left = seen.get["left"]
     return state.drop("next")
 
 
@@ -183,13 +208,18 @@ def ancestor_pairs(nodes: DataFrame, levels: int = 40) -> DataFrame:
         .filter((F.col("outer") < F.col("l")) | (F.col("outer") + twice > F.col("r")))
         .select(F.col("id").alias("ancestor_id"), F.col("depth").alias("above"), "root_id", "level", "block")
     )
-    tops = inner.groupBy("root_id").agg(F.max(F.expr("cast(ceil(log2(r - l + 1)) as int)")).alias("top"))
+    # How high a tree's blocks go follows from the size of its root's interval: one row for each tree, joined by a hash of both.
+    tops = inner.filter(F.col("id") == F.col("root_id")).select(F.col("root_id"), F.expr("cast(ceil(log2(r - l + 1)) as int)").alias("top"), F.explode(F.sequence(F.lit(0), F.lit(ROOT_WAYS - 1))).alias("way"))
     points = (
-        tree.join(tops, "root_id")
+        tree.withColumn("way", F.pmod(F.xxhash64("id"), F.lit(ROOT_WAYS)).cast("int")).join(tops, ["root_id", "way"])
         .withColumn("level", F.explode(F.expr(f"sequence(0, least({levels}, top))")))
         .select("id", "depth", "root_id", "level", F.expr("shiftright(high, level)").alias("block"))
     )
-    return blocks.join(points, ["root_id", "level", "block"]).select(
+    # A large tree's top levels have few blocks, in which all its nodes stand: those blocks are spread over the nodes' hashes.
+    ways = lambda level: F.expr(f"cast(least({SPREAD}L, greatest(1L, shiftright(shiftleft(1L, {level}), 10))) as int)")
+    points = points.withColumn("salt", F.pmod(F.xxhash64("id"), ways("level")).cast("int"))
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), ways("level") - 1)))
+    return blocks.join(points, ["root_id", "level", "block", "salt"]).select(
         "ancestor_id", "id", (F.col("depth") - F.col("above")).cast("int").alias("distance")
     )
 
