@@ -61,9 +61,11 @@ def orphan_links(orphans: DataFrame) -> DataFrame:
             (F.col("workspace_id") == F.col("w")) & (F.col("sequence") == F.col("s")) & (F.col("here") == F.col("slot"))
             & (F.col("at") >= F.col("before")) & (F.col("at") - F.col("before") <= REPLY_WITHIN_S),
         )
-        .groupBy("id").agg(F.max(F.struct("before", F.col("v"))).alias("nearest"))
-        .select(F.col("id").alias("u"), F.col("nearest.v").alias("v"))
+        .groupBy("id", "at").agg(F.max(F.struct("before", F.col("v"))).alias("nearest"))
+        .select(F.col("id").alias("u"), "at", F.col("nearest.v").alias("v"))
     )
+    # One message has one next one: of several that take it for theirs the earliest keeps it.
+    replies = replies.groupBy("v").agg(F.min(F.struct("at", "u")).alias("first")).select(F.col("first.u").alias("u"), "v")
     quoted = F.regexp_replace(F.regexp_extract("text", r"^((?:>[^\n]*\n?)+)", 1), r"(?m)^>[ \t]?", "")
     quoting = rows.filter(F.col("text").startswith(">")).select(
         F.col("id").alias("u"), F.col("workspace_id").alias("w"), F.xxhash64(F.trim(_bare(quoted))).alias("h")
@@ -73,24 +75,30 @@ def orphan_links(orphans: DataFrame) -> DataFrame:
     return replies.unionByName(quotes)
 
 
+def _base(turns: DataFrame) -> DataFrame:
+    return turns.select("id", "workspace_id", "episode_id", "sequence", "role", "text", "ts", "created_at").filter(F.col("sequence").isNotNull() & F.col("id").isNotNull())
+
+
+def _rows(placed: DataFrame) -> DataFrame:
+    role = canonical_role(F.col("role"))
+    return placed.select("conversation", "episode_id", "sequence", role.alias("role"), role.isNull().alias("bad_role"), "text", "id", "ts")
+
+
+def identified(turns: DataFrame) -> DataFrame:
+    """Rows of the conversations that carry an identifier, as in ``rebuild``; no link is needed for them."""
+    return _rows(_base(turns).filter(F.col("episode_id").isNotNull()).withColumn("conversation", F.concat(F.lit("e"), F.col("episode_id").cast("string"))))
+
+
 def rebuild(turns: DataFrame) -> DataFrame:
     """Rows (conversation, episode_id, sequence, role, bad_role, text, id, ts) of all conversations, unchecked.
 
     conversation is 'e<episode_id>', or 'm<smallest id>' for a component of rows without identifier.
     """
-    base = turns.select("id", "workspace_id", "episode_id", "sequence", "role", "text", "ts", "created_at").filter(
-        F.col("sequence").isNotNull() & F.col("id").isNotNull()
-    )
-    role = canonical_role(F.col("role"))
-    kept = ["conversation", "episode_id", "sequence", role.alias("role"), role.isNull().alias("bad_role"), "text", "id", "ts"]
-    known = base.filter(F.col("episode_id").isNotNull()).withColumn("conversation", F.concat(F.lit("e"), F.col("episode_id").cast("string")))
-    orphans = base.filter(F.col("episode_id").isNull())
+    orphans = _base(turns).filter(F.col("episode_id").isNull())
     scratch = Scratch(turns.sparkSession, "conversations")
     found = components(orphan_links(orphans), scratch)
-    placed = orphans.join(found, F.col("id") == F.col("node"), "left").withColumn(
-        "conversation", F.concat(F.lit("m"), F.coalesce("component", "id").cast("string"))
-    )
-    return known.select(*kept).unionByName(placed.select(*kept))
+    placed = orphans.join(found, F.col("id") == F.col("node"), "left").withColumn("conversation", F.concat(F.lit("m"), F.coalesce("component", "id").cast("string")))
+    return identified(turns).unionByName(_rows(placed))
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
@@ -128,7 +136,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
 
 def broken(turns: DataFrame) -> DataFrame:
     """(episode_id, problem) of the conversations to leave out; conversations without identifier are not listed."""
-    return verdicts(rebuild(turns)).filter(F.col("episode_id").isNotNull()).select("episode_id", F.explode("problems").alias("problem"))
+    return verdicts(identified(turns)).select("episode_id", F.explode("problems").alias("problem"))
 
 
 def conversations(turns: DataFrame) -> DataFrame:
