@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from memloom.scratch import Scratch
 
 WORD = re.compile(r"[^\W_]+")
+#: Points in a leaf, at most, and bytes of their planes (both sides of a pair of leaves stand in one task).
 LEAF_ROWS = 4_096
+LEAF_BYTES = 8_000_000
 PLANES = 4
 LEAST_GROUPS = 64
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -142,16 +144,17 @@ def _leaf_rows(reps: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = reps.groupBy("field", F.expr(_GROUPS_SQL).alias("groups"), fine.alias("bin")).count().toPandas()
     # Bins of a quarter percent: a few thousand rows at most, whatever the number of records.
     keys, leaf = {}, 0
-    for (_, _), own in sizes.sort_values("bin").groupby(["field", "groups"]):
+    for (_, wide), own in sizes.sort_values("bin").groupby(["field", "groups"]):
         held = 0
+        most = max(1, min(LEAF_ROWS, LEAF_BYTES // (PLANES * int(wide) // 8)))  # rows of a leaf
         for f, g, b, c in own.itertuples(index=False):
-            parts = -(-int(c) // LEAF_ROWS)
+            parts = -(-int(c) // most)
             if parts > 1:
                 leaf += bool(held)
                 keys[f, g, b] = (leaf, parts)
                 leaf, held = leaf + parts, 0
             else:
-                if held + c > LEAF_ROWS:
+                if held + c > most:
                     leaf, held = leaf + 1, 0
                 keys[f, g, b] = (leaf, 1)
                 held += c
@@ -213,6 +216,22 @@ def _leaf_pairs(leaves: DataFrame, threshold: float, scratch: Scratch) -> DataFr
     return scratch.write(near.mapInArrow(bound, "a long, b long"), "leaf-pairs")
 
 
+def _folded(ids: np.ndarray, ns: np.ndarray, over: np.ndarray, bits: np.ndarray, groups: int, wanted: int) -> tuple[np.ndarray, ...]:
+    """Points of more groups as points of ``wanted`` ones: counts of the halves are added, as often as it takes.
+
+    The number of groups is a power of two and a shingle's group its lowest bits, so the upper half folds onto the lower.
+    What a point's planes do not show of a count stays in ``over``, from which no bound becomes too small.
+    """
+    while groups > wanted:
+        counts = np.unpackbits(bits.view(np.uint8).reshape(len(ids), PLANES, -1), axis=2).sum(axis=1, dtype=np.int64)
+        counts = counts[:, : groups // 2] + counts[:, groups // 2 :]
+        groups //= 2
+        over = over + np.maximum(counts - PLANES, 0).sum(axis=1)
+        unary = counts[:, None, :] > np.arange(PLANES)[None, :, None]
+        bits = np.packbits(unary, axis=2).reshape(len(ids), -1).view(np.uint64)
+    return ids, ns, over, bits
+
+
 def _candidates(leaves: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(field, id_a, id_b) whose bound on the overlap reaches what the threshold needs."""
     payload = ["groups", "ids", "ns", "own", "folded", "over", "over_half"]
@@ -230,10 +249,8 @@ def _candidates(leaves: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
                     fold = row[f"groups_{s}"] > groups
                     ids, ns, over = (np.frombuffer(row[f"{c}_{s}"], np.int64) for c in ("ids", "ns", "over_half" if fold else "over"))
                     bits = np.frombuffer(row[f"{'folded' if fold else 'own'}_{s}"], np.uint64).reshape(len(ids), -1)
-                    got.append((ids, ns, over, bits))
+                    got.append(_folded(ids, ns, over, bits, max(LEAST_GROUPS, row[f"groups_{s}"] // 2) if fold else groups, groups))
                 (ids_a, n_a, over_a, bits_a), (ids_b, n_b, over_b, bits_b) = got
-                if bits_a.shape[1] != bits_b.shape[1]:
-                    continue  # more than a factor of two apart: never similar
                 by_word = np.ascontiguousarray(bits_b.T)
                 for lo in range(0, len(ids_a), 128):
                     hi = min(lo + 128, len(ids_a))

@@ -5,8 +5,9 @@ and a query visits leaves best bin first.  How many leaves it visits is calibrat
 neighbours are found by one pass over all rows, and the visits are widened until the wanted share of them lies in the
 visited leaves.  Visited leaves are searched exactly, in double precision.
 
-Best bin first takes the nearest node from a priority queue and adds its children; a leaf therefore leaves the queue in
-the order of the largest distance on its path, which is computed for a whole batch of queries by matrix products.
+Best bin first takes the nearest node from a priority queue and adds its children, which are scored only then; it stops
+at the calibrated number of leaves.  (A leaf leaves the queue in the order of the largest distance on its path; the
+calibration, which needs the place of every leaf, computes that order for its few queries at once.)
 
 Leaves are cut into blocks of bounded size by a hash of the id, and the queries that visit a leaf into bounded sets, so
 no task holds a whole group of copies, however hot.
@@ -20,6 +21,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,7 @@ class Tree:
             at += 1
         self.centres, self.parent, self.leaf = np.asarray(centres, dtype=np.float32), np.asarray(parent), np.asarray(leaf)
         self.children = [np.flatnonzero(self.parent == i) for i in range(len(parent))]
+        self.child_centres = [self.centres[kids] for kids in self.children]
         self.leaves = np.flatnonzero(self.leaf >= 0)
         ways = []
         for node in self.leaves:
@@ -95,9 +98,26 @@ class Tree:
             todo += [(kid, rows[near == i]) for i, kid in enumerate(kids)]
         return out
 
-    def best_bins(self, unit: np.ndarray, visits: int | None = None) -> np.ndarray:
-        """Leaf numbers in the order in which best-bin-first search visits them, for each query."""
-        visits = len(self.leaves) if visits is None else min(visits, len(self.leaves))
+    def best_bins(self, unit: np.ndarray, visits: int) -> np.ndarray:
+        """The first ``visits`` leaf numbers of a best-bin-first search for each query."""
+        visits = min(visits, len(self.leaves))
+        out = np.empty((len(unit), visits), dtype=np.int64)
+        for row, query in zip(out, unit, strict=True):
+            queue, found = [(0.0, 0)], 0
+            while found < visits:
+                node = heappop(queue)[1]
+                if self.leaf[node] >= 0:
+                    row[found] = self.leaf[node]
+                    found += 1
+                else:
+                    kids = self.children[node]
+                    for far, kid in zip((-(self.child_centres[node] @ query)).tolist(), kids.tolist(), strict=True):
+                        heappush(queue, (far, kid))
+        return out
+
+    def all_bins(self, unit: np.ndarray) -> np.ndarray:
+        """All leaf numbers in the order of ``best_bins``, for a few queries."""
+        visits = len(self.leaves)
         order = np.empty((len(unit), visits), dtype=np.int64)
         for a in range(0, len(unit), 256):
             far = np.hstack([-(unit[a : a + 256] @ self.centres.T), np.full((len(unit[a : a + 256]), 1), -np.inf, np.float32)])
@@ -223,19 +243,17 @@ def nearest(
 
     asking = stored.filter(F.pmod(F.col("id"), F.lit(every)) == 0).dropDuplicates(["id"]).select("id", "grp", "vec")
     asked = scratch.write(asking.mapInArrow(visit, "qid long, qleaf int, qvec binary"), "asked")
-    # Leaves are as many as the bounded sample allows, so their sizes may come to the driver.
-    blocks = {r[0]: -(-r[1] // BLOCK_ROWS) for r in stored.groupBy("leaf").count().toLocalIterator()}
-    sets = {r[0]: -(-r[1] // QUERIES_PER_TASK) for r in asked.groupBy("qleaf").count().toLocalIterator()}
-    number = lambda table, key: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(key)), F.lit(1)) if table and max(table.values()) > 1 else F.lit(1)
-    big = lambda table: {a: int(b) for a, b in table.items() if b > 1}
-    blocks, sets = big(blocks), big(sets)
-    data = stored.select(
-        "leaf", F.pmod(F.xxhash64("id"), number(blocks, "leaf")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), number(sets, "leaf") - 1)).alias("part"), "id", "vec",
+    # Leaves are as many as the bounded sample allows, so one row for each of them may be sent to every task.
+    sizes = (
+        stored.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+        .join(asked.groupBy(F.col("qleaf").alias("leaf")).agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("parts")), "leaf")
     )
-    queries = asked.select(
-        "qleaf", F.explode(F.sequence(F.lit(0), number(blocks, "qleaf") - 1)).alias("qblock"),
-        F.pmod(F.xxhash64("qid", F.lit(1)), number(sets, "qleaf")).cast("int").alias("qpart"), "qid", "qvec",
+    sizes = scratch.write(sizes, "sizes")
+    sent = F.broadcast(sizes)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = stored.join(sent, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), upto("parts").alias("part"), "id", "vec")
+    queries = asked.join(sent.withColumnRenamed("leaf", "qleaf"), "qleaf").select(
+        "qleaf", upto("blocks").alias("qblock"), F.pmod(F.xxhash64("qid", F.lit(1)), F.col("parts")).cast("int").alias("qpart"), "qid", "qvec"
     )
 
     def search(asks: pa.Table, has: pa.Table) -> pa.Table:
@@ -299,12 +317,15 @@ def _calibrate(stored: DataFrame, trees: dict[str, Tree], found: np.ndarray, num
                 ["grp", "ask", "leaf", "sim"],
             )
 
-    near = stored.mapInArrow(exact, "grp string, ask long, leaf int, sim double").filter("sim > -8")
+    # A redelivered row is no second neighbour: only rows whose id stands once are measured.
+    once = stored.groupBy("id").count().filter("count > 1").select("id")
+    own = stored.join(once, "id", "left_anti").select("id", "grp", "leaf", "vec")
+    near = own.mapInArrow(exact, "grp string, ask long, leaf int, sim double").filter("sim > -8")
     top = near.withColumn("n", F.row_number().over(Window.partitionBy("grp", "ask").orderBy(F.desc("sim")))).filter(F.col("n") <= k)
     rows = top.select("grp", "ask", "leaf").toPandas()
     visits = dict.fromkeys(trees, 1)
     for g, own in rows.groupby("grp"):
-        order = trees[g].best_bins(tested[g][1])
+        order = trees[g].all_bins(tested[g][1])
         rank = np.empty((len(order), int(trees[g].leaf.max()) + 1), dtype=np.int64)
         np.put_along_axis(rank, order.astype(np.int64), np.arange(order.shape[1])[None, :].repeat(len(order), 0), axis=1)
         ranks = np.sort(rank[own["ask"].to_numpy(), own["leaf"].to_numpy()])

@@ -72,7 +72,7 @@ def test_visits_are_best_bin_first(monkeypatch):
                 order.append(tree.leaf[node])
             for kid in tree.children[node]:
                 heapq.heappush(heap, (-float(q @ tree.centres[kid]), int(kid)))
-        assert order == tree.best_bins(q[None])[0].tolist()
+        assert order == tree.all_bins(q[None])[0].tolist() == tree.best_bins(q[None], len(tree.leaves))[0].tolist() and order[:3] == tree.best_bins(q[None], 3)[0].tolist()
 
 
 def corpus(seed=6):
@@ -121,3 +121,24 @@ def test_very_long_near_duplicates_are_found(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:76_000] + [f"x{i}" for i in range(4_000)])), (3, " ".join(f"y{i}" for i in range(80_000)))]
     members, pairs = D.near_duplicates(spark.createDataFrame([(i, t, None) for i, t in rows], "id long, content string, summary string"))
     assert [(r.id_a, r.id_b) for r in D.all_pairs(members, pairs).collect()] == [(1, 2)]
+
+
+def test_low_thresholds_lose_nothing(spark, monkeypatch):
+    """Sets of very different size: points of many groups are folded to those of few, more than once."""
+    monkeypatch.setattr(D, "LEAF_ROWS", 7)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(2600)]
+    rows = []
+    for i in range(26):
+        n = r.choice([90, 200, 420, 900, 1300, 2500])
+        start = r.choice([0, 0, 5, 40])
+        words = base[start : start + n]
+        for _ in range(r.randint(0, 12)):
+            words[r.randrange(n)] = f"x{r.randint(0, 10 ** 6)}"
+        rows.append((i, " ".join(words), None))
+    df = spark.createDataFrame(rows, "id long, content string, summary string")
+    for threshold in (0.2, 0.4):
+        members, pairs = D.near_duplicates(df, threshold=threshold)
+        sets = {i: set(zip(t.split(), t.split()[1:], t.split()[2:])) for i, t, _ in rows}
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+        assert {(x.id_a, x.id_b) for x in D.all_pairs(members, pairs).collect()} == want and len(want) > 20
