@@ -14,6 +14,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -102,6 +103,7 @@ class ByteNet:
     def __init__(self, classes: list[str], seed: int = 7):
         r = np.random.default_rng(seed)
         self.classes = classes
+        self.pairs: dict[tuple[int, int], np.ndarray] | None = None
         self.p = {"E": r.normal(0, 0.5, (256, DIM)).astype(np.float32)}
         for w in WIDTHS:
             self.p[f"W{w}"] = (r.normal(0, 1, (w * DIM, FILTERS)) / np.sqrt(w * DIM)).astype(np.float32)
@@ -109,16 +111,27 @@ class ByteNet:
         self.p["V"] = (r.normal(0, 1, (FILTERS * len(WIDTHS), len(classes))) / np.sqrt(FILTERS * len(WIDTHS))).astype(np.float32)
         self.p["c"] = np.zeros(len(classes), np.float32)
 
+    def _pairs(self) -> dict[tuple[int, int], np.ndarray]:
+        """What each pair of bytes adds to the filters at each two places of a width: the look-ups of a convolution by twos."""
+        if self.pairs is None:
+            one = lambda w, k: self.p["E"] @ self.p[f"W{w}"][k * DIM : (k + 1) * DIM]
+            self.pairs = {
+                (w, k): (one(w, k)[:, None, :] + one(w, k + 1)[None, :, :]).reshape(65_536, FILTERS) if k + 1 < w else one(w, k) for w in WIDTHS for k in range(0, w, 2)
+            }
+        return self.pairs
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Rows of bytes -> class probabilities; a convolution is a sum of table look-ups, one for each place."""
+        """Rows of bytes -> class probabilities; a convolution is a sum of table look-ups, one for each two places."""
+        tables = self._pairs()
+        x = np.ascontiguousarray(x.T)  # places first: the maximum runs over whole rows of filters
+        both = x[:-1].astype(np.int32) * 256 + x[1:]
         pooled = []
         for w in WIDTHS:
-            table = [self.p["E"] @ self.p[f"W{w}"][k * DIM : (k + 1) * DIM] for k in range(w)]
-            n = x.shape[1] - w + 1
-            conv = table[0][x[:, :n]]
-            for k in range(1, w):
-                conv += table[k][x[:, k : k + n]]
-            pooled.append(np.maximum(conv.max(axis=1) + self.p[f"b{w}"], 0))
+            n = x.shape[0] - w + 1
+            conv = tables[w, 0][both[:n]]
+            for k in range(2, w, 2):
+                conv += tables[w, k][both[k : k + n] if k + 1 < w else x[k : k + n]]
+            pooled.append(np.maximum(conv.max(axis=0) + self.p[f"b{w}"], 0))
         z = np.hstack(pooled) @ self.p["V"] + self.p["c"]
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
@@ -153,6 +166,9 @@ class ByteNet:
                 np.add.at(g["E"], x[rows[:, None], at + k].ravel(), back[:, :, k * DIM : (k + 1) * DIM].reshape(-1, DIM))
         return g
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"pairs": None}  # the tables are made where they are used
+
     def fit(self, texts: list[str], labels: list[str], rounds: int = 16, batch: int = 64, rate: float = 6e-3, seed: int = 3) -> ByteNet:
         r = random.Random(seed)
         n = np.random.default_rng(seed)
@@ -174,6 +190,7 @@ class ByteNet:
                 for k, grad in g.items():
                     m[k] = 0.9 * m[k] + 0.1 * grad
                     v[k] = 0.999 * v[k] + 0.001 * grad * grad
+                    self.pairs = None
                     self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         return self
 
@@ -211,8 +228,9 @@ def lines_without_language(n: int, seed: int = 9) -> list[str]:
     return [r.choice(kinds)() for _ in range(n)]
 
 
-def trained(samples: list[tuple[str, str]]) -> ByteNet:
-    """Network fitted on (lang, text) rows."""
+@lru_cache(maxsize=4)
+def trained(samples: tuple[tuple[str, str], ...]) -> ByteNet:
+    """Network fitted on (lang, text) rows; the same rows are learned once in a session."""
     texts, labels = [], []
     for lang, text in samples:
         for _, _, piece in passages(text):
@@ -267,7 +285,7 @@ def spans(documents: DataFrame, samples: DataFrame, id_col: str = "doc_id", text
 
 def _applied(documents: DataFrame, samples: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     labelled = samples.filter("lang is not null and text is not null").orderBy("sample_id").limit(MAX_SAMPLES).select("lang", "text").collect()
-    net = documents.sparkSession.sparkContext.broadcast(trained([tuple(x) for x in labelled]))
+    net = documents.sparkSession.sparkContext.broadcast(trained(tuple(tuple(x) for x in labelled)))
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body")).filter(
         F.col("doc_id").isNotNull() & (F.length("body") > 0)
     )

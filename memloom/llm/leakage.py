@@ -22,8 +22,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -36,6 +37,8 @@ STRETCH = 12
 SEED_WORDS = 3
 LEAST_BYTES = 8
 LEAST_SEEDS = 4
+#: Bytes between two matches of one stretch, at most.
+NEAR = 160
 RUN_TOGETHER = 24
 SHARD_CHARS = 2_000_000
 PACK_CHARS = 4_000_000
@@ -164,35 +167,43 @@ def _common(a: bytes, i: int, b: bytes, j: int) -> int:
     return done
 
 
-def matches(items: Items, shard: Shard) -> np.ndarray:
-    """(document, item, word of the item, byte place, bytes) of every suffix's matches, as far as they are verbatim."""
+def hits(items: Items, shard: Shard) -> np.ndarray:
+    """(document, item, word of the item, byte place) of every suffix of the items that a suffix of the shard begins like."""
     shard.sort(items.longest)
     low, high = np.searchsorted(shard.first, items.first), np.searchsorted(shard.first, items.first, "right")
-    out = []
-    for s in np.flatnonzero(high > low):
-        owner, k = int(items.owner[s]), int(items.place[s])
-        raw, at = items.raw[owner], int(items.starts[owner][k])
-        a, b = shard.holding(raw[at : at + int(items.size[s])], int(low[s]), int(high[s]))
-        out += [(owner, k, int(p), _common(raw, at, shard.raw, int(p))) for p in shard.order[a:b]]
-    if not out:
-        return np.zeros((0, 5), np.int64)
-    got = np.array(out, np.int64)
-    doc = np.searchsorted(np.array(shard.firsts), got[:, 2], "right") - 1
-    return np.column_stack([doc, got])
+    some = np.flatnonzero(high > low)
+    ranges = np.array([shard.holding(items.raw[items.owner[s]][(at := int(items.starts[items.owner[s]][items.place[s]])) : at + int(items.size[s])], int(low[s]), int(high[s])) for s in some], np.int64).reshape(-1, 2)
+    n = ranges[:, 1] - ranges[:, 0]
+    if not n.sum():
+        return np.zeros((0, 4), np.int64)
+    again = np.repeat(np.arange(len(some)), n)
+    place = shard.order[np.repeat(ranges[:, 0], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    doc = np.searchsorted(np.array(shard.firsts), place, "right") - 1
+    return np.column_stack([doc, items.owner[some][again], items.place[some][again], place])
+
+
+def followed(items: Items, shard: Shard, found: np.ndarray) -> np.ndarray:
+    """The hits with the bytes for which each goes on verbatim."""
+    sizes = [_common(items.raw[item], int(items.starts[item][k]), shard.raw, p) for _, item, k, p in found.tolist()]
+    return np.column_stack([found, np.array(sizes, np.int64)])
 
 
 def search(items: Items, texts: list[str], shard: Shard | None = None) -> list[tuple[int, int, int, int, int]]:
     """(text, item, words of the longest match, its word in the item, its word in the text) for every leak in a shard."""
     shard = Shard(texts) if shard is None else shard
-    found = matches(items, shard)
+    found = hits(items, shard)
     if not len(found):
         return []
     found = found[np.lexsort((found[:, 3], found[:, 1], found[:, 0]))]
+    # A run ends where the document or the item changes or the next hit is far away; short ones are no stretch.
+    new = np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1) | (np.diff(found[:, 3]) > NEAR)]
+    run = np.cumsum(new) - 1
+    found = followed(items, shard, found[np.bincount(run)[run] >= LEAST_SEEDS])
+    if not len(found):
+        return []
     out = []
     new = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)])
     for a, b in zip(new, np.r_[new[1:], len(found)], strict=True):
-        if b - a < LEAST_SEEDS:
-            continue
         own = found[a:b]
         doc, item = int(own[0, 0]), int(own[0, 1])
         if any(lines_up(items, item, part, shard) for part in _windows(own, len(items.raw[item]))):
@@ -208,7 +219,7 @@ def _windows(own: np.ndarray, size: int) -> Iterator[np.ndarray]:
     windows in which a whole copy of the item has room, so that no run, however long, is compared at once."""
     wide = size + size // 2 + 320
     place = own[:, 3]
-    for run in np.split(own, np.flatnonzero(np.diff(place) > 160) + 1):
+    for run in np.split(own, np.flatnonzero(np.diff(place) > NEAR) + 1):
         if len(run) < LEAST_SEEDS:
             continue
         if run[-1, 3] - run[0, 3] <= wide:
@@ -230,13 +241,21 @@ def lines_up(items: Items, item: int, own: np.ndarray, shard: Shard) -> bool:
     first, last = max(left, int(own[0, 3]) - 120), min(right, int((own[:, 3] + own[:, 4]).max()) + 160)
     cuts = set(shard.starts[np.searchsorted(shard.starts, first) : np.searchsorted(shard.starts, last)].tolist())
     inside, known = set(), set()
-    for _, _, k, p, n in own.tolist():
+    # Of the hits of one match, which end at one place on one diagonal, the first holds the others.
+    ends_at = np.column_stack([own[:, 3] - begin[own[:, 2]], own[:, 3] + own[:, 4]])
+    _, kept = np.unique(ends_at, axis=0, return_index=True)
+    for _, _, k, p, n in own[kept].tolist():
         # The item's own word starts hold as far as the match does; other cuts within it are a matter of layout.
         ends = begin[k : np.searchsorted(begin, begin[k] + n, "right")] - begin[k] + p
         known.update(ends.tolist())
         inside.update(c for c in cuts if p < c < ends[-1])
     marks = sorted((cuts - inside) | known)
     tokens = [raw[x:y].rstrip(b"\0") for x, y in zip(marks, [*marks[1:], last], strict=True)]
+    # A stretch agrees in all but one of twelve words, or in more: fewer words in common, in any order, can't line up.
+    bag = Counter(words)
+    bag.subtract(tokens)
+    if len(words) - sum(n for n in bag.values() if n > 0) < STRETCH - 1:
+        return False
     units: list[tuple[int, int]] = []  # (words of the item, errors)
     for tag, i1, i2, j1, j2 in SequenceMatcher(None, words, tokens, autojunk=False).get_opcodes():
         if tag == "equal":

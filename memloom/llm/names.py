@@ -22,7 +22,9 @@ from functools import lru_cache
 from itertools import combinations, permutations
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -327,6 +329,12 @@ def deletes(token: str) -> set[str]:
     return out
 
 
+@lru_cache(maxsize=100_000)
+def parts_of(token: str) -> np.ndarray:
+    """``deletes`` as 64-bit numbers; a name's tokens come again in other workspaces."""
+    return np.array([xxhash.xxh64_intdigest(d) for d in deletes(token)], np.uint64).view(np.int64)
+
+
 def spellings(hints: DataFrame) -> DataFrame:
     """(workspace_id, name, id, wanted, other): each exact spelling once, with how often its type was right and not."""
     kind = F.lower(F.trim("entity_type"))
@@ -357,12 +365,15 @@ def linked(hints: DataFrame) -> DataFrame:
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(w, d, k) for w, k in zip(batch["workspace_id"], batch["key"], strict=True) for d in deletes(k)]
-            yield pd.DataFrame(rows, columns=["workspace_id", "part", "key"])
+            made = [parts_of(k) for k in batch["key"]]
+            again = np.repeat(np.arange(len(made)), [len(m) for m in made])
+            yield pd.DataFrame({"workspace_id": batch["workspace_id"].to_numpy()[again], "part": np.concatenate(made) if made else np.zeros(0, np.int64), "key": batch["key"].to_numpy()[again]})
 
     # The parts are many times the keys, so the work is spread before it: a number given keeps it from being merged again.
     spread = 4 * hints.sparkSession.sparkContext.defaultParallelism
-    parts = keys.select("workspace_id", "key").distinct().repartition(spread, "workspace_id", "key").mapInPandas(index, "workspace_id long, part string, key string")
+    # The index is made once and joined with itself; a part is a number, and two that share one by chance are told apart below.
+    parts = keys.select("workspace_id", "key").distinct().repartition(spread, "workspace_id", "key").mapInPandas(index, "workspace_id long, part long, key string")
+    parts = scratch.write(parts, "parts")
     near = (
         parts.join(parts.select("workspace_id", "part", F.col("key").alias("key_b")), ["workspace_id", "part"])
         .filter("key <= key_b").select("workspace_id", "key", "key_b").distinct()

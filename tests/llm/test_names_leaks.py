@@ -106,7 +106,7 @@ def test_suffix_array_and_matches_against_brute_force():
                 n += 1
             if n >= items.size[s]:
                 want.add((own, k, p, n))
-    assert {tuple(x[1:]) for x in L.matches(items, shard).tolist()} == want and want
+    assert {tuple(x[1:]) for x in L.followed(items, shard, L.hits(items, shard)).tolist()} == want and want
 
 
 def test_a_document_of_boilerplate_is_compared_in_windows():

@@ -136,7 +136,7 @@ def net():
     import pyarrow.parquet as pq
 
     t = pq.read_table("/root/testdata/sf0.01/lang_samples.parquet").to_pylist()
-    return G.trained([(r["lang"], r["text"]) for r in t if r["sample_id"] % 4]), [(r["lang"], r["text"]) for r in t if r["sample_id"] % 4 == 0]
+    return G.trained(tuple((r["lang"], r["text"]) for r in t if r["sample_id"] % 4)), [(r["lang"], r["text"]) for r in t if r["sample_id"] % 4 == 0]
 
 
 def test_held_out_languages(net):
