@@ -187,6 +187,10 @@ def parse(raw: str) -> Name:
     return Name("person", tuple(core), "", tuple(dict.fromkeys([*(keys or long), "+" + "".join(core)])))
 
 
+#: Bearers of one key in a workspace up to which all of them are compared.
+HOT = 64
+
+
 def _limit(a: str, b: str) -> int:
     n = min(len(a), len(b))
     return 0 if n < 4 else 1 if n < 7 else 2
@@ -329,6 +333,29 @@ def deletes(token: str) -> set[str]:
     return out
 
 
+def further(name: Name, key: str, left: bool) -> set[str]:
+    """What a name shares with another one that ``compare`` accepts, beside tokens near ``key``, as signs of the left or right side.
+
+    Persons: a part of a further token or of a full form of it, its spelling without umlauts, or, if one side only has an
+    initial, that letter.  Where an organisation is one of the two: as many tokens.
+    """
+    person = name.kind == "person"
+    out = {f"{'p' if person == left else 'o'}N{len(name.tokens)}"}
+    if not person:
+        return out | {f"N{len(name.tokens)}"}
+    rest = list(name.tokens)
+    if key in rest:
+        rest.remove(key)
+    for t in rest:
+        full = _FULL.get(t, set())
+        if len(t) == 1:
+            out |= {f"{'i' if left else 'f'}{t}", f"I{t}"}
+        else:
+            out |= {f"{'f' if left else 'i'}{c}" for c in {t[0], *(g[0] for g in full)}}
+            out |= {f"F{d}" for g in {t, *full} for d in deletes(g)} | {"U" + t.replace("ue", "u").replace("oe", "o").replace("ae", "a")}
+    return out
+
+
 @lru_cache(maxsize=100_000)
 def parts_of(token: str) -> np.ndarray:
     """``deletes`` as 64-bit numbers; a name's tokens come again in other workspaces."""
@@ -358,10 +385,10 @@ def linked(hints: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(w, k, i) for w, n, i in zip(batch["workspace_id"], batch["name"], batch["id"], strict=True) for k in parse(n).keys]
-            yield pd.DataFrame(rows, columns=["workspace_id", "key", "id"])
+            rows = [(w, k, i, p.kind == "acronym") for w, n, i in zip(batch["workspace_id"], batch["name"], batch["id"], strict=True) for p in [parse(n)] for k in p.keys]
+            yield pd.DataFrame(rows, columns=["workspace_id", "key", "id", "short"])
 
-    keys = scratch.write(names.select("workspace_id", "name", "id").mapInPandas(keyed, "workspace_id long, key string, id long"), "keys")
+    keys = scratch.write(names.select("workspace_id", "name", "id").mapInPandas(keyed, "workspace_id long, key string, id long, short boolean"), "keys")
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -378,12 +405,34 @@ def linked(hints: DataFrame) -> DataFrame:
         parts.join(parts.select("workspace_id", "part", F.col("key").alias("key_b")), ["workspace_id", "part"])
         .filter("key <= key_b").select("workspace_id", "key", "key_b").distinct()
     )
-    a = keys.select("workspace_id", "key", F.col("id").alias("x"))
-    b = keys.select("workspace_id", F.col("key").alias("key_b"), F.col("id").alias("y"))
-    pairs = (
-        near.join(a, ["workspace_id", "key"]).join(b, ["workspace_id", "key_b"]).filter("x <> y")
-        .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    # Bearers of one key are paired where they are few.  A frequent key's bearers must share a further part as well: what a
+    # comparison needs beside the key (``further``), so nothing is lost and no group's pairs are all made.
+    sizes = keys.groupBy("workspace_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    near = scratch.write(
+        near.join(sizes, ["workspace_id", "key"]).join(sizes.select("workspace_id", F.col("key").alias("key_b"), F.col("n").alias("n_b")), ["workspace_id", "key_b"]), "near"
     )
+    few = near.filter(F.col("n") * F.col("n_b") <= HOT * HOT)
+    many = near.filter(F.col("n") * F.col("n_b") > HOT * HOT).select("workspace_id", "key", "key_b")
+    a = keys.select("workspace_id", "key", F.col("id").alias("x"), F.col("short").alias("short_x"))
+    b = keys.select("workspace_id", F.col("key").alias("key_b"), F.col("id").alias("y"), F.col("short").alias("short_y"))
+    # Equal initials join an acronym to the names that it may stand for, not those names to each other.
+    apt = "x <> y and (not startswith(key, '=') or short_x or short_y)"
+    plain = few.join(a, ["workspace_id", "key"]).join(b, ["workspace_id", "key_b"]).filter(apt).select("x", "y")
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(w, k, i, s, left) for w, k, i, n in zip(batch["workspace_id"], batch["key"], batch["id"], batch["name"], strict=True) for left in (True, False) for s in further(parse(n), k, left)]
+            yield pd.DataFrame(rows, columns=["workspace_id", "key", "id", "sign", "left"])
+
+    hot = scratch.write(many.select("workspace_id", "key").unionByName(many.select("workspace_id", F.col("key_b").alias("key"))).distinct(), "hot")
+    owned = keys.join(hot, ["workspace_id", "key"], "left_semi").join(names.select("id", "name"), "id").select("workspace_id", "key", "id", "name")
+    signs = scratch.write(owned.mapInPandas(signed, "workspace_id long, key string, id long, sign string, left boolean"), "signs")
+    left = signs.filter("left").select("workspace_id", "key", F.col("id").alias("x"), "sign")
+    right = signs.filter("not left").select("workspace_id", F.col("key").alias("key_b"), F.col("id").alias("y"), "sign")
+    both = many.filter("not startswith(key, '=')").join(left, ["workspace_id", "key"]).join(right, ["workspace_id", "key_b", "sign"]).filter("x <> y").select("x", "y")
+    # Acronyms of one frequent set of initials are few beside the names.
+    initials = many.filter("startswith(key, '=')").join(a.filter("short_x"), ["workspace_id", "key"]).join(b, ["workspace_id", "key_b"]).filter("x <> y").select("x", "y")
+    pairs = plain.unionByName(both).unionByName(initials).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
     text = lambda s, n: names.select(F.col("id").alias(s), F.col("name").alias(n))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

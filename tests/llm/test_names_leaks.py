@@ -127,3 +127,19 @@ def test_long_names_are_compared():
     a, b = "Maria da Conceicao Teresa Sofia Almeida Brandao Vasques Queiroz", "Maria da Conceicao Teresa Sofia Almeida Brandao Vasquez Queiroz"
     assert len(N.parse(a).tokens) > 6 and N.compare(a, b) == 2
     assert N.compare("Jan Kowalczyk", "Jan Kovalcsyk") == 2 and N.deletes("kowalczyk") & N.deletes("kovalcsyk")
+
+
+def test_frequent_keys_lose_nothing(spark, monkeypatch):
+    """All keys taken as frequent: the same links as with none."""
+    hints = spark.read.parquet("/root/testdata/sf0.01/entity_hints.parquet")
+    few = {tuple(r) for r in N.linked(hints).select("id", "entity").collect()}
+    monkeypatch.setattr(N, "HOT", 0)
+    assert {tuple(r) for r in N.linked(hints).select("id", "entity").collect()} == few and len(few) > 300
+
+
+def test_accepted_persons_share_a_sign():
+    for a, b in SAME:
+        x, y = N.parse(a), N.parse(b)
+        if x.kind == y.kind == "person":
+            shared = [(k, m) for k in x.keys for m in y.keys if N.deletes(k) & N.deletes(m)]
+            assert any(N.further(x, k, True) & N.further(y, m, False) or k[0] == "+" for k, m in shared), (a, b)
