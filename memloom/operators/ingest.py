@@ -60,6 +60,26 @@ def upsert_latest(existing: DataFrame, new: DataFrame, keys: list[str], keep: li
     return both.groupBy(*keys).agg(*[pick(c)(F.struct(F.col(c)), "_new")[c].alias(c) for c in others])
 
 
+def save_summaries(existing: DataFrame, new: DataFrame, at: Column, keys: list[str] = ("workspace_id", "subject_id", "day")) -> DataFrame:
+    """Summaries after an upsert: new ones replace those of the same key and carry the time of the change.
+
+    A number of unique turns that is not given is read as the number of turns.
+    """
+    unique = F.col("unique_turn_count") if "unique_turn_count" in new.columns else F.lit(None).cast("long")
+    stamped = new.withColumn("unique_turn_count", F.coalesce(unique, "turn_count")).withColumn("updated_at", at)
+    old = existing
+    for name, kind in (("unique_turn_count", "long"), ("updated_at", "timestamp_ntz")):
+        old = old if name in old.columns else old.withColumn(name, F.lit(None).cast(kind))
+    merged = upsert_latest(old, stamped, list(keys))
+    return merged.withColumn("unique_turn_count", F.coalesce("unique_turn_count", "turn_count"))
+
+
+def append(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Append rows to a parquet table, in folders by one column if given; batches are the writer's."""
+    writer = df.write.mode("append")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+
+
 def patched(old: Column, patch: Column) -> Column:
     """Null keeps, an empty text clears, anything else replaces."""
     return F.when(patch.isNull(), old).when(patch == "", F.lit(None)).otherwise(patch)

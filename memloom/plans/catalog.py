@@ -622,3 +622,8 @@ _read("chunk_previews", lambda m: ingest.chunk_previews(m.turns.filter("episode_
     tail AS (SELECT episode_id, (nth - 1) // 30 + 1 AS chunk, string_agg(substr(coalesce(text, ''), 1, 200), chr(10) ORDER BY nth) AS preview FROM numbered WHERE (nth - 1) % 30 >= 27 GROUP BY ALL)
     SELECT c.episode_id, c.chunk, coalesce(t.preview, '') AS preview FROM (SELECT DISTINCT episode_id, (nth - 1) // 30 AS chunk FROM numbered) c LEFT JOIN tail t USING (episode_id, chunk)""")
 _read("normalized_paths", lambda m: m.entities.select("id", X.path_stem(F.concat(F.lit("C:\\Work\\"), "name", F.lit(".MD"))).alias("stem")), "SELECT id, lower(name) AS stem FROM entity WHERE name IS NOT NULL AND NOT contains(name, '/') UNION ALL SELECT id, NULL FROM entity WHERE name IS NULL")
+_read("name_families", reads.name_families, """
+    SELECT e.workspace_id, h.id AS head_id, e.id FROM entity e JOIN entity h ON h.workspace_id = e.workspace_id AND length(h.name) BETWEEN 1 AND length(e.name) - 1 AND starts_with(lower(e.name), lower(h.name))""")
+_read("summaries_saved", lambda m: ingest.save_summaries(m.summaries, m.daily.filter(F.dayofmonth("day") >= 15).select("workspace_id", "subject_id", "day", (F.col("turn_count") + 1).alias("turn_count")), F.lit(reads.NOW).cast("timestamp_ntz")), """
+    SELECT workspace_id, subject_id, CAST(daily.day AS VARCHAR) AS day, turn_count + CAST(day(daily.day) >= 15 AS INTEGER) AS turn_count, turn_count + CAST(day(daily.day) >= 15 AS INTEGER) AS unique_turn_count,
+           CASE WHEN day(daily.day) >= 15 THEN TIMESTAMP '2026-05-13 18:00:00' END AS updated_at FROM daily WHERE day(daily.day) % 2 = 0 OR day(daily.day) >= 15""")

@@ -649,6 +649,18 @@ def entity_name_flags(m: Model) -> DataFrame:
     return named.join(same, low == F.col("low")).select("id", session_label(F.col("name")).alias("is_label"), family.alias("family"), "same_name")
 
 
+def name_families(m: Model) -> DataFrame:
+    """(workspace_id, head_id, id): entities whose name goes on from that of another one, case ignored.
+
+    A name's own prefixes are looked up, so names meet in an equality join; one letter more is enough.
+    """
+    low = F.lower("name")
+    own = m.entities.filter(F.length("name") > 1).select("workspace_id", "id", low.alias("low"))
+    heads = m.entities.filter(F.length("name") > 0).select("workspace_id", F.col("id").alias("head_id"), low.alias("prefix"))
+    parts = own.select("workspace_id", "id", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - 1), lambda n: F.substring("low", F.lit(1), n))).alias("prefix"))
+    return parts.join(heads, ["workspace_id", "prefix"]).select("workspace_id", "head_id", "id")
+
+
 def workspace_pages(m: Model, limit: int = 20) -> DataFrame:
     """Workspaces, active ones first, then by their latest episode, those without any last."""
     latest = m.episodes.groupBy("workspace_id").agg(F.max("created_at").alias("latest"))

@@ -41,11 +41,15 @@ def session_log(spark: SparkSession, path: str, conservative: bool = False) -> D
     the assistant and NUL characters.
     """
     # Only the log's own file order is local: each file is a session, so windows are by file.
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", _LINE).alias("j")).filter(F.col("j.type").isNotNull())
+    # Session, directory and branch are those of the first message in the file; lines are in order within a block of it.
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), F.from_json("value", _LINE).alias("j")
+    ).filter(F.col("j.type").isNotNull())
+    message = F.col("j.type").isin("user", "assistant")
     head = lines.groupBy("file").agg(
-        F.max("j.sessionId").alias("session_id"), F.max("j.cwd").alias("cwd"), F.max("j.gitBranch").alias("git_branch"),
+        F.min(F.when(message, F.struct("at", F.struct("j.sessionId", "j.cwd", "j.gitBranch").alias("h"))))["h"].alias("h"),
         F.max(F.when(F.col("j.type") == "ai-title", F.coalesce("j.title", "j.aiTitle", "j.content"))).alias("title"),
-    )
+    ).select("file", F.col("h.sessionId").alias("session_id"), F.col("h.cwd").alias("cwd"), F.col("h.gitBranch").alias("git_branch"), "title")
     said = lines.filter(F.col("j.type").isin("user", "assistant")).select(
         "file", F.col("j.type").alias("role"), _flattened(F.col("j.message.content"), conservative).alias("text"), F.to_timestamp("j.timestamp").alias("said_at")
     )
@@ -83,6 +87,37 @@ def extracted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return part("entities").withColumn("type", F.lower(F.trim("type"))), part("facts"), part("relations").filter("source <> target")
 
 
+#: Entity types of the store; any other name is 'other'.
+ENTITY_TYPES = ["person", "organization", "location", "event", "concept", "product", "preference", "procedure", "other", "episode_topic", "theme"]
+
+
+def replayed(entities: DataFrame, facts: DataFrame, relations: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(entities, facts, relations, counters) of ``extracted`` ready to be stored.
+
+    Types become those of the store; names are resolved against the known entities (id, workspace_id, name_normalized) and
+    each other; a triple that several episodes state is one fact with the episode that states it first; relations lead
+    from entity to entity.  Counters give, for each kind, what was stored and what could not be: no name, or an end that
+    names nothing.
+    """
+    low = lambda c: F.lower(F.trim(F.col(c)))
+    named = entities.filter(F.length(F.trim("name")) > 0)
+    kind = F.when(F.col("type").isin(ENTITY_TYPES), F.col("type")).otherwise("other")
+    asked = named.groupBy("workspace_id", low("name").alias("key")).agg(F.min(F.struct("episode_id", "name", kind.alias("kind"))).alias("f"))
+    stored = known.groupBy("workspace_id", F.col("name_normalized").alias("key")).agg(F.min("id").alias("entity_id"))
+    resolved = asked.join(stored, ["workspace_id", "key"], "left").select("workspace_id", "key", "f.name", F.col("f.kind").alias("entity_type"), "entity_id", F.when(F.col("entity_id").isNull(), "new").otherwise("known").alias("how"))
+    names = resolved.select("workspace_id", "key")
+    about = facts.withColumn("key", low("subject")).join(names, ["workspace_id", "key"], "left_semi")
+    once = about.groupBy("workspace_id", "key", "predicate", "object").agg(F.min(F.struct("episode_id", "quote")).alias("f"), F.countDistinct("episode_id").alias("episodes"))
+    told = once.select("workspace_id", "key", "predicate", "object", "f.episode_id", "f.quote", "episodes")
+    ends = relations.withColumn("key", low("source")).join(names, ["workspace_id", "key"], "left_semi").withColumnRenamed("key", "source_key").withColumn("key", low("target")).join(names, ["workspace_id", "key"], "left_semi").withColumnRenamed("key", "target_key")
+    one = lambda df, kind, state: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.lit(state).alias("state"), "n")
+    counters = one(named, "entities", "stored").unionByName(one(entities.filter(~(F.length(F.trim("name")) > 0) | F.col("name").isNull()), "entities", "failed"))
+    counters = counters.unionByName(one(about, "facts", "stored")).unionByName(one(facts.withColumn("key", low("subject")).join(names, ["workspace_id", "key"], "left_anti"), "facts", "failed"))
+    lost = relations.agg(F.count(F.lit(1)).alias("a")).crossJoin(F.broadcast(ends.agg(F.count(F.lit(1)).alias("b"))))  # one row
+    counters = counters.unionByName(one(ends, "relations", "stored")).unionByName(lost.select(F.lit("relations").alias("kind"), F.lit("failed").alias("state"), (F.col("a") - F.col("b")).alias("n")))
+    return resolved, told, ends, counters
+
+
 def not_ingested(spark: SparkSession, path: str, ledger: DataFrame, least: int = SMALLEST_FILE) -> DataFrame:
     """(file, bytes, status): session files of at least so many bytes against the sessions of a ledger (session_id).
 

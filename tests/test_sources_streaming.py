@@ -98,3 +98,30 @@ def test_merged_versions_are_repeatable_and_never_start_anew(spark, tmp_path):
         assert not (tmp_path / "out" / "v1").exists()
         (tmp_path / "out" / "v0").mkdir(exist_ok=True)
         (tmp_path / "out" / "v0" / "x.parquet").write_bytes(b"")
+
+
+def test_replay_resolves_and_counts(spark):
+    entities = spark.createDataFrame([(1, 1, "Ann", "person"), (2, 1, "ann ", "human"), (1, 1, " ", "person"), (1, 1, "Bob", "gizmo"), (1, 2, "Ann", "concept"), (1, 1, None, "x")], "episode_id long, workspace_id long, name string, type string")
+    facts = spark.createDataFrame([(1, 1, "Ann", "likes", "tea", "q1"), (2, 1, "ANN", "likes", "tea", "q2"), (1, 1, "Zed", "likes", "tea", "q")], "episode_id long, workspace_id long, subject string, predicate string, object string, quote string")
+    relations = spark.createDataFrame([(1, 1, "Ann", "Bob", "knows"), (1, 1, "Ann", "Zed", "knows"), (1, 2, "Ann", "Bob", "knows")], "episode_id long, workspace_id long, source string, target string, type string")
+    known = spark.createDataFrame([(7, 1, "ann")], "id long, workspace_id long, name_normalized string")
+    got, told, ends, counters = S.replayed(entities, facts, relations, known)
+    assert {(r.workspace_id, r.key, r.entity_type, r.entity_id, r.how) for r in got.collect()} == {(1, "ann", "person", 7, "known"), (1, "bob", "other", None, "new"), (2, "ann", "concept", None, "new")}
+    assert [(r.key, r.episode_id, r.quote, r.episodes) for r in told.collect()] == [("ann", 1, "q1", 2)]
+    assert [(r.source_key, r.target_key) for r in ends.collect()] == [("ann", "bob")]
+    assert {(r.kind, r.state): r.n for r in counters.collect()} == {("entities", "stored"): 4, ("entities", "failed"): 2, ("facts", "stored"): 2, ("facts", "failed"): 1, ("relations", "stored"): 1, ("relations", "failed"): 2}
+
+
+def test_append_and_first_row_of_a_file(spark, tmp_path):
+    from memloom.operators import ingest
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, day string")
+    ingest.append(df, str(tmp_path / "t"), "day")
+    ingest.append(df.limit(1), str(tmp_path / "t"), "day")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3 and (tmp_path / "t" / "day=a").is_dir()
+
+
+def test_session_log_takes_the_first_message_s_session(spark, tmp_path):
+    lines = [{"type": "summary", "sessionId": "z0", "cwd": "/z"}, {"type": "user", "timestamp": "2025-01-01T00:00:02Z", "sessionId": "a", "cwd": "/b", "gitBranch": "m", "message": {"content": "hello there"}}, {"type": "assistant", "timestamp": "2025-01-01T00:00:01Z", "sessionId": "z", "cwd": "/a", "gitBranch": "x", "message": {"content": "again"}}]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    assert {(r.session_id, r.cwd, r.git_branch) for r in S.session_log(spark, str(tmp_path)).collect()} == {("a", "/b", "m")}
