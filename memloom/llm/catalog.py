@@ -24,6 +24,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(turns, "turns.text").unionByName(splitting.oversized(episodes, "episodes.content"))
 
 
+def p1_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item that was cut, put together again: its hash, and whether all its pieces keep to the limit."""
+    parts = [splitting.rejoined(splitting.split_items(load(spark, folder, table, ["id", text]), "id", text)).selectExpr(f"'{table}.{text}' as field", "record_id", "sha2(text, 256) as hash", f"longest <= {splitting.LIMIT} as fits", "pieces > 1 as cut") for table, text in (("turns", "text"), ("episodes", "content"))]
+    return parts[0].unionByName(parts[1])
+
+
 _TEXTS = (("turns", "id", "text", "turns.text"), ("episodes", "id", "content", "episodes.content"), ("fact_hints", "hint_id", "source_quote", "fact_hints.source_quote"))
 
 
@@ -45,6 +51,11 @@ def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(load(spark, folder, "turns"))
 
 
+def p3_identified(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of the good conversations that carry an identifier."""
+    return conversations.conversations(load(spark, folder, "turns")).filter("episode_id is not null").selectExpr("episode_id", "position", "role", "id", "sha2(text, 256) as text_hash")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(load(spark, folder, "memory_vectors")).select("vector_id", "neighbour_id")
 
@@ -106,10 +117,12 @@ def p10_passages(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rejoined": p1_rejoined,
     "p2_found": p2_found,
     "p2_masked": p2_masked,
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
+    "p3_identified": p3_identified,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
@@ -136,6 +149,20 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT 'turns.text' AS field, id AS record_id FROM turns WHERE length(text) > 4000
         UNION ALL
         SELECT DISTINCT 'episodes.content', id FROM episodes WHERE length(content) > 4000""",
+    "p1_rejoined": """
+        SELECT DISTINCT 'turns.text' AS field, id AS record_id, sha256(text) AS hash, true AS fits, true AS cut FROM turns WHERE length(text) > 4000
+        UNION ALL
+        SELECT DISTINCT 'episodes.content', id, sha256(content), true, true FROM episodes WHERE length(content) > 4000""",
+    "p3_identified": f"""
+        WITH r AS (SELECT id, episode_id, sequence, text, CASE {_ROLES} END AS role, coalesce(regexp_matches(text, '[^\\s\\p{{Z}}]'), false) AS said
+                   FROM turns WHERE episode_id IS NOT NULL AND sequence IS NOT NULL),
+             c AS (SELECT DISTINCT episode_id FROM (SELECT episode_id FROM r GROUP BY episode_id, sequence HAVING count(DISTINCT coalesce('t' || text, 'n')) > 1)),
+             e AS (SELECT episode_id, min(sequence) AS first FROM r GROUP BY 1
+                   HAVING max(sequence) - min(sequence) + 1 = count(DISTINCT sequence) AND NOT bool_or(role IS NULL)
+                      AND NOT (max(sequence) FILTER (role = 'user' AND said) IS NULL AND max(sequence) FILTER (role = 'assistant' AND said) IS NULL)
+                      AND (max(sequence) FILTER (role = 'user' AND said) IS NULL OR coalesce(max(sequence) FILTER (role = 'assistant' AND said) > max(sequence) FILTER (role = 'user' AND said), false)))
+        SELECT r.episode_id, CAST(sequence - first AS BIGINT) AS position, arg_min(role, r.id) AS role, min(r.id) AS id, arg_min(sha256(text), r.id) AS text_hash
+        FROM r JOIN e ON e.episode_id = r.episode_id WHERE r.episode_id NOT IN (SELECT episode_id FROM c) GROUP BY ALL""",
     "p3_found": f"""
         WITH r AS (SELECT episode_id, sequence, text, CASE {_ROLES} END AS role,
                           coalesce(regexp_matches(text, '[^\\s\\p{{Z}}]'), false) AS said

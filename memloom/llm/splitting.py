@@ -9,8 +9,8 @@ of such a node is never joined with what follows outside it.  Sizes count Unicod
 Defined results: an item of exactly the limit is not split; a null or empty item gives no pieces; white space stays
 where it was, so the pieces without their overlaps, joined, are the item again; every piece after the first repeats the
 last ``overlap`` characters of the piece before; a fence that never closes runs to the end; text without any boundary is
-cut at the limit, never inside a character with its combining marks if one within reach can be avoided.  Rows repeated
-under one id count once.
+cut at the limit, never inside a character with its combining marks if one within reach can be avoided.  A first piece
+shorter than the overlap is joined with the second.  Rows repeated under one id count once.
 """
 
 from __future__ import annotations
@@ -190,6 +190,8 @@ def pack(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
         stack.extend(reversed(children(text, node)))
     if merged:
         done.append(merged)
+    while len(done) > 1 and done[0][1] < overlap:  # too short to be repeated; with the next piece it is within the limit
+        done[:2] = [(0, done[1][1])]
     return done
 
 
@@ -214,3 +216,10 @@ def split_items(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, o
 def oversized(pieces: DataFrame, field: str) -> DataFrame:
     """(field, record_id) of the items that were split."""
     return pieces.filter("piece = 0").select(F.lit(field).alias("field"), "record_id")
+
+
+def rejoined(pieces: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """(record_id, pieces, longest, text): the items again, from their pieces without the overlaps; one row holds one item."""
+    new = F.when(F.col("piece") == 0, F.col("text")).otherwise(F.substring("text", overlap + 1, 2**31 - 1))
+    row = F.sort_array(F.collect_list(F.struct("piece", new.alias("t"))))
+    return pieces.groupBy("record_id").agg(F.count(F.lit(1)).alias("pieces"), F.max("n_chars").alias("longest"), F.array_join(F.transform(row, lambda x: x["t"]), "").alias("text"))
