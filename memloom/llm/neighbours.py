@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.scratch import Scratch
+from memloom.tables import once_by_key
 
 #: Rows that the trees are fitted on, over all groups together (16 MB of 64 floats).
 SAMPLE_ROWS = 60_000
@@ -317,10 +318,8 @@ def _calibrate(stored: DataFrame, trees: dict[str, Tree], found: np.ndarray, num
                 ["grp", "ask", "leaf", "sim"],
             )
 
-    # A redelivered row is no second neighbour: only rows whose id stands once are measured.
-    once = stored.groupBy("id").count().filter("count > 1").select("id")
-    own = stored.join(once, "id", "left_anti").select("id", "grp", "leaf", "vec")
-    near = own.mapInArrow(exact, "grp string, ask long, leaf int, sim double").filter("sim > -8")
+    # A redelivered row is no second neighbour.
+    near = once_by_key(stored.select("id", "grp", "leaf", "vec"), "id").mapInArrow(exact, "grp string, ask long, leaf int, sim double").filter("sim > -8")
     top = near.withColumn("n", F.row_number().over(Window.partitionBy("grp", "ask").orderBy(F.desc("sim")))).filter(F.col("n") <= k)
     rows = top.select("grp", "ask", "leaf").toPandas()
     visits = dict.fromkeys(trees, 1)

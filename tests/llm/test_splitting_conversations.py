@@ -170,3 +170,17 @@ def test_components_against_union_find(spark):
     got = {x.node: x.component for x in C.components(df, Scratch(spark, "t")).collect()}
     assert got == {x: find(x) for x in list(root)}
     assert C.components(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_rebuilding_without_identifiers(spark):
+    """Known conversations with their identifiers taken away: pairs of messages put together rightly."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    known = spark.read.parquet("/root/testdata/sf0.001/turns.parquet").filter("episode_id is not null and sequence is not null").dropDuplicates(["id"])
+    true = {r.id: r.episode_id for r in known.select("id", "episode_id").collect()}
+    found = {r.id: r.conversation for r in V.rebuild(known.withColumn("episode_id", F.lit(None).cast("long"))).select("id", "conversation").collect()}
+    pairs = lambda marks: sum(n * (n - 1) // 2 for n in Counter(marks).values())
+    both = pairs((true[i], found[i]) for i in found)
+    assert both / pairs(found.values()) > 0.95 and both / pairs(true[i] for i in found) > 0.8
