@@ -64,6 +64,13 @@ def keywords(text: Column) -> Column:
     return F.filter(cut, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(STOPWORDS))
 
 
+def fragment_keywords(subject: Column, predicate: Column, value: Column, content: Column, most: int = 20) -> Column:
+    """The triple and then the keywords of a fragment's content, the first of each spelling, case ignored."""
+    every = F.filter(F.concat(F.array_compact(F.array(subject, predicate, value)), keywords(content)), lambda w: F.length(w) > 0)
+    low = F.transform(every, lambda w: F.lower(w))
+    return F.slice(F.filter(every, lambda w, i: F.array_position(low, F.lower(w)) == i + 1), 1, most)
+
+
 def expanded(words: Column, aliases: dict[str, str], other_script: dict[str, str]) -> Column:
     """Each word followed by its names in another script and by its alias, the first of each spelling, case ignored."""
     lookup = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key) if table else F.lit(None).cast("string")
@@ -145,8 +152,9 @@ def relation_type(name: Column) -> Column:
 
 
 def fragment_content(quote: Column, subject: Column, predicate: Column, value: Column) -> Column:
-    """The quote if it says enough, else the triple; at most 500 characters."""
-    body = F.when(F.length(F.trim(quote)) >= 10, quote).otherwise(F.concat_ws(" ", subject, predicate, value))
+    """The quote without outer blanks if it says enough, else the triple; at most 500 characters."""
+    bare = F.regexp_replace(quote, r"(?U)^\s+|\s+$", "")
+    body = F.when(F.length(bare) >= 10, bare).otherwise(F.concat_ws(" ", subject, predicate, value))
     return F.when(F.length(body) > 500, F.concat(F.substring(body, 1, 497), F.lit("..."))).otherwise(body)
 
 

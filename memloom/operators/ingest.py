@@ -98,14 +98,16 @@ def merged_keywords(old: Column, new: Column) -> Column:
 
 
 def resolve_entities(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(workspace_id, name, entity_id, how): by normalised name, else by alias, else to be created (id null)."""
+    """(workspace_id, name, entity_id, how): by id, else by normalised name, else by alias, else to be created (id null)."""
     low = F.lower(F.trim("name"))
     asked = names.select("workspace_id", "name", low.alias("key")).distinct()
+    keys = ["workspace_id", "key"]
+    own = entities.select("workspace_id", F.col("id").cast("string").alias("key"), F.col("id").alias("by_id"))
     exact = entities.groupBy("workspace_id", F.col("name_normalized").alias("key")).agg(F.min("id").alias("by_name"))
     alias = aliases.groupBy("workspace_id", F.lower("alias").alias("key")).agg(F.min("entity_id").alias("by_alias"))
-    return asked.join(exact, ["workspace_id", "key"], "left").join(alias, ["workspace_id", "key"], "left").select(
-        "workspace_id", "name", F.coalesce("by_name", "by_alias").alias("entity_id"),
-        F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_alias").isNotNull(), "alias").otherwise("new").alias("how"),
+    return asked.join(own, keys, "left").join(exact, keys, "left").join(alias, keys, "left").select(
+        "workspace_id", "name", F.coalesce("by_id", "by_name", "by_alias").alias("entity_id"),
+        F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_name").isNotNull(), "name").when(F.col("by_alias").isNotNull(), "alias").otherwise("new").alias("how"),
     )
 
 

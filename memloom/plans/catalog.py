@@ -350,7 +350,7 @@ _read("fragment_types", lambda m: m.facts.select(
     "hint_id", X.fragment_type(F.col("predicate")).alias("kind"), X.relation_type(F.col("predicate")).alias("relation_type"), X.fragment_content(F.col("source_quote"), F.col("subject"), F.col("predicate"), F.col("object_value")).alias("content")), f"""
     SELECT hint_id, {_KIND} AS kind, CASE WHEN predicate IN ('supports', 'contradicts', 'depends_on', 'part_of', 'related_to') THEN predicate ELSE 'related_to' END AS relation_type,
     CASE WHEN length(b) > 500 THEN substr(b, 1, 497) || '...' ELSE b END AS content
-    FROM (SELECT *, CASE WHEN length(trim(source_quote)) >= 10 THEN source_quote ELSE concat_ws(' ', subject, predicate, object_value) END AS b FROM fact)""")
+    FROM (SELECT *, CASE WHEN length(q) >= 10 THEN q ELSE concat_ws(' ', subject, predicate, object_value) END AS b FROM (SELECT *, regexp_replace(source_quote, '^\\s+|\\s+$', '', 'g') AS q FROM fact))""")
 _read("snippets", lambda m: m.episodes.filter(F.locate("schema", F.lower("content")) > 0).select("id", X.snippet(F.col("content"), "schema").alias("snippet")), """
     SELECT id, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(content, s, 400) || CASE WHEN length(content) > s + 399 THEN '...' ELSE '' END AS snippet
     FROM (SELECT id, content, greatest(strpos(lower(content), 'schema') - 100, 1) AS s FROM episode WHERE strpos(lower(content), 'schema') > 0)""")
@@ -627,3 +627,21 @@ _read("name_families", reads.name_families, """
 _read("summaries_saved", lambda m: ingest.save_summaries(m.summaries, m.daily.filter(F.dayofmonth("day") >= 15).select("workspace_id", "subject_id", "day", (F.col("turn_count") + 1).alias("turn_count")), F.lit(reads.NOW).cast("timestamp_ntz")), """
     SELECT workspace_id, subject_id, CAST(daily.day AS VARCHAR) AS day, turn_count + CAST(day(daily.day) >= 15 AS INTEGER) AS turn_count, turn_count + CAST(day(daily.day) >= 15 AS INTEGER) AS unique_turn_count,
            CASE WHEN day(daily.day) >= 15 THEN TIMESTAMP '2026-05-13 18:00:00' END AS updated_at FROM daily WHERE day(daily.day) % 2 = 0 OR day(daily.day) >= 15""")
+_read("anchors_resolved", lambda m: ingest.resolve_entities(
+    m.facts.select("workspace_id", F.col("subject").alias("name")).unionByName(m.entities.select("workspace_id", F.col("id").cast("string").alias("name")).filter("name like '%7'")), m.entities,
+    m.entities.select("workspace_id", F.col("id").alias("entity_id"), F.explode("aliases").alias("alias"))), """
+    , asked AS (SELECT DISTINCT workspace_id, subject AS name, lower(trim(subject)) AS key FROM fact UNION SELECT workspace_id, CAST(id AS VARCHAR), CAST(id AS VARCHAR) FROM entity WHERE CAST(id AS VARCHAR) LIKE '%7'),
+    exact AS (SELECT workspace_id, name_normalized AS key, min(id) AS by_name FROM entity GROUP BY ALL),
+    alias AS (SELECT workspace_id, lower(a) AS key, min(id) AS by_alias FROM (SELECT workspace_id, id, unnest(aliases) AS a FROM entity) GROUP BY ALL)
+    SELECT q.workspace_id, q.name, coalesce(i.id, by_name, by_alias) AS entity_id, CASE WHEN i.id IS NOT NULL THEN 'id' WHEN by_name IS NOT NULL THEN 'name' WHEN by_alias IS NOT NULL THEN 'alias' ELSE 'new' END AS how
+    FROM asked q LEFT JOIN entity i ON i.workspace_id = q.workspace_id AND CAST(i.id AS VARCHAR) = q.key LEFT JOIN exact ON q.workspace_id = exact.workspace_id AND q.key = exact.key
+    LEFT JOIN alias ON q.workspace_id = alias.workspace_id AND q.key = alias.key""")
+_STOP = "'the', 'a', 'an', 'of', 'in', 'on', 'at', 'to', 'for', 'with', 'and', 'or', 'but', 'is', 'are', 'was', 'were', 'be', 'been', 'has', 'have', 'had', 'do', 'does', 'did', 'will', 'would', 'what', 'which', 'who', 'when', 'where', 'why', 'how'"
+_PARTICLE = "의|는|이|가|을|를|에|에서|에게|에서부터|부터|까지|으로|로|와|과|도|만|뿐|이나|나|든지|라도|마저|조차|뿐만|처럼|같이|보다|하고|하고는"
+_read("fragment_keywords", lambda m: m.facts.select("hint_id", F.array_join(X.fragment_keywords(F.col("subject"), F.col("predicate"), F.col("object_value"), X.fragment_content(F.col("source_quote"), F.col("subject"), F.col("predicate"), F.col("object_value"))), "|").alias("words")), rf"""
+    , body AS (SELECT *, CASE WHEN length(q) >= 10 THEN CASE WHEN length(q) > 500 THEN substr(q, 1, 497) || '...' ELSE q END ELSE concat_ws(' ', subject, predicate, object_value) END AS b
+               FROM (SELECT *, regexp_replace(source_quote, '^\s+|\s+$', '', 'g') AS q FROM fact)),
+    said AS (SELECT *, list_filter(list_transform(list_filter(regexp_split_to_array(regexp_replace(b, '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+'),
+           lambda w: w <> '' AND lower(w) NOT IN ({_STOP})), lambda w: regexp_replace(w, '(?s)^(.{{2,}}?)({_PARTICLE})$', '\1')), lambda w: length(w) >= 2 AND lower(w) NOT IN ({_STOP})) AS k FROM body),
+    whole AS (SELECT hint_id, list_filter(list_concat([subject, predicate, object_value], k), lambda w: w IS NOT NULL AND w <> '') AS l FROM said)
+    SELECT hint_id, array_to_string(list_filter(l, lambda w, i: list_position(list_transform(l, lambda y: lower(y)), lower(w)) = i)[:20], '|') AS words FROM whole""")
