@@ -9,6 +9,10 @@ Best bin first takes the nearest node from a priority queue and adds its childre
 at the calibrated number of leaves.  (A leaf leaves the queue in the order of the largest distance on its path; the
 calibration, which needs the place of every leaf, computes that order for its few queries at once.)
 
+The tree above is bounded by its sample.  A leaf that holds more than ``SPLIT_ROWS`` rows gets a level below it, fitted on
+a bounded sample of its own rows by the task that has them, and queries open the calibrated share of its parts, so leaves
+stay small whatever the number of rows.
+
 Leaves are cut into blocks of bounded size by a hash of the id, and the queries that visit a leaf into bounded sets, so
 no task holds a whole group of copies, however hot.
 
@@ -24,12 +28,13 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.scratch import Scratch
-from memloom.tables import once_by_key
+from memloom.tables import SENT_KEYS, once_by_key
 
 #: Rows that the trees are fitted on, over all groups together (16 MB of 64 floats).
 SAMPLE_ROWS = 60_000
@@ -37,6 +42,8 @@ SAMPLE_ROWS = 60_000
 LEAF_ROWS = 1_000
 BLOCK_ROWS = 4_096
 QUERIES_PER_TASK = 8_192
+#: A leaf of more rows gets a level of its own, of at most so many parts, fitted on about so many of its rows.
+SPLIT_ROWS, MOST_PARTS, FIT_ROWS = 16_000, 512, 8_192
 BRANCHES = 16
 CALIBRATION_QUERIES = 150
 
@@ -156,7 +163,7 @@ def _unit(x: np.ndarray, kind: type = np.float32) -> np.ndarray:
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """Rows of a binary column of packed float32 numbers."""
     parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), dtype=np.float32).reshape(len(parts), dim)
+    return np.frombuffer(b"".join(parts), dtype=np.float32).reshape(len(parts), dim) if parts else np.zeros((0, max(dim, 0)), np.float32)
 
 
 def usable(df: DataFrame, id_col: str, group_col: str, vector_col: str, dim: int) -> DataFrame:
@@ -229,7 +236,8 @@ def nearest(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf), batch.column(2)], ["id", "grp", "leaf", "vec"])
 
     stored = scratch.write(rows.mapInArrow(place, "id long, grp string, leaf int, vec binary"), "stored")
-    visits = _calibrate(stored, trees, found, numbers, sample.column("id").to_numpy(), dim, k, recall)
+    stored, below, big = _deepened(stored, scratch, dim)
+    visits, opened = _calibrate(stored, below, trees, found, numbers, sample.column("id").to_numpy(), dim, k, recall)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,13 +252,13 @@ def nearest(
 
     asking = stored.filter(F.pmod(F.col("id"), F.lit(every)) == 0).dropDuplicates(["id"]).select("id", "grp", "vec")
     asked = scratch.write(asking.mapInArrow(visit, "qid long, qleaf int, qvec binary"), "asked")
-    # Leaves are as many as the bounded sample allows, so one row for each of them may be sent to every task.
+    asked = _asked_below(asked, below, big, opened, scratch, dim)
     sizes = (
         stored.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
         .join(asked.groupBy(F.col("qleaf").alias("leaf")).agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("parts")), "leaf")
     )
     sizes = scratch.write(sizes, "sizes")
-    sent = F.broadcast(sizes)
+    sent = F.broadcast(sizes) if sizes.count() <= SENT_KEYS else sizes
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = stored.join(sent, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), upto("parts").alias("part"), "id", "vec")
     queries = asked.join(sent.withColumnRenamed("leaf", "qleaf"), "qleaf").select(
@@ -285,8 +293,75 @@ def nearest(
     return pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
 
-def _calibrate(stored: DataFrame, trees: dict[str, Tree], found: np.ndarray, numbers: np.ndarray, ids: np.ndarray, dim: int, k: int, recall: float) -> dict[str, int]:
-    """Leaves to visit in each group so that ``recall`` of the exact neighbours of sample queries is reached."""
+def _deepened(stored: DataFrame, scratch: Scratch, dim: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(rows with their final leaf, centres (top, centres) of the leaves with a level below, sizes (top, n) of these).
+
+    The tree above is as large as its bounded sample; a leaf that is too large for it gets a level fitted on a bounded
+    sample of its own rows, where they are.  Final leaves are numbered top * MOST_PARTS + part.
+    """
+    big = scratch.write(stored.groupBy(F.col("leaf").alias("top")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT_ROWS), "big")
+    number = (F.col("leaf").cast("long") * MOST_PARTS).alias("leaf")
+    if not big.count():
+        return stored.select("id", "grp", number, "vec"), None, None
+    sent = F.broadcast(big)  # a row for each leaf of the bounded tree, at most
+    own = stored.join(sent, F.col("leaf") == F.col("top"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = _unit(_matrix(t.column("vec"), dim))
+        parts = int(max(1, min(MOST_PARTS, -(-t.column("n")[0].as_py() // LEAF_ROWS), len(x) // 8)))
+        label = _kmeans(x, parts, np.random.default_rng(17))
+        centres = np.stack([x[label == g].mean(axis=0) if (label == g).any() else x[g] for g in range(parts)])
+        centres /= np.maximum(1e-12, np.linalg.norm(centres, axis=1, keepdims=True))
+        return pa.table({"top": pa.array([t.column("top")[0].as_py()], pa.int32()), "centres": pa.array([centres.astype(np.float32).tobytes()], pa.binary())})
+
+    picked = own.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) < F.lit(1_000_003) * F.lit(FIT_ROWS) / F.col("n")).select("top", "n", "vec")
+    below = scratch.write(picked.groupBy("top").applyInArrow(fit, "top int, centres binary"), "below")
+
+    def put(rows: pa.Table, level: pa.Table) -> pa.Table:
+        kept = ["id", "grp", "vec"]
+        if not rows.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "grp": pa.array([], pa.string()), "leaf": pa.array([], pa.int64()), "vec": pa.array([], pa.binary())})
+        top = rows.column("top")[0].as_py()
+        part = (_unit(_matrix(rows.column("vec"), dim)) @ _matrix(level.column("centres"), -1).reshape(-1, dim).T).argmax(axis=1) if level.num_rows else np.zeros(rows.num_rows, np.int64)
+        return rows.select(kept).append_column("leaf", pa.array(top * MOST_PARTS + part, pa.int64())).select(["id", "grp", "leaf", "vec"])
+
+    chunks = F.ceil(F.col("n") / FIT_ROWS).cast("int")
+    rows = own.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(6)), chunks).cast("int")).select("id", "grp", "vec", "top", "chunk")
+    levels = below.join(sent, "top").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select((F.col("top") + 0).alias("_top"), "chunk", "centres").withColumnRenamed("chunk", "_chunk")
+    placed = rows.groupBy("top", "chunk").cogroup(levels.groupBy("_top", "_chunk")).applyInArrow(put, "id long, grp string, leaf long, vec binary")
+    rest = stored.join(sent, F.col("leaf") == F.col("top"), "left_anti").select("id", "grp", number, "vec")
+    return scratch.write(rest.unionByName(placed), "deepened"), below, big
+
+
+def _asked_below(asked: DataFrame, below: DataFrame | None, big: DataFrame | None, opened: float, scratch: Scratch, dim: int) -> DataFrame:
+    """The visits with final leaves: of a leaf with a level below, the nearest share ``opened`` of its parts."""
+    number = (F.col("qleaf").cast("long") * MOST_PARTS).alias("qleaf")
+    if below is None:
+        return asked.select("qid", number, "qvec")
+    tops = F.broadcast(big.select("top"))
+    own = asked.join(tops, F.col("qleaf") == F.col("top"))
+    ways = scratch.write(own.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("ways")), "ways")
+
+    def choose(asks: pa.Table, level: pa.Table) -> pa.Table:
+        if not asks.num_rows or not level.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "qleaf": pa.array([], pa.int64()), "qvec": pa.array([], pa.binary())})
+        centres = _matrix(level.column("centres"), -1).reshape(-1, dim)
+        most = int(min(len(centres), max(1, np.ceil(opened * len(centres)))))
+        near = np.argsort(-(_unit(_matrix(asks.column("qvec"), dim)) @ centres.T), axis=1, kind="stable")[:, :most]
+        again = pa.array(np.repeat(np.arange(asks.num_rows), most))
+        top = asks.column("top")[0].as_py()
+        return pa.table({"qid": asks.column("qid").take(again), "qleaf": pa.array(top * MOST_PARTS + near.ravel(), pa.int64()), "qvec": asks.column("qvec").take(again)})
+
+    asks = own.join(F.broadcast(ways), "top").withColumn("way", F.pmod(F.xxhash64("qid"), F.col("ways")).cast("int")).select("qid", "qvec", "top", "way")
+    levels = below.join(F.broadcast(ways), "top").select((F.col("top") + 0).alias("_top"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("_way"), "centres")
+    chosen = asks.groupBy("top", "way").cogroup(levels.groupBy("_top", "_way")).applyInArrow(choose, "qid long, qleaf long, qvec binary")
+    rest = asked.join(tops, F.col("qleaf") == F.col("top"), "left_anti").select("qid", number, "qvec")
+    return scratch.write(rest.unionByName(chosen), "asked-below")
+
+
+def _calibrate(stored: DataFrame, below: DataFrame | None, trees: dict[str, Tree], found: np.ndarray, numbers: np.ndarray, ids: np.ndarray, dim: int, k: int, recall: float) -> tuple[dict[str, int], float]:
+    """Leaves to visit in each group, and the share of the parts of a leaf with a level below, so that ``recall`` of the exact
+    neighbours of sample queries is reached."""
     asks = {g: np.flatnonzero(found == g) for g in trees}
     rng = np.random.default_rng(3)
     asks = {g: (p if len(p) <= CALIBRATION_QUERIES else rng.choice(p, CALIBRATION_QUERIES, replace=False)) for g, p in asks.items()}
@@ -319,9 +394,10 @@ def _calibrate(stored: DataFrame, trees: dict[str, Tree], found: np.ndarray, num
             )
 
     # A redelivered row is no second neighbour.
-    near = once_by_key(stored.select("id", "grp", "leaf", "vec"), "id").mapInArrow(exact, "grp string, ask long, leaf int, sim double").filter("sim > -8")
+    near = once_by_key(stored.select("id", "grp", "leaf", "vec"), "id").mapInArrow(exact, "grp string, ask long, leaf long, sim double").filter("sim > -8")
     top = near.withColumn("n", F.row_number().over(Window.partitionBy("grp", "ask").orderBy(F.desc("sim")))).filter(F.col("n") <= k)
-    rows = top.select("grp", "ask", "leaf").toPandas()
+    rows = top.select("grp", "ask", "leaf").toPandas()  # k rows for each of the sample queries
+    rows["part"], rows["leaf"] = rows["leaf"] % MOST_PARTS, rows["leaf"] // MOST_PARTS
     visits = dict.fromkeys(trees, 1)
     for g, own in rows.groupby("grp"):
         order = trees[g].all_bins(tested[g][1])
@@ -330,4 +406,23 @@ def _calibrate(stored: DataFrame, trees: dict[str, Tree], found: np.ndarray, num
         ranks = np.sort(rank[own["ask"].to_numpy(), own["leaf"].to_numpy()])
         need = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
         visits[g] = min(len(trees[g].leaves), need)
-    return visits
+    return visits, _share_below(stored, below, rows, tested, dim, recall)
+
+
+def _share_below(stored: DataFrame, below: DataFrame | None, rows: pd.DataFrame, tested: dict[str, tuple], dim: int, recall: float) -> float:
+    """The share of a leaf's parts, nearest first, in which ``recall`` of the sample queries' neighbours there lie."""
+    if below is None or rows.empty:
+        return 1.0
+    where = [(int(leaf), int(part), tested[g][1][ask].astype(np.float32).tobytes()) for g, ask, leaf, part in zip(rows["grp"], rows["ask"], rows["leaf"], rows["part"], strict=True)]
+    asked = stored.sparkSession.createDataFrame(where, "top int, part int, qvec binary").join(below, "top")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for part, query, centres in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                sims = np.frombuffer(centres.as_py(), np.float32).reshape(-1, dim) @ np.frombuffer(query.as_py(), np.float32)
+                out.append(float((sims >= sims[part.as_py()]).sum() / len(sims)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["share"])
+
+    shares = np.sort(asked.select("part", "qvec", "centres").mapInArrow(place, "share double").toPandas()["share"].to_numpy())
+    return float(shares[min(len(shares) - 1, int(np.ceil(recall * len(shares))) - 1)]) if len(shares) else 1.0

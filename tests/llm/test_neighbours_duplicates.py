@@ -58,6 +58,33 @@ def test_many_leaves_blocks_and_sets_reach_the_recall(spark, monkeypatch):
     assert hit / sum(len(s) for s in want.values()) >= 0.95
 
 
+def test_large_leaves_get_a_level_of_their_own(spark, monkeypatch):
+    """A tree that its sample keeps small: leaves are split where they are, and neighbours are found as before."""
+    monkeypatch.setattr(N, "SAMPLE_ROWS", 120)
+    monkeypatch.setattr(N, "LEAF_ROWS", 25)
+    monkeypatch.setattr(N, "SPLIT_ROWS", 100)
+    monkeypatch.setattr(N, "FIT_ROWS", 400)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(30, 64))
+    x = np.vstack([centres[r.integers(30)] + 0.5 * r.normal(size=64) for _ in range(1500)] + [centres[0]] * 300).astype(np.float32)
+    df = spark.createDataFrame([(i, "fact" if i % 5 else "entity", v.tolist()) for i, v in enumerate(x)], "vector_id long, source_type string, vector array<float>")
+    scratch = N.Scratch(spark, "check")
+    got = {}
+    for row in N.nearest(df, recall=0.99).collect():
+        got.setdefault(row.vector_id, set()).add(row.neighbour_id)
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    hit = want = 0
+    for q in range(0, len(x), 20):
+        own = np.array([i for i in range(len(x)) if (i % 5 > 0) == (q % 5 > 0) and i != q])
+        sims = np.round((x[own].astype(np.float64) / np.linalg.norm(x[own].astype(np.float64), axis=1, keepdims=True)) @ (x[q].astype(np.float64) / np.linalg.norm(x[q].astype(np.float64))), 9)
+        best = own[np.lexsort((own, -sims))[:10]]
+        hit, want = hit + len(got.get(q, set()) & set(best.tolist())), want + 10
+    assert hit / want > 0.93
+    placed = spark.createDataFrame([(i, "g", 3, v.tobytes()) for i, v in enumerate(x)], "id long, grp string, leaf int, vec binary")
+    fine, below, big = N._deepened(placed, scratch, 64)
+    assert fine.count() == len(x) == fine.select("id").distinct().count() and below.count() == big.count() == 1 and fine.select("leaf").distinct().count() > 10
+
+
 def test_visits_are_best_bin_first(monkeypatch):
     monkeypatch.setattr(N, "LEAF_ROWS", 20)
     x = np.random.default_rng(1).normal(size=(900, 16)).astype(np.float32)
