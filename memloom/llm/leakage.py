@@ -23,7 +23,6 @@ import html
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -70,6 +69,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, self.raw, self.starts = [], [], [], []
+        self.hidden = []  # whether words stand in an item that are too short for a match of their own
         first, owner, place, size = [], [], [], []
         for item_id, text in rows:
             words = [w.encode() for w in words_of(text)]
@@ -79,6 +79,7 @@ class Items:
             starts = np.cumsum([0] + [len(w) for w in words])
             self.ids.append(item_id)
             self.words.append(words)
+            self.hidden.append(bool((starts[SEED_WORDS:] - starts[:-SEED_WORDS] < LEAST_BYTES).any()))
             self.raw.append(b"".join(words))
             self.starts.append(starts)
             for k in range(len(words) - SEED_WORDS + 1):
@@ -93,6 +94,17 @@ class Items:
         self.first = np.frombuffer(b"".join(first), ">u8").astype(np.uint64)
         self.owner, self.place, self.size = (np.array(x, np.int64) for x in (owner, place, size))
         self.longest = max(map(len, self.raw), default=0)
+        self._masks: dict[int, dict[bytes, int]] = {}
+
+
+    def masks(self, item: int) -> dict[bytes, int]:
+        """For each word of an item the bits of its places."""
+        if item not in self._masks:
+            out: dict[bytes, int] = {}
+            for i, w in enumerate(self.words[item]):
+                out[w] = out.get(w, 0) | 1 << i
+            self._masks[item] = out
+        return self._masks[item]
 
 
 class Shard:
@@ -231,30 +243,46 @@ def _windows(own: np.ndarray, size: int) -> Iterator[np.ndarray]:
                 yield part
 
 
+def _in_order(masks: dict[bytes, int], size: int, tokens: list[bytes]) -> int:
+    """Length of the longest common subsequence of an item's words and other ones, all places of a word at once."""
+    full = free = (1 << size) - 1
+    for t in tokens:
+        if m := masks.get(t):
+            hit = free & m
+            free = ((free + hit) | (free - hit)) & full
+    return size - free.bit_count()
+
+
 def lines_up(items: Items, item: int, own: np.ndarray, shard: Shard) -> bool:
     """Whether the item's words and the text around its matches agree on a long enough stretch."""
     if len(set(own[:, 2].tolist())) < LEAST_SEEDS:
         return False
     words, begin, raw = items.words[item], items.starts[item], shard.raw
+    # Of the hits of one match, which end at one place on one diagonal, the first holds the others.
+    ends_at = np.column_stack([own[:, 3] - begin[own[:, 2]], own[:, 3] + own[:, 4]])
+    _, kept = np.unique(ends_at, axis=0, return_index=True)
+    own = own[kept]
+    own = own[np.argsort(own[:, 3], kind="stable")]
+    # Between two errors of a stretch at most two words are no match.  So eight of its words are in matches: of 12 or 13 words one
+    # is wrong and two may be hidden, of 14 to 21 two and four, of more the matches hold more.  One less is asked for, since a
+    # word may be joined with the wrong one before it.
+    until = np.searchsorted(begin, begin[own[:, 2]] + own[:, 4], "right") - 1
+    if not items.hidden[item] and len({w for k, e in zip(own[:, 2].tolist(), until.tolist(), strict=True) for w in range(k, e)}) < STRETCH - 5:
+        return False
     # Not beyond the document, and as far around the matches as a few changed words reach.
     left, right = raw.rfind(b"\0", 0, int(own[0, 3])) + 1, raw.find(b"\0", int(own[-1, 3]))
     first, last = max(left, int(own[0, 3]) - 120), min(right, int((own[:, 3] + own[:, 4]).max()) + 160)
     cuts = set(shard.starts[np.searchsorted(shard.starts, first) : np.searchsorted(shard.starts, last)].tolist())
     inside, known = set(), set()
-    # Of the hits of one match, which end at one place on one diagonal, the first holds the others.
-    ends_at = np.column_stack([own[:, 3] - begin[own[:, 2]], own[:, 3] + own[:, 4]])
-    _, kept = np.unique(ends_at, axis=0, return_index=True)
-    for _, _, k, p, n in own[kept].tolist():
+    for _, _, k, p, n in own.tolist():
         # The item's own word starts hold as far as the match does; other cuts within it are a matter of layout.
         ends = begin[k : np.searchsorted(begin, begin[k] + n, "right")] - begin[k] + p
         known.update(ends.tolist())
         inside.update(c for c in cuts if p < c < ends[-1])
     marks = sorted((cuts - inside) | known)
     tokens = [raw[x:y].rstrip(b"\0") for x, y in zip(marks, [*marks[1:], last], strict=True)]
-    # A stretch agrees in all but one of twelve words, or in more: fewer words in common, in any order, can't line up.
-    bag = Counter(words)
-    bag.subtract(tokens)
-    if len(words) - sum(n for n in bag.values() if n > 0) < STRETCH - 1:
+    # A stretch agrees in all but one of twelve words, or in more: with fewer in common, in order, nothing lines up.
+    if _in_order(items.masks(item), len(words), tokens) < STRETCH - 1:
         return False
     units: list[tuple[int, int]] = []  # (words of the item, errors)
     for tag, i1, i2, j1, j2 in SequenceMatcher(None, words, tokens, autojunk=False).get_opcodes():
