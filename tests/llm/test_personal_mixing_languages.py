@@ -3,13 +3,13 @@ import random
 import re
 from collections import Counter
 
+import held_out
 import pytest
 
 from memloom.llm import languages as G
 from memloom.llm import mixing as M
 from memloom.llm import personal as P
 from memloom.llm import personal_training as T
-from tests.llm import held_out
 
 TEXT = [
     ("Contact: Ingrid Varilmark, +1 813 555 0199, ingrid.v@lumen.example.", ["name", "phone", "email"]), ("Mr. HÉLÈNE KREVEMESCU moved to 638 West Otterby Court Apt 39, Orlingham last month.", ["name", "address"]), ("윤도현 씨가 확인했습니다.", ["name"]),
