@@ -111,6 +111,14 @@ def resolve_entities(names: DataFrame, entities: DataFrame, aliases: DataFrame)
     )
 
 
+def created_entities(resolved: DataFrame) -> DataFrame:
+    """(id, workspace_id, name, name_normalized) of the names that ``resolve_entities`` found nothing for, one for each spelling in
+    lower case.  The id is a hash of workspace and name, so no order over all names is needed and a rerun gives the same."""
+    key = F.lower(F.trim("name"))
+    new = resolved.filter("how = 'new'").groupBy("workspace_id", key.alias("name_normalized")).agg(F.min("name").alias("name"))
+    return new.select(F.shiftrightunsigned(F.xxhash64("workspace_id", "name_normalized"), 1).alias("id"), "workspace_id", "name", "name_normalized")
+
+
 def clean_turns(turns: DataFrame) -> DataFrame:
     """Turns with sanitized text and how many lines were taken out."""
     out = turns.withColumn("s", X.sanitized(F.col("text")))

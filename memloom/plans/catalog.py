@@ -108,7 +108,7 @@ _read("entity_index", reads.entity_index, _DEGREE + """
            CAST(sum(count(*)) OVER (PARTITION BY f.workspace_id) AS BIGINT) AS workspace_facts
     FROM fact f LEFT JOIN degree d ON d.name = f.subject AND d.workspace_id = f.workspace_id GROUP BY f.workspace_id, f.subject""")
 _read("entity_groups", reads.entity_groups, """
-    SELECT workspace_id, kind, count(*) AS entities, CAST(coalesce(sum(n), 0) AS BIGINT) AS facts, row_number() OVER (PARTITION BY workspace_id ORDER BY count(*) DESC, kind) AS place
+    SELECT workspace_id, kind, count(*) AS entities, CAST(coalesce(sum(n), 0) AS BIGINT) AS facts, row_number() OVER (PARTITION BY workspace_id ORDER BY coalesce(sum(n), 0) DESC, kind) AS place
     FROM (SELECT workspace_id, coalesce(lower(trim(entity_type)), 'other') AS kind, (SELECT count(*) FROM fact_entity x WHERE x.entity_id = e.id) AS n FROM entity e) WHERE kind <> 'episode_topic' GROUP BY 1, 2""")
 _read("top_entities", reads.top_entities, _DEGREE + """
     SELECT f.workspace_id, row_number() OVER (PARTITION BY f.workspace_id ORDER BY count(*) DESC, coalesce(any_value(degree), 0) DESC, subject) AS place, subject, count(*) AS facts, coalesce(any_value(degree), 0) AS degree
@@ -268,10 +268,12 @@ _read("summaries_range", reads.summaries_range, """
 _read("data_quality", reads.data_quality, """
     SELECT w.id AS workspace_id, count(s.subject_id) AS summaries FROM workspaces w
     LEFT JOIN summary s ON s.workspace_id = w.id AND s.day BETWEEN DATE '2026-04-30' AND DATE '2026-05-13' GROUP BY w.id""")
-_read("upload_status", reads.upload_status, """
+_ROOTS = ", root AS (SELECT workspace_id, count(*) AS roots FROM entity WHERE parent_id IS NULL AND id IN (SELECT subject_id FROM link) GROUP BY 1)\n"
+_read("linked_roots", reads.linked_roots, _ROOTS + "SELECT * FROM root")
+_read("upload_status", reads.upload_status, _ROOTS + """
     , n AS (SELECT episode_id, count(*) AS c FROM turn WHERE episode_id IS NOT NULL GROUP BY 1)
-    SELECT workspace_id, CAST(coalesce(sum(c), 0) AS BIGINT) AS turns, count(DISTINCT session_id) AS sessions, min(created_at) AS first_at, max(created_at) AS last_at
-    FROM episode LEFT JOIN n ON id = episode_id GROUP BY workspace_id""")
+    SELECT e.workspace_id, CAST(coalesce(sum(c), 0) AS BIGINT) AS turns, count(DISTINCT session_id) AS sessions, min(created_at) AS first_at, max(created_at) AS last_at, coalesce(any_value(roots), 0) AS roots
+    FROM episode e LEFT JOIN n ON id = episode_id LEFT JOIN root r ON r.workspace_id = e.workspace_id GROUP BY e.workspace_id""")
 _read("unclassified", reads.unclassified, """
     SELECT episode_id, count(*) AS turns FROM turn WHERE episode_id IS NOT NULL AND episode_id NOT IN (SELECT episode_id FROM link) GROUP BY 1""")
 _read("link_histogram", reads.link_histogram, "SELECT turns, count(*) AS subjects FROM (SELECT subject_id, count(DISTINCT turn_id) AS turns FROM link GROUP BY 1) GROUP BY 1")
@@ -645,3 +647,10 @@ _read("fragment_keywords", lambda m: m.facts.select("hint_id", F.array_join(X.fr
            lambda w: w <> '' AND lower(w) NOT IN ({_STOP})), lambda w: regexp_replace(w, '(?s)^(.{{2,}}?)({_PARTICLE})$', '\1')), lambda w: length(w) >= 2 AND lower(w) NOT IN ({_STOP})) AS k FROM body),
     whole AS (SELECT hint_id, list_filter(list_concat([subject, predicate, object_value], k), lambda w: w IS NOT NULL AND w <> '') AS l FROM said)
     SELECT hint_id, array_to_string(list_filter(l, lambda w, i: list_position(list_transform(l, lambda y: lower(y)), lower(w)) = i)[:20], '|') AS words FROM whole""")
+_read("latest_open_items", reads.latest_open_items, _OPEN_ITEMS + """
+    SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY worked_at DESC NULLS LAST, hint_id) AS place, hint_id, subject, predicate, object_value FROM open QUALIFY place <= 20""")
+_FRAGMENT = ", frag AS (SELECT hint_id AS id, CASE WHEN length(q) >= 10 THEN CASE WHEN length(q) > 500 THEN substr(q, 1, 497) || '...' ELSE q END ELSE concat_ws(' ', subject, predicate, object_value) END AS content FROM (SELECT *, regexp_replace(source_quote, '^\\s+|\\s+$', '', 'g') AS q FROM fact))\n"
+_read("fragment_search", lambda m: ranking.text_search(reads.fragments(m), ["content"], "hint_id", TERMS, 50).select("id", "score"), _FRAGMENT + f"""
+    SELECT id, score FROM (SELECT id, CAST({_SCORE.replace("B", "coalesce(content, '')")} AS BIGINT) AS score FROM frag) WHERE score > 0 ORDER BY score DESC, id LIMIT 50""")
+_read("active_workspaces", lambda m: reads.workspace_pages(m, hidden=False), """
+    SELECT id, status, (SELECT max(created_at) FROM episode e WHERE e.workspace_id = w.id) AS latest FROM workspaces w WHERE status = 'active' ORDER BY latest DESC NULLS LAST, id LIMIT 20""")

@@ -11,7 +11,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.text import normalized_path, sanitized
+from memloom.functions.text import fragment_content, fragment_type, normalized_path, sanitized
 from memloom.plans.model import Model, visible
 
 TODAY, NOW = date(2026, 5, 13), datetime(2026, 5, 13, 18)
@@ -117,12 +117,12 @@ def entity_index(m: Model) -> DataFrame:
 
 
 def entity_groups(m: Model) -> DataFrame:
-    """The index by type: entities of each type with their facts, types with most entities first, session labels left out."""
+    """The index by type: entities of each type with their facts, types with most facts first, session labels left out."""
     kind = F.coalesce(F.lower(F.trim("entity_type")), F.lit("other"))
     facts = m.fact_entities.groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("facts"))
     own = m.entities.select("id", "workspace_id", kind.alias("kind")).filter(F.col("kind") != EXCLUDED_TYPE).join(facts, "id", "left")
     grouped = own.groupBy("workspace_id", "kind").agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum("facts"), F.lit(0)).alias("facts"))
-    return _best(grouped, ["workspace_id"], [F.desc("entities"), F.asc("kind")], 2**31 - 1)
+    return _best(grouped, ["workspace_id"], [F.desc("facts"), F.asc("kind")], 2**31 - 1)
 
 
 def top_entities(m: Model, limit: int = 10) -> DataFrame:
@@ -212,6 +212,17 @@ def open_items(m: Model, predicates: Sequence[str] = (*OPEN_PREDICATES, *STORED_
     )
 
 
+def latest_open_items(m: Model, limit: int = 20) -> DataFrame:
+    """Each workspace's open items, those worked on last first."""
+    return _best(open_items(m), ["workspace_id"], [F.desc_nulls_last("worked_at"), F.asc("hint_id")], limit).select("workspace_id", "place", "hint_id", "subject", "predicate", "object_value")
+
+
+def fragments(m: Model) -> DataFrame:
+    """(hint_id, workspace_id, kind, content): the passages that facts are stored as."""
+    content = fragment_content(F.col("source_quote"), F.col("subject"), F.col("predicate"), F.col("object_value"))
+    return m.facts.select("hint_id", "workspace_id", fragment_type(F.col("predicate")).alias("kind"), content.alias("content"))
+
+
 def reinforced_facts(m: Model, limit: int = 5) -> DataFrame:
     return m.facts.groupBy("workspace_id", "subject", "predicate", "object_value").agg(F.count(F.lit(1)).alias("links"), F.min("hint_id").alias("fact_id")).orderBy(
         F.desc("links"), "fact_id"
@@ -476,12 +487,17 @@ def data_quality(m: Model, today: date = TODAY) -> DataFrame:
     return m.workspaces.select(F.col("id").alias("workspace_id")).join(recent, "workspace_id", "left").groupBy("workspace_id").agg(F.count("subject_id").alias("summaries"))
 
 
+def linked_roots(m: Model) -> DataFrame:
+    """How many subjects without a parent each workspace has turns about."""
+    return m.entities.filter("parent_id is null").join(m.links.select(F.col("subject_id").alias("id")), "id", "left_semi").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("roots"))
+
+
 def upload_status(m: Model) -> DataFrame:
     turns = m.turns.filter("episode_id is not null").groupBy("episode_id").agg(F.count(F.lit(1)).alias("turns"))
     each = m.episodes.join(turns, F.col("id") == F.col("episode_id"), "left")
     return each.groupBy("workspace_id").agg(
         F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"), F.countDistinct("session_id").alias("sessions"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")
-    )
+    ).join(linked_roots(m), "workspace_id", "left").na.fill(0, ["roots"])
 
 
 def unclassified(m: Model) -> DataFrame:
@@ -661,8 +677,9 @@ def name_families(m: Model) -> DataFrame:
     return parts.join(heads, ["workspace_id", "prefix"]).select("workspace_id", "head_id", "id")
 
 
-def workspace_pages(m: Model, limit: int = 20) -> DataFrame:
-    """Workspaces, active ones first, then by their latest episode, those without any last."""
+def workspace_pages(m: Model, limit: int = 20, hidden: bool = True) -> DataFrame:
+    """Workspaces, active ones first (only these without ``hidden``), then by their latest episode, those without any last."""
     latest = m.episodes.groupBy("workspace_id").agg(F.max("created_at").alias("latest"))
-    joined = m.workspaces.join(latest, F.col("id") == F.col("workspace_id"), "left")
+    shown = m.workspaces if hidden else m.workspaces.filter("status = 'active'")
+    joined = shown.join(latest, F.col("id") == F.col("workspace_id"), "left")
     return joined.orderBy((F.col("status") == "active").desc(), F.desc_nulls_last("latest"), "id").limit(limit).select("id", "status", "latest")

@@ -131,3 +131,12 @@ def test_two_passes_of_classification(spark):
     sessions = spark.createDataFrame([(1, "C:\\Work\\Shop\\api", None, None), (2, "/home/x/notebook", "t", "u"), (3, None, "About Queues", ""), (4, None, None, None), (5, "/a/b", "x", "y")], "session_id long, cwd string, title string, text string")
     got = {r.session_id: r.chain for r in classify.by_directory(sessions, {"/shop/": "Shop>API"}, {r"\bqueues?\b": "Ops>Queues"}).collect()}
     assert got == {1: "Shop>API", 2: "notebook", 3: "Ops>Queues", 4: None, 5: None}
+
+
+def test_created_entities_are_stable(spark):
+    from memloom.operators import ingest
+
+    resolved = spark.createDataFrame([(1, "Ann", 4, "name"), (1, "Bob ", None, "new"), (1, "bob", None, "new"), (2, "Bob", None, "new")], "workspace_id long, name string, entity_id long, how string")
+    got = {(r.workspace_id, r.name_normalized): r.id for r in ingest.created_entities(resolved).collect()}
+    assert set(got) == {(1, "bob"), (2, "bob")} and len(set(got.values())) == 2 and all(i > 0 for i in got.values())
+    assert got == {(r.workspace_id, r.name_normalized): r.id for r in ingest.created_entities(resolved.repartition(3)).collect()}
