@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,17 +14,26 @@ from pyspark.sql import functions as F
 DIM = 64
 
 
+@lru_cache(maxsize=100_000)
+def _word(word: str, dim: int) -> np.ndarray:
+    """What a word adds: one signed place for itself and one for each of its letter triples; words come again and again."""
+    out = np.zeros(dim, np.float32)
+    for part in [word, *(f"<{word}>"[i : i + 3] for i in range(len(word)))]:
+        h = zlib.crc32(part.encode())
+        out[h % dim] += 1 if h >> 31 else -1
+    return out
+
+
 def hashed(texts: Sequence[str], dim: int = DIM) -> np.ndarray:
     """Unit vectors of signed hashed words and letter triples: deterministic and without a model; blank texts give zeros."""
     out = np.zeros((len(texts), dim), np.float32)
     for row, text in zip(out, texts, strict=True):
-        for word in (text or "").lower().split():
-            for part in [word, *(f"<{word}>"[i : i + 3] for i in range(len(word)))]:
-                h = zlib.crc32(part.encode())
-                row[h % dim] += 1 if h >> 31 else -1
-        size = np.linalg.norm(row)
-        if size:
-            row /= size
+        words = [_word(word, dim) for word in (text or "").lower().split()]
+        if words:
+            row += np.sum(words, axis=0)
+            size = np.linalg.norm(row)
+            if size:
+                row /= size
     return out
 
 
